@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidecue.llm.encoding import encode_documents
 from tidecue.llm.packing import pack_documents
+from tidecue.llm.residue import find_residue
 from tidecue.llm.runs import collapse_runs
 from tidecue.llm.splitting import split_documents
 from tidecue.session import table
@@ -33,6 +34,25 @@ def budgets(spark: SparkSession, sf_dir: str, purpose: str) -> list[tuple]:
     return [tuple(r) for r in found.select("budget_id", "tokenizer", "max_tokens", "overlap_tokens").collect()]
 
 
+def records(spark: SparkSession, sf_dir: str, *tabs: str) -> DataFrame:
+    """(tab, row_id, text) of the text tables named, deliveries included."""
+    ids = {"cues": "cue_id", "segments": "segment_id", "documents": "doc_id"}
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("tab"), F.col(ids[t]).alias("row_id"), "text") for t in tabs]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for tab, key in (("segments", "segment_id"), ("documents", "doc_id")):
+        found = find_residue(table(spark, sf_dir, tab), key)
+        parts.append(found.select(F.lit(tab).alias("tab"), "row_id"))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "segments")).select("transcript_id", "first_seg_no", "last_seg_no")
