@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.llm.encoding import encode_documents
+from tidecue.llm.mojibake import find_garbled, restore_texts
 from tidecue.llm.packing import pack_documents
 from tidecue.llm.residue import find_residue
 from tidecue.llm.runs import collapse_runs
@@ -63,6 +64,16 @@ def p5_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "segments"), least=1)
 
 
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(records(spark, sf_dir, "cues", "segments", "documents")).select("tab", "row_id")
+
+
+@query("p6_restored")
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore_texts(records(spark, sf_dir, "cues", "segments", "documents"))
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k")
