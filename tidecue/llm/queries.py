@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.llm.encoding import encode_documents
+from tidecue.llm.langid import alias_table, document_languages, fit_model, transcript_languages
 from tidecue.llm.mojibake import find_garbled, restore_texts
 from tidecue.llm.packing import pack_documents
 from tidecue.llm.residue import find_residue
@@ -54,6 +55,30 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, row_id, para_no, code, confidence, case) of documents, passages, transcripts and foreign segments."""
+    aliases = alias_table(spark, table(spark, sf_dir, "language_aliases"))
+    documents = table(spark, sf_dir, "documents")
+    model = fit_model(spark, documents, aliases)
+    whole, foreign = transcript_languages(table(spark, sf_dir, "segments"), table(spark, sf_dir, "transcripts"), model, aliases)
+    found = document_languages(documents, model, aliases)
+    tab = F.when(F.col("para_no") == 0, F.lit("documents")).otherwise(F.lit("passages"))
+    out = found.select(tab.alias("tab"), F.col("doc_id").alias("row_id"), "para_no", "code", "confidence", "case")
+    for name, part in (("transcripts", whole), ("segments", foreign)):
+        out = out.unionByName(part.select(F.lit(name).alias("tab"), F.col("id").alias("row_id"), F.lit(0).alias("para_no"), "code", "confidence", "case"))
+    return out
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(spark, sf_dir).where("case").select("tab", "row_id", "para_no", "code")
+
+
+@query("p4_languages")
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(spark, sf_dir).drop("case")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "segments")).select("transcript_id", "first_seg_no", "last_seg_no")

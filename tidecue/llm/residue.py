@@ -89,6 +89,9 @@ FILLER_WORDS = frozenset(
 )
 TYPED_FILLER = frozenset("asdf asdfg asdfgh qwerty qwertz xxx xxxx xxxxx tbd tba todo text texto texte testo blah bla foo bar baz test lorem n/a zzz".split())
 
+#: One of these stands in any filler text of some length.
+_COMMON_FILLER = ("lorem", "ipsum", "dolor", "consectetur", "eiusmod", "nostrud", "veniam", "aliqua", "labore", "minim", "asdf", "qwert", "xxx", "tbd ", "blah")
+
 _TAGS = re.compile(r"<[^<>]{1,200}>")
 _ONLY_STRUCTURE = re.compile(r"^(?:\ufeff?WEBVTT.*|\s*\d+\s*|.*-->.*|#+ \d\d:\d\d:\d\d.*)$", re.M)
 _HEADING = re.compile(r"^#+ .*$", re.M)
@@ -96,6 +99,9 @@ _WORD = re.compile(r"[^\W_]+(?:/[^\W_]+)?")
 
 
 def _is_filler(text: str) -> bool:
+    low = text.lower()
+    if len(text) > 60 and not any(w in low for w in _COMMON_FILLER):
+        return False
     words = [w.lower() for w in _WORD.findall(text)]
     if not words:
         return False
