@@ -13,6 +13,7 @@ from tidecue.llm.mojibake import find_garbled, restore_texts
 from tidecue.llm.packing import pack_documents
 from tidecue.llm.residue import find_residue
 from tidecue.llm.runs import collapse_runs
+from tidecue.llm.sentences import split_sentences
 from tidecue.llm.splitting import split_documents
 from tidecue.session import table
 
@@ -55,6 +56,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).distinct()
 
 
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "sentence_checks").distinct()
+    texts = records(spark, sf_dir, "cues", "segments", "documents").where("text is not null")
+    wanted = texts.join(asked, ["tab", "row_id"], "left_semi").dropDuplicates(["tab", "row_id"])
+    return split_sentences(wanted, ["tab", "row_id"])
+
+
+@query("p3_units")
+def p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of every record; deliveries count once."""
+    return split_sentences(records(spark, sf_dir, "cues", "segments", "documents").dropDuplicates(["tab", "row_id"]), ["tab", "row_id"])
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, row_id, para_no, code, confidence, case) of documents, passages, transcripts and foreign segments."""
     aliases = alias_table(spark, table(spark, sf_dir, "language_aliases"))
