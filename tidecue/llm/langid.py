@@ -39,7 +39,7 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？।])\s*")
 _STRUCTURE = re.compile(r"^(?:﻿?WEBVTT.*|\s*\d+\s*|.*-->.*|#+ .*)$", re.M)
 _NOISE = re.compile(r"<[^<>\n]{1,60}>|\{\\[^{}]*\}|\[[^\[\]\n]{1,30}\]")
 _LINK = re.compile(r"\S*(?:://|\.example)\S*")
-_DIGITS = str.maketrans({d: " " for d in "0123456789"})
+_DIGITS = re.compile("[0-9]+")
 _ASCII = re.compile(r"[\x00-\x7f]+")
 _ASCII_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -58,9 +58,13 @@ _SCRIPTS = (
 
 def scripts_of(text: str) -> dict[str, int]:
     """Letters of a text by script; han counts as kana where a tenth of the ideographic letters is kana."""
-    rest = "" if text.isascii() else _ASCII.sub("", text)
-    latin = len(rest) + len(text.encode("ascii", "ignore").translate(None, _ASCII_LETTERS))
-    out = {"latin": len(text) - latin} if latin != len(text) else {}
+    plain_part = text.encode("ascii", "ignore")
+    letters = len(plain_part) - len(plain_part.translate(None, _ASCII_LETTERS))
+    out = {"latin": letters} if letters else {}
+    beyond = len(text) - len(plain_part)
+    if beyond * 4 < letters:  # no other script can outweigh these letters
+        return out
+    rest = _ASCII.sub("", text) if beyond else ""
     if rest:
         for name, pattern in _SCRIPTS:
             if n := len(pattern.findall(rest)):
@@ -80,7 +84,7 @@ def plain(text: str) -> str:
         text = _LINK.sub(" ", text)
     if "<" in text or "[" in text or "{" in text:
         text = _NOISE.sub(" ", text)
-    return " ".join(text.translate(_DIGITS).lower().split())
+    return " ".join(_DIGITS.sub(" ", text).lower().split())
 
 
 class LanguageModel:
@@ -214,11 +218,11 @@ def read_sizes(model: LanguageModel, text: str) -> list[int] | None:
     sizes = model.sizes(body)
     if sizes is None or body.isascii():
         return sizes
-    raw = len(body.encode("utf-8"))
     strange = len(body) - len(body.encode("ascii", "ignore"))
     if strange * 3 > len(body) >= 8:
-        beyond = _BEYOND_LATIN.search(body)
-        if not beyond and min(sizes) > 0.5 * len(body) or beyond and min(sizes) > 0.7 * raw and not _CJK.search(body):
+        raw = len(body.encode("utf-8"))
+        beyond = _BEYOND_LATIN.search(text)
+        if not beyond and min(sizes) > 0.5 * len(body) or beyond and min(sizes) > 0.7 * raw and _MIXED_CYRILLIC.search(text):
             for chain in _GARBLES:
                 back = restore(text, chain)
                 if back is not None and back != text:
@@ -230,6 +234,8 @@ def read_sizes(model: LanguageModel, text: str) -> list[int] | None:
     return sizes
 
 
+#: Letter case turned about, or marks among Cyrillic letters, as wrong decoding leaves them.
+_MIXED_CYRILLIC = re.compile("[\u0430-\u045f][\u0400-\u042f]|[\u0400-\u04ff][\u00a0-\u00bf\u2010-\u25ff][\u0400-\u04ff]")
 _BEYOND_LATIN = re.compile("[\u0400-\u1fff\u3000-\uffef]")
 _GARBLES = tuple(dict.fromkeys(f"{source}>{reader}" for chains in CHAINS.values() for source, readers in chains.items() for reader in readers if reader not in ("ascii", "utf-8")))
 

@@ -13,7 +13,6 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +61,7 @@ _SWITCH = (
 )
 #: Notices by family, in the languages of the profiles; a unit must match from its start.
 NOTICES = {
-    "status_line": r"HTTP/\d(?:\.\d)?\s+[1-5]\d\d\b[^\n.]{0,40}" + _END,
+    "status_line": r"http/\d(?:\.\d)?\s+[1-5]\d\d\b[^\n.]{0,40}" + _END,
     "status_words": r"[45]\d\d\s+(?:forbidden|not found|unauthorized|bad request|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests|request time-?out|page not found|página no (?:disponible|encontrada)|página não encontrada|page (?:introuvable|non trouvée)|pagina non trovata|seite nicht gefunden|страница не найдена)" + _END,
     "numbered_error": r"(?:error|erro|errore|erreur|fehler|ошибка|错误|錯誤|エラー|오류|त्रुटि)\s*(?:code\s*)?#?[1-5]\d\d\s*[:：–—-]" + _TAIL,
     "not_loaded": r"(?:(?:we |sorry, we )?(?:could not|couldn.t|cannot|can.t|were unable to) (?:load|fetch|open|display|find)|(?:unable|failed) to (?:load|fetch|open)|no (?:hemos podido|se ha podido|se pudo|fue posible) (?:cargar|abrir|encontrar|mostrar)|não foi possível (?:carregar|abrir|encontrar)|impossible (?:de|d.) ?(?:charger|afficher|ouvrir)|impossibile (?:caricare|aprire)|(?:das |die |der )?\w+ konnten? nicht (?:geladen|gefunden|geöffnet) werden|не удалось (?:загрузить|открыть|найти)|无法(?:加载|打开|显示)|無法載入|字幕を読み込め|(?:ページ|字幕)を(?:表示|読み込)[^。\n]*ませんでした|자막을 불러오지|उपशीर्षक लोड)" + _TAIL,
@@ -77,7 +76,10 @@ NOTICES = {
     "scripts": rf"(?=[^\n]{{0,160}}?{_SCRIPTS})(?=[^\n]{{0,160}}?{_SWITCH})" + _TAIL,
     "filler": r"(?:(?:sample|dummy|placeholder|example|filler) (?:text|caption|subtitle|content)\b|untitled segment\b|todo\s*:|your (?:text|subtitle|caption|title) (?:goes )?here|(?:insert|enter|type) (?:your )?(?:text|caption|subtitle) here|text goes here|texto de (?:ejemplo|exemplo|relleno|muestra|prueba)|aquí va el texto|aqui vai o texto|texte (?:provisoire|d.exemple|de remplissage)|testo (?:di esempio|segnaposto|provvisorio)|inserire (?:qui )?il testo|lege hier den text|(?:beispiel|blind|platzhalter|muster)text|пример текста|здесь (?:будет|должен быть) текст|此处(?:填写|输入|插入)|示例(?:文本|文字)|占位|ダミーテキスト|サンプルテキスト|ここにテキスト|예시 텍스트|샘플 텍스트|여기에 (?:텍스트|자막)|नमूना पाठ|यहाँ पाठ)" + _TAIL,
 }
-_NOTICE = regex.compile(r"\s*(?:" + "|".join(NOTICES.values()) + ")", regex.I | regex.V1)
+#: They are matched against lower-cased text; that on scripts is tried only where a text speaks of them.
+_NOTICE = re.compile(r"\s*(?:" + "|".join(p for name, p in NOTICES.items() if name != "scripts") + ")")
+_SCRIPT_NOTICE = re.compile(r"\s*(?:" + NOTICES["scripts"] + ")")
+_SCRIPT_HINTS = ("script", "cookie", "脚本", "스크립트", "スクリプト", "skript", "скрипт")
 
 #: The words of the printers' filler text, and typed filler.
 FILLER_WORDS = frozenset(
@@ -138,9 +140,10 @@ def is_only_residue(text: str) -> bool:
 def _only_units(text: str) -> bool:
     """Whether notices follow one another from the start to the end; spans of filler may stand between them."""
     at, found = 0, False
-    text = text.strip()
+    text = text.strip().lower()
+    scripts = any(h in text for h in _SCRIPT_HINTS)
     while at < len(text):
-        m = _NOTICE.match(text, at)
+        m = _NOTICE.match(text, at) or scripts and _SCRIPT_NOTICE.match(text, at)
         if m and m.end() > at and m.group().strip():
             at, found = m.end(), True
             continue
