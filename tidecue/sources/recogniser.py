@@ -45,7 +45,8 @@ def load_segments(files: DataFrame, keys: list[str], requested: str = "") -> Dat
     files has (keys, kind, content) with kind json, srt, vtt or txt. The least
     priority per recording is an aggregate with map-side combine, joined back.
     """
-    of = lambda kind: files.where(F.col("kind") == kind)
+    # the test is repeated inside, as filters may run in any order and JSON errors must not come from other files
+    of = lambda kind: files.where(F.col("kind") == kind).withColumn("content", F.when(F.col("kind") == kind, F.col("content")))
     parts = [json_segments(of("json"), keys).drop("words"), subtitle_segments(of("srt"), keys, "srt"), subtitle_segments(of("vtt"), keys, "vtt"), text_segments(of("txt"), keys)]
     ranked = reduce(lambda a, b: a.unionByName(b), [p.withColumn("priority", F.lit(i)) for i, p in enumerate(parts)])
     best = ranked.groupBy(*keys).agg(F.min("priority").alias("priority"))

@@ -63,7 +63,8 @@ def parse_vtt(df: DataFrame, keys: list[str], content: str = "content", entities
 
 def parse_subtitles(df: DataFrame, keys: list[str], path: str = "path", content: str = "content", explicit: str = "auto", entities: bool = True) -> DataFrame:
     """SRC5: cues of SRT and WebVTT texts by their detected format, with a positive duration."""
-    marked = df.withColumn("_format", format_of(F.col(path), F.col(content), explicit))
+    bare = df.withColumn(content, F.regexp_replace(F.col(content), "^\ufeff", ""))
+    marked = bare.withColumn("_format", format_of(F.col(path), F.col(content), explicit))
     both = parse_srt(marked.where("_format = 'srt'"), keys, content, entities).unionByName(parse_vtt(marked.where("_format = 'vtt'"), keys, content, entities))
     return both.where("end_ms > start_ms")
 
