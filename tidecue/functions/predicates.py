@@ -81,9 +81,12 @@ def is_caption_track(title: Column) -> Column:
     return F.contains(t, F.lit("cc")) | F.contains(t, F.lit("closed caption")) | F.contains(t, F.lit("sdh"))
 
 
+DENSE_MS, DENSE_WORDS = 1800, 7
+
+
 def is_dense_short_cue(c: Column, duration_ms: Column) -> Column:
     """PR10: seven words or more within 1.8 seconds."""
-    return (duration_ms <= 1800) & (F.size(words(comparable_key(c))) >= 7)
+    return (duration_ms <= DENSE_MS) & (F.size(words(comparable_key(c))) >= DENSE_WORDS)
 
 
 def is_song_style(style: Column) -> Column:

@@ -9,6 +9,7 @@ from tidecue.functions import predicates, rules, text, timecode
 from tidecue.functions.languages import with_container_language, with_profile
 from tidecue.operators import folds, neighbors, tracks
 from tidecue.operators.scan import number_rows
+from tidecue.session import cut
 from tidecue.sources import ass, sinks
 
 
@@ -38,6 +39,8 @@ def clean_segments(segments: DataFrame, entity: str = "transcript_id", order: li
     cleaned = cleaned.withColumn("_row", F.monotonically_increasing_id()).where("text <> '' and _row >= 0").drop("_row")
     if verbatim:
         return cleaned
+    # the range sort below reads its input twice, to sample and to shuffle
+    cleaned = cut(cleaned)
     return neighbors.drop_repeats(cleaned, entity, order or ["start_s", "seg_no"])
 
 

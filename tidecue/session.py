@@ -17,6 +17,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", name: str = "tidecue
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")  # the work per byte is high here
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -49,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores.
+
+    A scan of a few small files gives few partitions, too few for operators
+    that work long on each row. Larger inputs are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
