@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecue.llm.vocab import DEFAULT_FOLDER, encoder
+from tidecue.session import spread
 
 #: Characters up to which a text is encoded in one go, and the length of a piece beyond.
 LONG_CHARS = 65_536
@@ -95,7 +96,7 @@ def encode_documents(df: DataFrame, tokenizer: str = "byte_bpe_50k", id_column:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), _arrays([enc.encode_ordinary(t) for t in texts])], names=["id", "ids"])
 
-    short = rows.where(F.length("text") <= long_chars).mapInArrow(whole, f"id {kind}, ids array<int>")
+    short = spread(rows.where(F.length("text") <= long_chars)).mapInArrow(whole, f"id {kind}, ids array<int>")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidecue.llm.mojibake import CHAINS, restore
 from tidecue.llm.residue import is_only_residue
-from tidecue.session import cut
+from tidecue.session import cut, spread
 
 #: Bounds of the fit: documents per label, their length, bytes of a dictionary.
 SAMPLE_PER_LABEL = 300
@@ -265,7 +265,7 @@ def document_languages(df: DataFrame, model: LanguageModel, aliases: dict[str, s
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.bool_())], names=["doc_id", "para_no", "code", "confidence", "case"])
 
     rows = df.select(F.col("doc_id").cast("long"), "lang", "text").where("length(trim(text)) > 0")
-    return rows.mapInArrow(judge, "doc_id long, para_no int, code string, confidence double, case boolean")
+    return spread(rows).mapInArrow(judge, "doc_id long, para_no int, code string, confidence double, case boolean")
 
 
 def judge_document(model: LanguageModel, text: str, label: str | None) -> list[tuple[int, str, float, bool]]:
@@ -317,7 +317,7 @@ def segment_sizes(df: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), *[pa.array(c, pa.int32()) for c in (zip(*found) if found else [[]] * len(names))]], names=["segment_id", "transcript_id", *names])
 
     rows = df.select(F.col("segment_id").cast("long"), F.col("transcript_id").cast("long"), "text").where("length(trim(text)) > 0")
-    return rows.mapInArrow(measure, ", ".join(["segment_id long, transcript_id long", *[f"{n} int" for n in names]]))
+    return spread(rows).mapInArrow(measure, ", ".join(["segment_id long, transcript_id long", *[f"{n} int" for n in names]]))
 
 
 def transcript_languages(segments: DataFrame, transcripts: DataFrame, model: LanguageModel, aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:

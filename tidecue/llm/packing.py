@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecue.llm.vocab import DEFAULT_FOLDER, encoder
-from tidecue.session import cut
+from tidecue.session import cut, spread
 
 #: Partners per length in combinations of three, and rounds of the fit.
 PARTNERS = 48
@@ -163,7 +163,7 @@ def pack_documents(df: DataFrame, budgets: list[tuple[int, str, int]], id_column
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([len(enc.encode_ordinary(t)) for t in texts], pa.int64()) for enc in encoders]], names=["id", *[f"n{i}" for i in range(len(names))]])
 
-    measured = rows.mapInArrow(sizes, ", ".join([f"id {kind}", *[f"n{i} long" for i in range(len(names))]]))
+    measured = spread(rows).mapInArrow(sizes, ", ".join([f"id {kind}", *[f"n{i} long" for i in range(len(names))]]))
     laid = cut(measured)
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

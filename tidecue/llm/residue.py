@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecue.session import spread
+
 NAME = r"[A-Za-z_][\w.]{0,60}"
 
 #: Borders against letters of alphabets that part words by spaces; ideographs may touch a placeholder.
@@ -217,4 +219,4 @@ def find_residue(df: DataFrame, id_column: str, text_column: str = "text") -> Da
             at = [i for i, k in enumerate(kinds) if k]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([kinds[i] for i in at], pa.string())], names=["row_id", "kind"])
 
-    return rows.mapInArrow(find, f"row_id {kind}, kind string")
+    return spread(rows).mapInArrow(find, f"row_id {kind}, kind string")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecue.llm.vocab import DEFAULT_FOLDER, encoder
+from tidecue.session import spread
 
 #: Tokens a landmark depends on.
 HASH_WIDTH = 12
@@ -178,5 +179,5 @@ def split_documents(df: DataFrame, budgets: list[tuple[int, str, int, int]], id_
                 b, no, start, end, size, over, text = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), ids.take(pa.array(at)), *[pa.array(x, pa.int32()) for x in (no, start, end, size, over)], pa.array(text, pa.string())], names=names)
 
-    out = rows.mapInArrow(pieces, f"budget_id int, id {kind}, piece_no int, char_start int, char_end int, tokens int, overlap_tokens int, text string")
+    out = spread(rows).mapInArrow(pieces, f"budget_id int, id {kind}, piece_no int, char_start int, char_end int, tokens int, overlap_tokens int, text string")
     return out.withColumnRenamed("id", id_column)
