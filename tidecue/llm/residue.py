@@ -21,7 +21,7 @@ from tidecue.session import spread
 NAME = r"[A-Za-z_][\w.]{0,60}"
 
 #: Borders against letters of alphabets that part words by spaces; ideographs may touch a placeholder.
-NOT_AFTER, NOT_BEFORE = r"(?<![A-Za-z0-9_\u00c0-\u04ff])", r"(?![A-Za-z0-9_\u00c0-\u04ff])"
+NOT_AFTER, NOT_BEFORE = r"(?<![A-Za-z0-9_\u00c0-\u04ff])", r"(?:(?=[Ss][Tt][Rr](?:\.|a))|(?![A-Za-z0-9_\u00c0-\u04ff]))"
 
 #: Grammars of placeholders by delimiter.
 PLACEHOLDERS = {
@@ -35,7 +35,7 @@ PLACEHOLDERS = {
     "percent_pair": rf"{NOT_AFTER}%[A-Z][A-Z0-9_]{{2,40}}%{NOT_BEFORE}",
     "at_pair": r"@@\w{1,60}@@",
     "square_double": r"\[\[\s*\w[\w .-]{0,60}\]\]",
-    "colon_pair": rf"{NOT_AFTER}(?<![:/]):[A-Za-z][a-z]*(?:_[a-z]+)*:(?![:/]){NOT_BEFORE}",
+    "colon_pair": rf"{NOT_AFTER}(?<![:/]):[A-Za-z]+(?:_[A-Za-z]+)*:(?![:/]){NOT_BEFORE}",
     "underscore_pair": rf"{NOT_AFTER}__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__{NOT_BEFORE}",
     "brace_named": rf"{NOT_AFTER}(?<![{{$#%])\{{(?:[A-Za-z_]\w{{1,60}}|\d{{1,2}})?\}}(?!\}})",
     "angle_capitals": r"<[A-Z]{3,20}(?:_[A-Z]{1,20}){0,4}>",
