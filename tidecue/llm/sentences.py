@@ -276,7 +276,7 @@ def _opening(text: str, at: int, caseless: bool, seen: list[Boundary]) -> float:
 
 def _length_score(letters: int) -> float:
     """Spans of a few words up to some lines are likelier than scraps and very long ones."""
-    if letters < 2:
+    if letters < 1:
         return -3.0
     if letters > 600:
         return -0.5
