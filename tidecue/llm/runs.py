@@ -57,6 +57,8 @@ def utterance_words(text: str) -> tuple[str, ...]:
     for w in plain.split():
         if not words or words[-1] != w:
             words.append(w)
+            if len(words) > 3 and words[-2:] == words[-4:-2]:  # a doubled compound
+                del words[-2:]
     at = 0
     while at < len(words) - 1 and words[at] in HESITATIONS:
         at += 1
@@ -140,7 +142,8 @@ def same_utterance(a: tuple[str, ...], b: tuple[str, ...], slips: int = 3) -> bo
 
 
 def _skippable(word: str, longest: int) -> bool:
-    return longest >= 4 and len(word) <= 3 and not _DIGIT.search(word)
+    # a sharp s folds to two letters
+    return longest >= 4 and len(word) - ("ss" in word) <= 3 and not _DIGIT.search(word)
 
 
 class _Walk:
