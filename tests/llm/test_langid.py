@@ -56,3 +56,10 @@ def test_tables(spark, model):
     assert sorted((r.id, r.code, r.case) for r in whole.collect()) == [(1, "fr", False), (2, "ja", True)]
     assert [(r.id, r.code) for r in foreign.collect()] == [(90, "es")]
     assert document_languages(docs.limit(0), model, ALIASES).count() == 0
+
+
+def test_labels_of_one_language_get_one_dictionary():
+    rng = random.Random(2)
+    samples = {code: [" ".join(rng.choices(said, k=5)) for _ in range(40)] for code, said in SAID.items()}
+    samples["wuu"] = [" ".join(rng.choices(SAID["ja"], k=5)) for _ in range(12)]
+    assert set(fit_dictionaries(samples)) == set(SAID)

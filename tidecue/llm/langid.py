@@ -29,6 +29,8 @@ SAMPLE_PER_LABEL = 300
 SAMPLE_CHARS = (100, 8_000)
 DICTIONARY_BYTES = 96_000
 LEVEL = 3
+#: Share of a label's paragraphs that must speak for it and not for a second label.
+DISTINCT = 0.7
 
 #: Bytes by which a language must win before it contradicts a label or its surroundings.
 MARGIN = 8
@@ -152,29 +154,38 @@ def _words(text: str) -> list[str]:
     return _LETTERS.findall(text)
 
 
-def fit_dictionaries(samples: dict[str, list[str]], seed: int = 7) -> dict[str, bytes]:
+def fit_dictionaries(samples: dict[str, list[str]], population: dict[str, int] | None = None, seed: int = 7) -> dict[str, bytes]:
     """Raw-content dictionaries from texts by label, some of them labelled wrongly.
 
-    Word counts by label judge each paragraph; those that speak for another
-    label are dropped. A label of which hardly a paragraph is left (all its
-    texts read like another language's) gets no dictionary.
+    Word counts by label judge each paragraph, its own words left out; those
+    that speak for another label are dropped. Where a label's paragraphs hardly
+    speak for it rather than for a second one, both name one language, and the
+    rarer label (by population, the number of texts it stands on) gets no
+    dictionary.
     """
     paragraphs = {code: [p for t in texts for p in map(plain, BLANK_LINES.split(t)) if len(p) > (12 if _CJK.search(p) else 40)] for code, texts in samples.items()}
     paragraphs = {code: ps for code, ps in paragraphs.items() if ps}
     counts = {code: Counter(w for p in ps for w in set(_words(p))) for code, ps in paragraphs.items()}
     totals = {code: len(ps) for code, ps in paragraphs.items()}
+    population = population or totals
     kept: dict[str, list[str]] = defaultdict(list)
+    spoken: dict[str, Counter] = {}
     for code, ps in paragraphs.items():
+        spoken[code] = Counter()
         for p in ps:
             words = set(_words(p))
-            score = {c: math.log(totals[c]) + sum(math.log((counts[c][w] + 0.02) / (totals[c] + 1)) for w in words) for c in counts}
-            if words and max(score, key=score.get) == code:
+            score = {c: sum(math.log((counts[c][w] - own + 0.02) / (totals[c] - own + 1)) for w in words) for c in counts for own in (int(c == code),)}
+            best = max(score, key=score.get) if words else None
+            spoken[code][best] += 1
+            if best == code:
                 kept[code].append(p)
+    gone = set()
+    for code in spoken:
+        for other, n in spoken[code].items():
+            if other not in (None, code) and spoken[code][code] < DISTINCT * (spoken[code][code] + n):
+                gone.add(min((code, other), key=lambda c: (population.get(c, 0), c)))
     out = {}
-    largest = max(map(len, kept.values()), default=0)
-    for code in sorted(kept):
-        if len(kept[code]) < 0.4 * totals[code] or len(kept[code]) * 50 < largest and totals[code] * 20 < max(totals.values()):
-            continue
+    for code in sorted(kept.keys() - gone):
         rng, seen, content = random.Random(seed), set(), []
         sentences = [s for p in kept[code] for s in _SENTENCE.split(p) if len(s) > 3]
         rng.shuffle(sentences)
@@ -209,7 +220,7 @@ def fit_model(spark: SparkSession, documents: DataFrame, aliases: dict[str, str]
     samples: dict[str, list[str]] = defaultdict(list)
     for r in rows.where(label.isin(*counts) & drawn).select("lang", "text", "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect():
         samples[label_code(r.lang, aliases)].append(r.text)
-    return LanguageModel(fit_dictionaries(samples))
+    return LanguageModel(fit_dictionaries(samples, per_code))
 
 
 def read_sizes(model: LanguageModel, text: str) -> list[int] | None:
@@ -222,12 +233,12 @@ def read_sizes(model: LanguageModel, text: str) -> list[int] | None:
     if strange * 3 > len(body) >= 8:
         raw = len(body.encode("utf-8"))
         beyond = _BEYOND_LATIN.search(text)
-        if not beyond and min(sizes) > 0.5 * len(body) or beyond and min(sizes) > 0.7 * raw and _MIXED_CYRILLIC.search(text):
+        if not beyond or min(sizes) > 0.7 * raw and _MIXED_CYRILLIC.search(text):
             for chain in _GARBLES:
                 back = restore(text, chain)
                 if back is not None and back != text:
                     again = model.sizes(plain(back))
-                    if again is not None and min(again) < 0.6 * min(sizes):
+                    if again is not None and min(again) < 0.8 * min(sizes):
                         return again
             if not beyond:
                 return None  # no text in Latin letters has so many beyond ASCII
