@@ -56,13 +56,18 @@ def unescape_html(c: Column) -> Column:
 
 
 def strip_markup(c: Column, entities: bool = True) -> Column:
-    """SC3: cue text without tags, with <br> as a line break, entities read and blanks collapsed."""
+    """SC3: cue text without tags, with <br> as a line break, entities read and blanks collapsed.
+
+    One test finds the texts on which any of the steps has something to do.
+    """
     t = F.regexp_replace(strip(F.regexp_replace(c, rf"(?dm)^{rules.BLANK}+|{rules.BLANK}+$", "")), r"(?i)<\s*br\s*/?\s*>", "\n")
     t = F.regexp_replace(t, r"(?i)</?(c|i|b|u|ruby|rt|v|lang)(\.[^ >]+)?(\s+[^>]*)?>", "")
     t = F.regexp_replace(t, r"<[^>]+>", "")
     t = unescape_html(t) if entities else t
     t = F.regexp_replace(F.replace(t, F.lit("\ufeff"), F.lit("")), "[ \t]+", " ")
-    return strip(F.regexp_replace(t, " *\n *", "\n"))
+    t = strip(F.regexp_replace(t, " *\n *", "\n"))
+    busy = c.rlike(f"[<\ufeff\t{'&' if entities else ''}]|  |{rules.BLANK}\n|\n{rules.BLANK}|^{SP}|{SP}$")
+    return F.when(busy, t).otherwise(c)
 
 
 def escape_ass_text(c: Column) -> Column:
@@ -122,23 +127,25 @@ def repair_phrases(c: Column) -> Column:
 
 
 def drop_repeated_words(c: Column) -> Column:
-    """SC15: a word equal to the one before it, but for case and punctuation, is dropped."""
-    parts = words(c)
-    keys = F.transform(parts, bare_key)
-    kept = F.filter(F.arrays_zip(parts.alias("w"), keys.alias("k"), F.concat(F.array(F.lit("")), F.slice(keys, 1, F.greatest(F.size(keys) - 1, F.lit(0)))).alias("p")), lambda x: (x["k"] == "") | (x["k"] != x["p"]))
-    return F.when(F.size(parts) < 2, c).otherwise(F.array_join(F.transform(kept, lambda x: x["w"]), " "))
+    """SC15: a word equal to the last kept one, but for case and punctuation, is dropped."""
+    keyed = F.transform(words(c), lambda w: F.struct(w.alias("w"), bare_key(w).alias("k")))
+    none = F.struct(F.lit("").alias("out"), F.lit("").alias("last"))
+    join = lambda out, w: F.when(out == "", w).otherwise(F.concat(out, F.lit(" "), w))
+    kept = F.aggregate(keyed, none, lambda a, x: F.when((x["k"] != "") & (x["k"] == a["last"]), a).otherwise(F.struct(join(a["out"], x["w"]).alias("out"), x["k"].alias("last"))), lambda a: a["out"])
+    return F.when(F.contains(squeeze(c), F.lit(" ")), kept).otherwise(c)
 
 
 def collapse_phrases(c: Column) -> Column:
-    """SC16: a phrase between marks equal to the one before it is dropped with its mark; so are empty phrases."""
+    """SC16: a phrase between marks equal to the last kept one is dropped with its mark; so are empty phrases."""
+    marks = "[,.;:!?。！？]"
     found = F.regexp_extract_all(squeeze(c), F.lit(f"({PHRASE})"), 1)
-    split = F.transform(found, lambda m: F.struct(squeeze(F.regexp_replace(m, "[,.;:!?。！？]$", "")).alias("p"), F.regexp_extract(m, "([,.;:!?。！？])$", 1).alias("m")))
-    solid = F.filter(split, lambda x: x["p"] != "")
-    keyed = F.transform(solid, lambda x: F.struct(F.concat(x["p"], x["m"]).alias("t"), bare_key(x["p"]).alias("k")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    before = F.concat(F.array(F.lit("")), F.slice(keys, 1, F.greatest(F.size(keys) - 1, F.lit(0))))
-    kept = F.filter(F.arrays_zip(keyed.alias("x"), before.alias("b")), lambda z: (z["x"]["k"] == "") | (z["x"]["k"] != z["b"]))
-    return squeeze(F.array_join(F.transform(kept, lambda z: z["x"]["t"]), " "))
+    keyed = F.transform(found, lambda m: F.struct(F.trim(F.regexp_replace(m, f" +({marks})$", "$1")).alias("t"), bare_key(m).alias("k")))
+    none = F.struct(F.lit("").alias("out"), F.lit("").alias("last"))
+    join = lambda out, t: F.when(out == "", t).otherwise(F.concat(out, F.lit(" "), t))
+    kept = F.aggregate(
+        keyed, none, lambda a, x: F.when(x["t"].rlike(f"^{marks}?$") | (x["k"] != "") & (x["k"] == a["last"]), a).otherwise(F.struct(join(a["out"], x["t"]).alias("out"), x["k"].alias("last"))), lambda a: a["out"]
+    )
+    return squeeze(kept)
 
 
 def comparable_key(c: Column) -> Column:
