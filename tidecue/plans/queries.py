@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from tidecue.functions import languages, predicates, rules, text, timecode
 from tidecue.operators import folds, neighbors, tracks, translate
 from tidecue.operators.intervals import periods_and_gaps
-from tidecue.plans import pipelines
+from tidecue.plans import commands, pipelines
 from tidecue.plans import sql as S
 from tidecue.session import table
-from tidecue.sources import ass, recogniser, sinks, subtitles
+from tidecue.sources import ass, discovery, recogniser, sinks, subtitles
 from tidecue.streaming import cues as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,3 +678,85 @@ def stream_arrivals(spark, sf_dir):
     found = streaming.read_cues(spark, f"{sf_dir}/cues.parquet", schema)
     shown = streaming.drain(streaming.arrivals(found), f"arrivals_{uuid.uuid4().hex[:8]}", f"{base}/stream-{uuid.uuid4().hex}", "complete")
     return shown.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# ---------------------------------------------------------------- more of the inventory
+
+
+@query("split_final_sentence", f"select segment_id, case when h <> '' and t <> '' then h else flat end as head, case when h <> '' and t <> '' then t else '' end as tail from (select segment_id, flat, regexp_extract(flat, '^(.*[.!?])( +)([A-ZÁÉÍÓÚÜÑ¡¿].*)$', 1) as h, regexp_extract(flat, '^(.*[.!?])( +)([A-ZÁÉÍÓÚÜÑ¡¿].*)$', 3) as t from (select segment_id, {S.squeeze('text')} as flat from {S.SEGMENTS} where text is not null))")
+def split_final_sentence(spark, sf_dir):
+    cut = text.split_final_sentence(F.col("text"))
+    return segments(spark, sf_dir).where("text is not null").select("segment_id", cut["head"].alias("head"), cut["tail"].alias("tail"))
+
+
+@query("alignment_keys", f"select segment_id, {S.sub(S.fold('text'), '[^0-9a-záéíóúüñ]+')} as aligned from {S.SEGMENTS} where text is not null")
+def alignment_keys(spark, sf_dir):
+    return segments(spark, sf_dir).where("text is not null").select("segment_id", text.alignment_key(F.col("text")).alias("aligned"))
+
+
+@query("repair_phrases", f"select segment_id, {reduce(lambda y, r: S.sub(y, '(?i)' + r[0], r[1].replace('$1', chr(92) + '1')), rules.SPANISH_PHRASES, 'text')} as fixed from {S.SEGMENTS} where text is not null")
+def repair_phrases(spark, sf_dir):
+    return segments(spark, sf_dir).where("text is not null").select("segment_id", text.repair_phrases(F.col("text")).alias("fixed"))
+
+
+@query("dense_cues", f"select cue_id, end_ms - start_ms <= 1800 and len({S.words(S.key('text'))}) >= 7 as dense, end_ms > start_ms as positive from {S.CUES} where text is not null and start_ms is not null and end_ms is not null")
+def dense_cues(spark, sf_dir):
+    c = cues(spark, sf_dir).where("text is not null and start_ms is not null and end_ms is not null")
+    return c.select("cue_id", predicates.is_dense_short_cue(F.col("text"), F.col("end_ms") - F.col("start_ms")).alias("dense"), predicates.has_positive_duration(F.col("start_ms"), F.col("end_ms")).alias("positive"))
+
+
+@query("result_tally", f"select backend, count(*) as n, count_if(audio_stream_index is null) as n_without_stream from {S.HEADERS} group by 1")
+def result_tally(spark, sf_dir):
+    return headers(spark, sf_dir).groupBy("backend").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("audio_stream_index").isNull()).alias("n_without_stream"))
+
+
+@query("workspace_paths", f"select track_id, workspace as output_name, 'outputs/' || workspace || '/debug/video-generate-traslated-subtitles-from-existing-subtitles/subtitles/source/' || workspace || '.source.ass' as source_ass, 'outputs/' || workspace || '/' || workspace || '.spa.mkv' as output_mkv from {S.TRACKS}")
+def workspace_paths(spark, sf_dir):
+    w = discovery.workspace(F.concat(F.lit("inputs/"), F.col("workspace"), F.lit(".mkv")))
+    return subtitle_tracks(spark, sf_dir).select("track_id", w["output_name"].alias("output_name"), w["source_ass"].alias("source_ass"), w["output_mkv"].alias("output_mkv"))
+
+
+@query("detected_language", f"select transcript_id, trim(coalesce(detected_language, '')) as language from {S.HEADERS}")
+def detected_language(spark, sf_dir):
+    docs = headers(spark, sf_dir).select("transcript_id", F.to_json(F.struct(F.col("detected_language").alias("language"))).alias("content"))
+    return docs.select("transcript_id", recogniser.detected_language(F.col("content")).alias("language"))
+
+
+@query("first_stream", f"select workspace, arg_min(track_id, stream_index * 1000000000000 + track_id) as track_id from {S.TRACKS} group by 1")
+def first_stream(spark, sf_dir):
+    t = subtitle_tracks(spark, sf_dir).select("workspace", "track_id", (F.col("stream_index") * F.lit(10**12) + F.col("track_id")).alias("stream_index"))
+    return tracks.find_stream(t, "workspace").select("workspace", "track_id")
+
+
+@query("mux_commands", f"select track_id, 'mkvmerge --output out.mkv --default-track-flag ' || mkv_track_id || ':no in.mkv --language 0:spa --track-name 0:Español --default-track-flag 0:yes new.srt' as command from {S.TRACKS}")
+def mux_commands(spark, sf_dir):
+    command = commands.native_mux_command(F.lit("in.mkv"), F.lit("new.srt"), F.lit("out.mkv"), F.lit("spa"), F.lit("Español"), F.array("mkv_track_id"))
+    return subtitle_tracks(spark, sf_dir).select("track_id", F.array_join(command, " ").alias("command"))
+
+
+@query("event_counts", f"select track_id, count_if(not s) as visible, count_if(s) as skipped from (select track_id, t = '' or (length(tight) >= 8 and replace(tight, left(tight, 1), '') = '') or regexp_matches(raw, '\\\\p[1-9]') as s from (select track_id, text as raw, {S.strip_ass('text')} as t, lower({S.sub(S.strip_ass('text'), rules.SPACE + '+')}) as tight from {S.CUES} where start_ms >= 0 and end_ms >= 0 and text is not null)) group by 1")
+def event_counts(spark, sf_dir):
+    return pipelines.event_counts(pipelines.normalize_ass(ass_lines(spark, sf_dir)), "track_id").drop("changed")
+
+
+@query(
+    "languages_of_tracks",
+    f"""with a as (select lower(trim(alias)) as alias, min(code) as code from language_aliases group by 1),
+t as (select track_id, workspace, stream_index, codec_name, is_default, lower(trim(source_language)) as k from {S.TRACKS}),
+l as (select track_id, workspace, stream_index, codec_name, is_default, coalesce(x.code, case when contains(k, '-') then y.code end) as code from t left join a x on t.k = x.alias left join a y on split_part(t.k, '-', 1) = y.alias)
+select track_id, code as source_language, code is not null as supported, lower(codec_name) in {S.listed(rules.TEXT_CODECS + rules.TEXT_CODEC_IDS)} as textual from l""",
+)
+def languages_of_tracks(spark, sf_dir):
+    return subtitle_inventory(spark, sf_dir).select("track_id", "source_language", "supported", "textual")
+
+
+_HEAD = sinks.ASS_HEADER.format(title="Converted text subtitles", width=1920, height=1080, font="Arial", size=54, margin_l=80, margin_r=80, margin_v=48)
+ORACLES["ass_files"] = f"""with c as (select distinct track_id, start_ms, end_ms, text from {PLAIN} where text <> '')
+select track_id, count(*) as n_cues, {S.q(_HEAD)} || string_agg('Dialogue: 0,' || {S.ass_time('start_ms')} || ',' || {S.ass_time('end_ms')} || ',Default,,0,0,0,,' || {S.replaces("translate(replace(text, chr(92), chr(92) || chr(92)), '{}', '()')", [(chr(10), chr(92) + 'N')])}, chr(10) order by start_ms, end_ms, text) || chr(10) as content from c group by 1"""
+ORACLES["tv_srt_files"] = f"""with c as (select distinct track_id, start_ms, end_ms, text from {PLAIN} where text <> ''), n as (select *, row_number() over (partition by track_id order by start_ms, end_ms, text) as n from c)
+select track_id, chr(65279) || string_agg(n || chr(10) || {S.srt_time('start_ms')} || ' --> ' || {S.srt_time('end_ms')} || chr(10) || text || chr(10), chr(10) order by n) as content from n group by 1"""
+ORACLES["markdown_documents"] = f"""with p as ({ORACLES['paragraphs']}),
+b as (select transcript_id, string_agg('## ' || {S.clock('start_s')} || ' - ' || {S.clock('end_s')} || chr(10) || chr(10) || text, chr(10) || chr(10) order by para_no) as body from p group by 1)
+select transcript_id, '---' || chr(10) || 'title: ''Recording ' || transcript_id || '''' || chr(10) || 'source_video: ''' || replace(coalesce(workspace, ''), '''', '''''') || '''' || chr(10) || 'backend: ''' || replace(coalesce(backend, ''), '''', '''''') || '''' || chr(10)
+|| 'language: ''' || replace(case when coalesce(detected_language, '') = '' then 'und' else detected_language end, '''', '''''') || '''' || chr(10) || 'audio_stream_index: ' || coalesce(cast(audio_stream_index as varchar), '') || chr(10) || 'postprocess_mode: ''clean''' || chr(10)
+|| 'generated_at: ''2026-01-01T00:00:00+00:00''' || chr(10) || '---' || chr(10) || chr(10) || '# Recording ' || transcript_id || chr(10) || coalesce(chr(10) || body || chr(10), '') as content from {S.HEADERS} left join b using (transcript_id)"""
