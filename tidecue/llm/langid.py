@@ -28,7 +28,7 @@ from tidecue.session import cut, spread
 SAMPLE_PER_LABEL = 300
 SAMPLE_CHARS = (100, 8_000)
 DICTIONARY_BYTES = 96_000
-LEVEL = 3
+LEVEL = 2
 #: Share of a label's paragraphs that must speak for it and not for a second label.
 DISTINCT = 0.7
 
@@ -100,21 +100,26 @@ class LanguageModel:
             found = scripts_of(dictionaries[code].decode("utf-8", "ignore"))
             total = sum(found.values()) or 1
             self.scripts[code] = {s for s, n in found.items() if n >= 0.3 * total} | ({"han"} if "kana" in found and found["kana"] >= 0.3 * total else set())
-        self._compressors = None
+        self._fitting = None
 
     def __reduce__(self):
         return LanguageModel, (self.dictionaries,)
 
     def sizes(self, text: str) -> list[int] | None:
         """Compressed size by language, in the order of codes; None for a text without letters."""
-        if self._compressors is None:
-            self._compressors = _compressors(tuple(self.dictionaries[c] for c in self.codes))
+        if self._fitting is None:
+            compress = [c.compress for c in _compressors(tuple(self.dictionaries[c] for c in self.codes))]
+            scripts = set().union(*self.scripts.values()) if self.codes else set()
+            self._fitting = {s: [(i, compress[i]) for i, code in enumerate(self.codes) if s in self.scripts[code]] for s in scripts}
         found = scripts_of(text)
         if not found:
             return None
-        script = max(found, key=lambda s: (found[s], s))
+        script = next(iter(found)) if len(found) == 1 else max(found, key=lambda s: (found[s], s))
         raw = text.encode("utf-8")
-        return [len(comp.compress(raw)) if script in self.scripts[code] else len(raw) + 12 for code, comp in zip(self.codes, self._compressors)]
+        out = [len(raw) + 12] * len(self.codes)
+        for i, compress in self._fitting.get(script, ()):
+            out[i] = len(compress(raw))
+        return out
 
     def best(self, sizes: list[int]) -> tuple[str, int, int]:
         """(code, its size, margin to the next)."""
@@ -208,8 +213,10 @@ def fit_model(spark: SparkSession, documents: DataFrame, aliases: dict[str, str]
     the driver; classification itself reads every text whole.
     """
     label = F.lower(F.trim("lang"))
-    rows = documents.where(F.length("text").between(*SAMPLE_CHARS) & F.col("lang").isNotNull())
-    counts = {r.label: r["count"] for r in rows.groupBy(label.alias("label")).count().collect() if label_code(r.label, aliases)}
+    labelled = documents.where(F.col("lang").isNotNull())
+    rows = labelled.where(F.length("text").between(*SAMPLE_CHARS))
+    # one row per spelling of a label; only the label column is read
+    counts = {r.label: r["count"] for r in labelled.groupBy(label.alias("label")).count().collect() if label_code(r.label, aliases)}
     per_code: dict[str, int] = defaultdict(int)
     for name, n in counts.items():
         per_code[label_code(name, aliases)] += n
