@@ -710,7 +710,7 @@ def result_tally(spark, sf_dir):
     return headers(spark, sf_dir).groupBy("backend").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("audio_stream_index").isNull()).alias("n_without_stream"))
 
 
-@query("workspace_paths", f"select track_id, workspace as output_name, 'outputs/' || workspace || '/debug/video-generate-traslated-subtitles-from-existing-subtitles/subtitles/source/' || workspace || '.source.ass' as source_ass, 'outputs/' || workspace || '/' || workspace || '.spa.mkv' as output_mkv from {S.TRACKS}")
+@query("workspace_paths", f"select track_id, workspace as output_name, 'outputs/' || workspace || '/debug/translation/subtitles/source/' || workspace || '.source.ass' as source_ass, 'outputs/' || workspace || '/' || workspace || '.spa.mkv' as output_mkv from {S.TRACKS}")
 def workspace_paths(spark, sf_dir):
     w = discovery.workspace(F.concat(F.lit("inputs/"), F.col("workspace"), F.lit(".mkv")))
     return subtitle_tracks(spark, sf_dir).select("track_id", w["output_name"].alias("output_name"), w["source_ass"].alias("source_ass"), w["output_mkv"].alias("output_mkv"))

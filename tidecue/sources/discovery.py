@@ -30,12 +30,15 @@ def translation_maps(files: DataFrame, keys: list[str], path: str = "path") -> D
     return listed.select(*keys, F.posexplode("_l").alias("file_no", "_f")).select(*keys, "file_no", F.col("_f")[path].alias(path))
 
 
-def workspace(path: Column, tool: str = "translation") -> Column:
-    """SC25: struct of the paths derived from an input's path, for translation, audio subtitles or text transcription."""
+def workspace(path: Column, tool: str = "translation", folder: str = "") -> Column:
+    """SC25: struct of the paths derived from an input's path, for a tool: translation, audio or text.
+
+    Intermediate files lie in a folder named like the tool, or as given.
+    """
     name = output_folder_name(path)
     stem = F.regexp_replace(F.regexp_extract(F.translate(path, "\\", "/"), "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     out = F.concat(F.lit("outputs/"), name)
-    debug = F.concat(out, F.lit("/debug/" + {"translation": "video-generate-traslated-subtitles-from-existing-subtitles", "audio": "video-generate-new-subtitles-from-audio", "text": "video-generate-whisper-transcription"}[tool]))
+    debug = F.concat(out, F.lit("/debug/" + (folder or tool)))
     at = lambda base, tail, suffix="": F.concat(base, F.lit("/" + tail), *([stem, F.lit(suffix)] if suffix else []))
     common = [name.alias("output_name"), out.alias("output_dir"), debug.alias("debug_dir"), at(debug, "reports").alias("reports_dir")]
     own = {
