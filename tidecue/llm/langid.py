@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecue.functions.text import strip
 from tidecue.llm.mojibake import CHAINS, restore
 from tidecue.llm.residue import is_only_residue
 from tidecue.session import cut, spread
@@ -358,9 +359,10 @@ def transcript_languages(segments: DataFrame, transcripts: DataFrame, model: Lan
     totals = once.groupBy("transcript_id").agg(*[F.sum(n).alias(n) for n in names])
     arranged = lambda prefix="": F.array_sort(F.array(*[F.struct(F.col(prefix + n).cast("long").alias("size"), F.lit(c).alias("code")) for n, c in zip(names, model.codes)]))
     main = totals.withColumn("order", arranged()).select("transcript_id", F.col("order")[0]["code"].alias("code"), F.col("order")[0]["size"].alias("size"), F.col("order")[1 if len(names) > 1 else 0]["size"].alias("second"), *names)
-    labels = F.udf(lambda x: label_code(x, aliases), "string")
+    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else F.create_map().cast("map<string,string>")
+    key = strip(F.lower("label"))
     headers = transcripts.groupBy("transcript_id").agg(F.first("detected_language").alias("label"))
-    named = headers.select(F.col("transcript_id").alias("tid"), labels("label").alias("named"))
+    named = headers.select(F.col("transcript_id").alias("tid"), F.coalesce(F.try_element_at(table, key), F.try_element_at(table, strip(F.substring_index(key, "-", 1)))).alias("named"))
     of_named = F.coalesce(*[F.when(F.col("named") == c, F.col(n)) for n, c in zip(names, model.codes)])
     contradicts = F.col("named").isNull() | ((F.col("named") != F.col("code")) & (of_named.isNull() | (of_named - F.col("size") >= F.greatest(F.lit(MARGIN), SHARE * F.least("size", F.lit(400))))))
     whole = main.join(named, F.col("transcript_id") == F.col("tid")).select(F.col("transcript_id").alias("id"), "code", F.round(1 - F.col("size") / F.greatest("second", F.lit(1)), 4).alias("confidence"), contradicts.alias("case"))
