@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidecue.functions.text import strip
 from tidecue.llm.mojibake import CHAINS, restore
-from tidecue.llm.residue import is_only_residue
+from tidecue.llm.residue import has_placeholder, is_only_residue
 from tidecue.session import cut, spread
 
 #: Bounds of the fit: documents per label, their length, bytes of a dictionary.
@@ -321,22 +321,26 @@ def judge_document(model: LanguageModel, text: str, label: str | None) -> list[t
 
 
 def segment_sizes(df: DataFrame, model: LanguageModel) -> DataFrame:
-    """(segment_id, transcript_id, s0, s1, ...): sizes of each segment's text by language; residue and texts without letters are left out."""
+    """(segment_id, transcript_id, part, s0, s1, ...): sizes of each segment's text by language, and whether a placeholder stands in it.
+
+    Segments that are nothing but residue, and texts without letters, are left out.
+    """
     names = [f"s{i}" for i in range(len(model.codes))]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found = [], []
+            at, found, part = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 sizes = None if is_only_residue(text) else read_sizes(model, text)
                 if sizes is not None:
                     at.append(i)
                     found.append(sizes)
+                    part.append(has_placeholder(text))
             keep = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), *[pa.array(c, pa.int32()) for c in (zip(*found) if found else [[]] * len(names))]], names=["segment_id", "transcript_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(part, pa.bool_()), *[pa.array(c, pa.int32()) for c in (zip(*found) if found else [[]] * len(names))]], names=["segment_id", "transcript_id", "part", *names])
 
     rows = df.select(F.col("segment_id").cast("long"), F.col("transcript_id").cast("long"), "text").where("length(trim(text)) > 0")
-    return spread(rows).mapInArrow(measure, ", ".join(["segment_id long, transcript_id long", *[f"{n} int" for n in names]]))
+    return spread(rows).mapInArrow(measure, ", ".join(["segment_id long, transcript_id long, part boolean", *[f"{n} int" for n in names]]))
 
 
 def transcript_languages(segments: DataFrame, transcripts: DataFrame, model: LanguageModel, aliases: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +350,7 @@ def transcript_languages(segments: DataFrame, transcripts: DataFrame, model: Lan
     summed before the shuffle, so a transcript may hold any share of them. Its
     case says that detected_language names no profile or another one. The
     second frame has a row for each segment in another language than its
-    transcript's. Transcripts without any text give no row. Rows delivered
+    transcript's, but for such with residue. Transcripts without any text give no row. Rows delivered
     again count once; null transcript ids are left out.
     """
     names = [f"s{i}" for i in range(len(model.codes))]
@@ -369,7 +373,7 @@ def transcript_languages(segments: DataFrame, transcripts: DataFrame, model: Lan
     pieces = once.join(main.select("transcript_id", F.col("code").alias("main")), "transcript_id").withColumn("order", arranged())
     of_main = F.coalesce(*[F.when(F.col("main") == c, F.col(n)) for n, c in zip(names, model.codes)])
     gap, least = of_main - F.col("order")[0]["size"], F.col("order")[0]["size"]
-    foreign = pieces.where((F.col("order")[0]["code"] != F.col("main")) & (gap >= MARGIN) & (gap >= SHARE * least)).select(
+    foreign = pieces.where(~F.col("part") & (F.col("order")[0]["code"] != F.col("main")) & (gap >= MARGIN) & (gap >= SHARE * least)).select(
         F.col("segment_id").alias("id"), F.col("order")[0]["code"].alias("code"), F.round(1 - least / F.greatest(of_main, F.lit(1)), 4).alias("confidence"), F.lit(True).alias("case")
     )
     return whole, foreign
