@@ -117,17 +117,18 @@ def normalize_files(lines: DataFrame, key: str) -> tuple[DataFrame, DataFrame, D
     repeated tails, then cues for television. The report counts events and the
     suspicious question marks of every dialogue and cue.
     """
-    spelt = normalize_ass(lines)
+    # both are read by several of the steps below
+    spelt = cut(normalize_ass(lines))
     shown = spelt.where("raw is not null").withColumn("text", text.strip_ass_text(F.col("raw")))
     shown = shown.where(~predicates.is_skippable(F.col("style"), F.col("effect"), F.col("raw"), F.col("text")))
     moved = neighbors.redistribute_prefixes(shown.select(key, "line_no", "text"), key, "line_no").where("redistributed").select(key, "line_no", F.col("text").alias("_moved"))
     shown = shown.join(moved, [key, "line_no"], "left").withColumn("raw", F.when(F.col("_moved").isNotNull(), text.replace_keeping_tags(F.col("raw"), F.col("_moved"))).otherwise(F.col("raw"))).withColumn("text", F.coalesce("_moved", "text")).drop("_moved")
-    timed = shown.withColumn("start_ms", timecode.ass_time_to_ms(F.col("start"))).withColumn("end_ms", timecode.ass_time_to_ms(F.col("end")))
+    timed = cut(shown.withColumn("start_ms", timecode.ass_time_to_ms(F.col("start"))).withColumn("end_ms", timecode.ass_time_to_ms(F.col("end"))))
     kept = neighbors.remove_adjacent_duplicates(timed.select(key, "line_no", "start_ms", "end_ms", "text"), key, ["line_no"])
     trimmed = neighbors.trim_repeated_fragments(kept, key, ["line_no"])
     fates = trimmed.select(key, "line_no", F.col("end_ms").alias("_end"), F.when(F.col("trimmed"), F.col("text")).alias("_cut"))
     visible = timed.join(fates, [key, "line_no"]).withColumn("end", F.when(F.col("_end") > F.col("end_ms"), timecode.ms_to_ass_time(F.col("_end"))).otherwise(F.col("end"))).withColumn("raw", F.when(F.col("_cut").isNotNull(), text.replace_keeping_tags(F.col("raw"), F.col("_cut"))).otherwise(F.col("raw")))
-    rest = spelt.join(shown.select(key, "line_no"), [key, "line_no"], "left_anti")
+    rest = spelt.join(timed.select(key, "line_no"), [key, "line_no"], "left_anti")
     columns = [c for c in spelt.columns]
     final = rest.select(*columns).unionByName(visible.select(*columns))
     final = ass.dialogue_line(final).withColumn("line", F.when(F.col("raw").isNotNull(), F.col("line"))) if "line" not in columns else final
