@@ -46,7 +46,6 @@ _DIGITS = re.compile("[0-9]+")
 _ASCII = re.compile(r"[\x00-\x7f]+")
 _ASCII_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_KANA = re.compile(r"[぀-ヿ]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 _SCRIPTS = (
