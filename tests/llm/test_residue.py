@@ -34,6 +34,19 @@ def test_clean(text):
     assert residue_kind(text) is None
 
 
+@pytest.mark.parametrize("text", [
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "bla " * 40, "test " * 13, "todo " * 2_000, "texto " * 20, "foo " * 16,
+    "sunt in culpa qui officia deserunt mollit anim id est, " * 300,
+])
+def test_filler_of_any_length(text):
+    assert residue_kind(text) == "only"
+
+
+@pytest.mark.parametrize("text", ["bla " * 40 + "but no", "sunt in culpa qui " * 200 + "and then they spoke of " * 200, "We spoke of it in the end. " * 300 + "culpa qui officia deserunt " * 100])
+def test_long_speech_is_no_filler(text):
+    assert residue_kind(text) is None
+
+
 def test_table(spark):
     rows = [(i, t, "x") for i, t in enumerate([*ONLY, *CLEAN, "word " * 50_000 + "${tail}"])] + [(None, "null", "x"), (0, "undefined", "x")]
     df = spark.createDataFrame(rows, "segment_id long, text string, kind string")

@@ -93,9 +93,6 @@ FILLER_WORDS = frozenset(
 )
 TYPED_FILLER = frozenset("asdf asdfg asdfgh qwerty qwertz xxx xxxx xxxxx tbd tba todo text texto texte testo blah bla foo bar baz test lorem n/a zzz".split())
 
-#: One of these stands in any filler text of some length.
-_COMMON_FILLER = ("lorem", "ipsum", "dolor", "consectetur", "eiusmod", "nostrud", "veniam", "aliqua", "labore", "minim", "asdf", "qwert", "xxx", "tbd ", "blah")
-
 _TAGS = re.compile(r"<[^<>]{1,200}>")
 _ONLY_STRUCTURE = re.compile(r"^(?:\ufeff?WEBVTT.*|\s*\d+\s*|.*-->.*|#+ \d\d:\d\d:\d\d.*)$", re.M)
 _HEADING = re.compile(r"^#+ .*$", re.M)
@@ -103,16 +100,28 @@ _WORD = re.compile(r"[^\W_]+(?:/[^\W_]+)?")
 
 
 def _is_filler(text: str) -> bool:
-    low = text.lower()
-    if len(text) > 60 and not any(w in low for w in _COMMON_FILLER):
-        return False
-    words = [w.lower() for w in _WORD.findall(text)]
-    if not words:
-        return False
-    known = sum(w in FILLER_WORDS for w in words)
-    if known >= 2 and known >= 0.8 * len(words):
+    """Whether four fifths of a text's words are printers' filler, or all are the same typed filler.
+
+    Long texts are read in parts, and no further once filler alone, of at least
+    two letters and a gap a word, could not make up for the words already read.
+    """
+    known = total = at = 0
+    words: set[str] = set()
+    step = max(400, len(text) // 8)
+    while at < len(text):
+        to = text.find(" ", at + step)
+        to = len(text) if to < 0 else to
+        part = [w.lower() for w in _WORD.findall(text, at, to)]
+        known += sum(w in FILLER_WORDS for w in part)
+        total += len(part)
+        if len(words) < 2:
+            words.update(part)
+        at = to
+        if len(words) > 1 and known + (len(text) - at) // 3 + 1 < 4 * (total - known):
+            return False
+    if known >= 2 and known >= 0.8 * total:
         return True
-    return len(words) >= 2 and len(set(words)) == 1 and words[0] in TYPED_FILLER
+    return total >= 2 and len(words) == 1 and words <= TYPED_FILLER
 
 
 def is_only_residue(text: str) -> bool:
