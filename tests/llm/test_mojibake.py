@@ -1,6 +1,6 @@
 import pytest
 
-from tidecue.llm.mojibake import find_garbled, garbled_forms, mend_text, restore, restore_texts
+from tidecue.llm.mojibake import find_garbled, garbled_forms, mend_text, read_as, restore, restore_texts
 
 CLEAN = ["El técnico de sonido revisó los subtítulos.", "Кроме того, редактор забыл ключи от студии.", "編集者は休憩中に録音を最後まで聞きました。", "그 뒤에 편집자는 안쪽 방에서 잊어버렸습니다.", "They missed the 9 o'clock ferry — again.", "संपादक ने नदी के किनारे कहा।", "录音师在河边改了标题。", "S�"[:1] + "í, sí. SÌ. sì, sì, sì."]
 GARBLED = {
@@ -27,6 +27,18 @@ def test_finds_garbled_records_alone(table):
     assert found == {("segments", i) for i in range(1, 7)}
 
 
+def test_word_seen_once(spark):
+    df = spark.createDataFrame([("cues", 1, "La estación cerró."), ("cues", 2, "Vamos a la " + "estación".encode().decode("cp1252"))], "tab string, row_id long, text string")
+    assert [r.row_id for r in find_garbled(df).collect()] == [2]
+
+
+@pytest.mark.parametrize(("text", "chain"), [(CLEAN[1], ("cp1251", "koi8-r")), (CLEAN[1], ("cp1251", "cp1252")), (CLEAN[0], ("cp1252", "cp437")), (CLEAN[6], ("gb18030", "cp1252"))])
+def test_hot_source_read_wrongly(spark, text, chain):
+    bad = read_as(text.encode(chain[0]), chain[1])
+    df = spark.createDataFrame([("cues", i, text if i < 3 else bad) for i in range(30)], "tab string, row_id long, text string")
+    assert {r.row_id for r in find_garbled(df).collect()} == set(range(3, 30))
+
+
 def test_restores_originals(table):
     got = {r.row_id: (r.original_text, r.restored) for r in restore_texts(table).collect()}
     assert got[1] == (CLEAN[0], True) and got[2] == (CLEAN[1], True) and got[3] == (CLEAN[2], True)

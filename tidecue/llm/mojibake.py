@@ -2,8 +2,9 @@
 
 The clean words of the corpus are garbled under every chain of encodings that
 suits their script; that table is hash-joined with the corpus's own tokens. A
-token that equals a garbled form of a far commoner word, and that isn't itself
-a word in another letter case, is garbled. Scripts written without spaces give
+token that equals a garbled form of a word, and that no language would write,
+is garbled however common it is; so are its other letter cases. Other tokens
+must be rarer than the word and no word in another letter case. Scripts written without spaces give
 pairs of characters as words, and tokens that look like decoded multi-byte text
 give all their windows of the lengths such pairs take.
 """
@@ -15,6 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +184,28 @@ def garbled_forms(word: str, script: str) -> dict[str, str]:
     return out
 
 
+_TURNED = re.compile("[a-z\u00df-\u00ff\u0430-\u045f][A-Z\u00c0-\u00de\u0160\u0178\u017d\u0400-\u042f]")
+_ACCENTED = re.compile("[\u00c0-\u024f]{3}")
+_HOLE = re.compile(r"[A-Za-z]\?[A-Za-z]")
+#: Signs within a word, and the German letter where it can't stand.
+_MISPLACED = re.compile(r"[^\W\d_][\u00d7\u00f7]|[\u00d7\u00f7][^\W\d_]|[b-df-hj-np-tv-xz\u00f1\u00e7]\u00df|\b\u00df", re.I)
+#: Russian letters in ten thousand; others count as one.
+_LETTERS = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (1097, 845, 801, 735, 670, 626, 547, 473, 454, 440, 349, 321, 298, 281, 262, 201, 190, 174, 170, 165, 159, 144, 121, 97, 94, 73, 64, 48, 36, 32, 26, 4, 20)))
+_CYRILLIC = re.compile("[\u0400-\u04ff]+")
+
+
+def likeness(word: str) -> float | None:
+    """How well a word's letters fit Russian, as a logarithm; None if other characters are in it."""
+    return sum(log(_LETTERS.get(ch, 1)) for ch in word.lower()) if _CYRILLIC.fullmatch(word) else None
+
+
+def is_strange(token: str) -> bool:
+    """Whether no language writes a token so: scripts or signs mixed, capitals after small letters, accents in a row."""
+    if token.isascii():
+        return len(token) > 4 and bool(_HOLE.search(token))
+    return script_of(token) is None and not _IDEOGRAPH.search(token) or bool(_TURNED.search(token) or _ACCENTED.search(token) or _MISPLACED.search(token))
+
+
 #: Characters that one-byte readers make of multi-byte text, and those among them that no alphabet has.
 _IMAGE = r"\u0080-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6-\u02dd\u2013-\u203a\u20ac\u2122\u2200-\u22ff\u2310-\u2321\u2500-\u25ff\u0102-\u017c\u0401-\u045f\u0490\u0491\u2116\u03c0-\u03c6\u0393-\u03b5"
 _STRANGE = r"\u0080-\u009f\u00a2-\u00a9\u00ac-\u00b7\u00b9\u00bc-\u00be\u00d0\u00de\u2013\u2018-\u2022\u2026\u2030-\u203a\u20ac\u2122\u2200-\u22ff\u2310-\u2321\u2500-\u25ff\u0401-\u040f\u0452-\u045f\u0490\u0491\u00d7\u00f7\u00c0-\u00c5\u00c8-\u00cf\u00d2-\u00db"
@@ -236,6 +260,9 @@ def text_tokens(text: str) -> tuple[set[str], set[str]]:
     return whole, {w for w in windows if not w.isascii()}
 
 
+#: Difference of likeness that tells a word from its garbled form.
+LIKENESS = 3.0
+
 #: Tokens that a task counts before it hands the counts on.
 _COUNTED = 400_000
 
@@ -319,8 +346,8 @@ def record_tokens(df: DataFrame, bits: np.ndarray) -> DataFrame:
     return spread(df.select("tab", "row_id", "text")).mapInArrow(pick, f"tab string, row_id {kind}, token string")
 
 
-def garbled_tokens(df: DataFrame, least: int = 2, excess: int = 1) -> DataFrame:
-    """(token, original, chain, n_original, n): tokens of the texts of df that are garbled forms of commoner words of theirs."""
+def garbled_tokens(df: DataFrame, least: int = 1, excess: int = 1) -> DataFrame:
+    """(token, original, chain, n_original, n): tokens of the texts of df that are garbled forms of words of theirs."""
     vocabulary = cut(count_tokens(df).withColumn("fold", F.lower("token")))
 
     def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,31 +363,53 @@ def garbled_tokens(df: DataFrame, least: int = 2, excess: int = 1) -> DataFrame:
 
     def garble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [])
+            out = ([], [], [], [], [], [], [], [])
             for script, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                pair = script in ("japanese", "chinese")
+                natural = (pair or sum(map(str.isalpha, word)) > 2) and not is_strange(word)
+                like = likeness(word)
                 for form, chain in garbled_forms(word, script).items():
-                    for column, value in zip(out, (form, word, chain, n, script in ("japanese", "chinese"))):
+                    # a form that is longer than its original and goes through UTF-8 proves itself
+                    proven = chain.startswith("utf-8>") and len(form) > len(word) and "gbk" not in chain
+                    strange = not proven and natural and len(form) > 2 and is_strange(form)
+                    rest = None if proven or like is None else likeness(form)
+                    fit = None if rest is None or not natural else like - rest
+                    for column, value in zip(out, (form, word, chain, n, pair, proven, strange, fit)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_())], names=["token", "original", "chain", "n_original", "pair"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.float64()))], names=["token", "original", "chain", "n_original", "pair", "proven", "strange", "fit"])
 
-    table = words.select("script", "word", "n").mapInArrow(garble, "token string, original string, chain string, n_original long, pair boolean")
+    table = words.select("script", "word", "n").mapInArrow(garble, "token string, original string, chain string, n_original long, pair boolean, proven boolean, strange boolean, fit double")
     best = F.struct("original", "chain", "n_original")
-    # a form that is longer than its original and goes through UTF-8 proves itself; others must be rarer than the original
-    proven = F.col("chain").startswith("utf-8>") & (F.length("token") > F.length("original")) & ~F.col("chain").contains("gbk")
     # windows are looked up among pairs of characters only
-    found = cut(vocabulary.join(table, "token").where("n > 0 or pair").where(proven | (F.col("n_original") > F.col("n") * F.lit(excess))))
+    found = vocabulary.join(table, "token").where("n > 0 or pair")
+    # between two Cyrillic words, letters and counts together tell which is the original
+    fit = F.col("fit") + F.log(F.col("n_original") / F.greatest("n", F.lit(1)))
+    found = cut(found.where(F.col("fit").isNull() | (fit > -LIKENESS)).withColumn("strange", F.col("strange") | F.coalesce((fit > LIKENESS) & (F.col("fit") > LIKENESS), F.lit(False))).drop("fit"))
+    # what no language writes needs no count, nor do other letter cases of it, if it isn't a slip of a word that is also capitalised
+    odd = found.where("strange").groupBy("fold", F.lower("original").alias("base")).agg(F.max("n").alias("n_odd"))
+    capitals = vocabulary.where(F.col("token").rlike(r"^\p{Lu}\p{Ll}+$")).groupBy("fold").agg(F.sum("n").alias("n_capital"))
+    odd = cut(odd.join(capitals, "fold", "left").where("n_odd >= coalesce(n_capital, 0)").select("fold", "base", F.lit(True).alias("odd")))
+    found = found.withColumn("base", F.lower("original")).join(odd, ["fold", "base"], "left")
+    # a chain that is all but unproven beside its own reverse is that reverse seen from the garbled side
+    mass = cut(found.where(F.expr("strange or odd")).groupBy("chain").agg(F.sum("n").alias("mass")))
+    back = mass.select(F.regexp_replace("chain", "^([^>]+)>([^>]+)$", "$2>$1").alias("chain"), F.col("mass").alias("mass_back"))
+    found = found.join(mass, "chain", "left").join(back, "chain", "left").where("proven or strange or odd or coalesce(mass_back, 0) <= 20 * coalesce(mass, 0)").drop("mass", "mass_back")
+    # others must be rarer than the original
+    found = found.where(F.expr("proven or strange or odd") | (F.col("n_original") > F.col("n") * F.lit(excess)))
     # a garbled word is no original
-    garbled = found.where(proven).select(F.col("token").alias("original")).distinct()
-    hits = found.join(garbled, "original", "left_anti").groupBy("token", "fold", "n").agg(F.max_by(best, "n_original").alias("best")).select("token", "fold", "n", "best.*")
+    garbled = found.where("proven").select(F.col("token").alias("original")).distinct()
+    turned = odd.select(F.col("fold").alias("base"), F.lit(True).alias("turned")).distinct()
+    found = found.join(garbled, "original", "left_anti").join(turned, "base", "left").where("proven or turned is null")
+    hits = found.groupBy("token", "fold", "n").agg(F.max_by(best, F.struct(F.expr("proven or strange or coalesce(odd, false)"), "n_original")).alias("best"), F.max(F.expr("proven or strange or coalesce(odd, false)")).alias("sure")).select("token", "fold", "n", "sure", "best.*")
     hits = cut(hits)
     # and no other letter case of theirs may be a word, unless it is garbled too
     marked = hits.groupBy("fold").agg(F.sum("n").alias("n_hits"))
     cased = vocabulary.join(marked, "fold").groupBy("fold").agg(F.sum("n").alias("n_fold"), F.first("n_hits").alias("n_hits"))
-    hits = hits.join(cased, "fold").where(proven | ((F.col("n_fold") - F.col("n_hits")) * 20 <= F.col("n_original")))
+    hits = hits.join(cased, "fold").where(F.col("sure") | ((F.col("n_fold") - F.col("n_hits")) * 20 <= F.col("n_original")))
     return cut(hits.select("token", "original", "chain", "n_original", "n"))
 
 
-def find_garbled(df: DataFrame, least: int = 2) -> DataFrame:
+def find_garbled(df: DataFrame, least: int = 1) -> DataFrame:
     """Columns (tab, row_id, hits, chain) of the records of (tab, row_id, text) that are garbled at least in part.
 
     hits counts the record's garbled tokens, chain is that of the commonest
@@ -381,7 +430,7 @@ def find_garbled(df: DataFrame, least: int = 2) -> DataFrame:
     return grouped.where(sure).select("tab", "row_id", "hits", "chain")
 
 
-def restore_texts(df: DataFrame, least: int = 2) -> DataFrame:
+def restore_texts(df: DataFrame, least: int = 1) -> DataFrame:
     """Columns (tab, row_id, original_text, restored): repaired texts of the garbled records.
 
     Each garbled token is decoded back through its chain; where the chain loses
