@@ -47,6 +47,11 @@ def test_long_speech_is_no_filler(text):
     assert residue_kind(text) is None
 
 
+def test_page_after_a_long_prolog():
+    page = "<!DOCTYPE html>\n<!-- " + "served by <cache> 7, " * 30 + "-->\n<html><head><title>Access denied</title></head><body><h1>Access denied</h1></body></html>"
+    assert page.index("<html") > 200 and residue_kind(page) == "only"
+
+
 def test_table(spark):
     rows = [(i, t, "x") for i, t in enumerate([*ONLY, *CLEAN, "word " * 50_000 + "${tail}"])] + [(None, "null", "x"), (0, "undefined", "x")]
     df = spark.createDataFrame(rows, "segment_id long, text string, kind string")

@@ -93,6 +93,7 @@ FILLER_WORDS = frozenset(
 )
 TYPED_FILLER = frozenset("asdf asdfg asdfgh qwerty qwertz xxx xxxx xxxxx tbd tba todo text texto texte testo blah bla foo bar baz test lorem n/a zzz".split())
 
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
 _TAGS = re.compile(r"<[^<>]{1,200}>")
 _ONLY_STRUCTURE = re.compile(r"^(?:\ufeff?WEBVTT.*|\s*\d+\s*|.*-->.*|#+ \d\d:\d\d:\d\d.*)$", re.M)
 _HEADING = re.compile(r"^#+ .*$", re.M)
@@ -136,7 +137,8 @@ def is_only_residue(text: str) -> bool:
             found = None
         if isinstance(found, dict) and found.keys() & {"status", "error", "message", "code", "detail"}:
             return True
-    if body[:1] == "<" and "<html" in body[:200].lower():
+    if body[:1] == "<" and "<html" in body.lower():
+        body = _COMMENT.sub("\n", body)
         return _only_units(_TAGS.sub("\n", body)) or _is_filler(_TAGS.sub(" ", body))
     if _only_units(body) or _is_filler(body):
         return True
