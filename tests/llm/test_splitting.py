@@ -27,6 +27,24 @@ def test_pieces_cover_fit_and_overlap(text):
         assert overlap <= after[3] <= overlap + 3
 
 
+def test_sizes_are_those_of_the_piece_alone():
+    rng = random.Random(4)
+    parts = ["a", " ", "  ", "'", "'s", "re", "日", "。", "!", "1", "\n\n", "\t", "😀", " the", ". "]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 300)))
+        limit = rng.randint(12, 40)
+        pieces = split_text(text, limit, rng.randint(0, limit - 8), ENC)
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
+        assert all(k == len(ENC.encode_ordinary(text[a:b])) <= limit for a, b, k, _ in pieces)
+        assert all(u[0] <= v[0] <= u[1] < v[1] for u, v in zip(pieces, pieces[1:]))
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(3, 0), (8, 2), (10, 12), (16, -1)])
+def test_budgets_without_room(limit, overlap):
+    with pytest.raises(ValueError):
+        split_text("text", limit, overlap, ENC)
+
+
 def test_cuts_are_natural_and_local():
     text = prose(random.Random(2), 400)
     pieces = split_text(text, 128, 16, ENC)

@@ -1,15 +1,18 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries.
 
 A rolling hash over the last tokens sets landmarks that depend on the content
-alone. A piece ends at the natural boundary nearest to the first landmark
-beyond its least size, so an edit moves only the cuts about it; where no
-landmark or boundary lies in reach the best boundary, and at last any place
-between two characters, is taken.
+alone. A piece ends at a natural boundary near the first landmark beyond its
+least size, so an edit moves only the cuts about it; where no landmark lies in
+reach the last best boundary, and at last any place between two characters, is
+taken. A text is encoded once for each tokenizer: the ids of a piece are those
+between its ends, and only a piece for which the pattern leaves that open is
+encoded by itself.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.vocab import DEFAULT_FOLDER, encoder
+from tidecue.llm.vocab import DEFAULT_FOLDER, byte_lengths, encoder, keeps_ids, token_ids
 from tidecue.session import spread
 
 #: Tokens a landmark depends on.
 HASH_WIDTH = 12
 
-#: Tokens kept free so that an overlap may begin before a character of several tokens.
-SLACK = 3
+#: Tokens of one character at most, and so kept free where an overlap may begin before one.
+CHARACTER_TOKENS = 4
 
 PARAGRAPH, SENTENCE, SPACE = 3, 2, 1
 _PARAGRAPH = re.compile(r"(?=(?:\r?\n)[^\S\n]*\r?\n)(?<=\S)|(?=(?:\r?\n)[^\S\n]*\r?\n)(?<=[^\S\n])")
@@ -44,125 +47,136 @@ def _gear(size: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def landmarks(ids: np.ndarray, spacing: int) -> np.ndarray:
-    """True after tokens at which the hash of the last HASH_WIDTH tokens is a landmark."""
+def rolling_hash(ids: np.ndarray) -> np.ndarray:
+    """After each token, a hash of it and the HASH_WIDTH - 1 tokens before it."""
     gear = _gear(1 << 17)[ids]
-    total = np.zeros(len(ids), dtype=np.uint64)
-    for j in range(min(HASH_WIDTH, len(ids))):
+    total = gear.copy()
+    for j in range(1, min(HASH_WIDTH, len(ids))):
         total[j:] += gear[: len(ids) - j] << np.uint64(j)
     total ^= total >> np.uint64(32)
     total *= np.uint64(0xD6E8FEB86659FD93)
-    return (total >> np.uint64(40)) % np.uint64(max(1, spacing)) == 0
+    return total >> np.uint64(40)
+
+
+class Encoded:
+    """A text's tokens, the places between characters among them and how natural a cut there is."""
+
+    def __init__(self, text: str, ids: np.ndarray, enc):
+        self.text, self.enc, self.n = text, enc, len(ids)
+        self.ids = ids
+        raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+        ends = np.cumsum(byte_lengths(enc)[ids])
+        starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        at = np.searchsorted(starts, ends)
+        level = np.zeros(len(starts), dtype=np.int8)
+        for pattern, value in ((_SPACE, SPACE), (_SENTENCE, SENTENCE), (_PARAGRAPH, PARAGRAPH)):
+            level[[m.end() for m in pattern.finditer(text)]] = value
+        whole = starts[at] == ends
+        level = level[at]
+        #: Character at which the text goes on after k tokens, for the k at which a character ends.
+        self.char = np.append(0, at).tolist()
+        #: Numbers of tokens after which a character ends, and those of each level or better.
+        self.places = {value: (np.flatnonzero(whole & (level >= value)) + 1).tolist() for value in (0, SPACE, SENTENCE, PARAGRAPH)}
+        self.places[0].insert(0, 0)
+        self.hashes = rolling_hash(ids)
+
+    def landmarks(self, spacing: int) -> list[int]:
+        """Numbers of tokens after which a landmark stands, one in `spacing` of all."""
+        return (np.flatnonzero(self.hashes % np.uint64(max(1, spacing)) == 0) + 1).tolist()
+
+    def before(self, k: int) -> int:
+        """The last place between characters at or before k tokens."""
+        return self.places[0][bisect_right(self.places[0], k) - 1]
+
+    def tokens(self, start: int, end: int) -> int:
+        """Number of tokens of the text between two places."""
+        a, b = self.char[start], self.char[end]
+        return end - start if keeps_ids(self.text, a, b) else len(self.enc.encode_ordinary(self.text[a:b]))
+
+
+def next_cut(encoded: Encoded, marks: list[int], least: int, most: int) -> int:
+    """Where a piece ends that must hold at least `least` and at most `most` of the text's tokens.
+
+    At the first landmark: the nearest paragraph end within an eighth of the
+    window, else the nearest sentence end in the window, else the nearest
+    space. Without one: the last paragraph end, sentence end, space or place
+    between characters of the window. If there is none of them either, the last
+    place before it.
+    """
+    mark = bisect_left(marks, least)
+    near = marks[mark] if mark < len(marks) and marks[mark] <= most else None
+    reach = max(1, (most - least) // 4)
+    for level in (PARAGRAPH, SENTENCE, SPACE, 0):
+        places = encoded.places[level]
+        i, j = bisect_left(places, least), bisect_right(places, most)
+        if i == j:
+            continue
+        if near is None or level == 0:
+            return places[j - 1]
+        k = bisect_left(places, near, i, j)
+        best = min(places[max(i, k - 1) : min(j, k + 1)], key=lambda p: abs(p - near))
+        if level != PARAGRAPH or abs(best - near) <= reach:
+            return best
+    return encoded.before(least)
+
+
+def split_ids(encoded: Encoded, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(char start, char end, tokens, overlapping tokens) of the pieces of a text above the limit."""
+    marks = encoded.landmarks((limit - overlap) // 4)
+    out: list[tuple[int, int, int, int]] = []
+    begin = 0  # where content not yet in a piece begins
+    while begin < encoded.n:
+        start = encoded.before(max(0, begin - overlap)) if begin else 0
+        most = start + limit
+        end = encoded.n if most >= encoded.n else next_cut(encoded, marks, begin + max(1, (most - begin) // 2), most)
+        if end <= begin:
+            end = encoded.places[0][bisect_right(encoded.places[0], begin)]
+        size = encoded.tokens(start, end)
+        while size > limit:  # cut where the pattern parts differently: the rest goes on to the next piece
+            least = encoded.places[0][bisect_right(encoded.places[0], begin)]
+            if end == least:  # one new character: less of the text before it
+                start = encoded.places[0][bisect_right(encoded.places[0], start)]
+            end = max(encoded.before(end - 1), least)
+            size = encoded.tokens(start, end)
+        out.append((encoded.char[start], encoded.char[end], size, begin - start))
+        begin = end
+    return out
 
 
-def boundary_levels(text: str, ends: np.ndarray, starts_char: np.ndarray) -> np.ndarray:
-    """For each token end: 3 paragraph, 2 sentence, 1 space, 0 between characters, -1 within one.
-
-    ends are byte offsets; starts_char is the byte offset of each character and of the end.
-    """
-    level = np.full(len(ends), -1, dtype=np.int8)
-    at = np.searchsorted(starts_char, ends)
-    at = np.minimum(at, len(starts_char) - 1)
-    level[starts_char[at] == ends] = 0
-    of_char = np.zeros(len(starts_char), dtype=np.int8)
-    for pattern, value in ((_SPACE, SPACE), (_SENTENCE, SENTENCE), (_PARAGRAPH, PARAGRAPH)):
-        for m in pattern.finditer(text):
-            of_char[m.end()] = value
-    fits = level == 0
-    level[fits] = of_char[at[fits]]
-    return level
-
-
-def cut_points(level: np.ndarray, marks: np.ndarray, limit: int, overlap: int) -> list[int]:
-    """Token indexes at which new content begins, the first 0, the last the number of tokens."""
-    n, cuts = len(level), [0]
-    step = max(1, limit - overlap - (SLACK if overlap else 0))
-    while True:
-        at = cuts[-1]
-        most = at + (limit if at == 0 else step)
-        if most >= n:
-            cuts.append(n)
-            return cuts
-        least = at + max(1, (most - at) // 2)
-        span = level[least - 1 : most]  # boundary after tokens least-1 .. most-1
-        found = np.flatnonzero(marks[least - 1 : most])
-        to = None
-        if len(found):
-            near, reach = int(found[0]), max(1, step // 8)
-            for wanted in (SENTENCE, SPACE):
-                fits = np.flatnonzero(span >= wanted)
-                if len(fits):
-                    best = int(fits[np.argmin(np.abs(fits - near))])
-                    if wanted == SPACE or abs(best - near) <= reach or wanted == SENTENCE:
-                        to = best
-                        break
-        if to is None:
-            for wanted in (PARAGRAPH, SENTENCE, SPACE, 0):
-                fits = np.flatnonzero(span >= wanted)
-                if len(fits):
-                    to = int(fits[-1])
-                    break
-        if to is None:  # one character of more tokens than the window
-            earlier = np.flatnonzero(level[at:most] >= 0)
-            cuts.append(at + int(earlier[-1]) + 1 if len(earlier) else most)
-        else:
-            cuts.append(least + to)
+def check_budget(limit: int, overlap: int) -> None:
+    """Refuse budgets that leave no room for a new character in each piece."""
+    if not 0 <= overlap <= limit - 2 * CHARACTER_TOKENS + 1 and not (overlap == 0 and limit >= CHARACTER_TOKENS):
+        raise ValueError(f"max_tokens {limit} and overlap_tokens {overlap} leave no room for a character")
 
 
 def split_text(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int, int, int]]:
-    """(char start, char end, tokens, overlapping tokens) of the pieces of a text."""
-    ids = enc.encode_ordinary(text)
-    if len(ids) <= limit:
-        return [(0, len(text), len(ids), 0)]
-    overlap = max(0, min(overlap, limit - 1 - SLACK))
-    tokens = np.array(ids, dtype=np.int64)
-    lengths = np.array([len(b) for b in enc.decode_tokens_bytes(ids)], dtype=np.int64)
-    ends = np.cumsum(lengths)
-    raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
-    starts_char = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]
-    level = boundary_levels(text, ends, starts_char)
-    cuts = cut_points(level, landmarks(tokens, max(1, (limit - overlap) // 4)), limit, overlap)
-    char = lambda token: 0 if token <= 0 else int(np.searchsorted(starts_char, ends[token - 1]))
-    out = []
-    i = 0
-    while i + 1 < len(cuts):
-        begin, end = cuts[i], cuts[i + 1]
-        start = max(0, begin - overlap) if begin else 0
-        while start > cuts[max(0, i - 1)] and level[start - 1] < 0:
-            start -= 1  # never begin within a character
-        a, b = char(start), char(end)
-        size = len(enc.encode_ordinary(text[a:b]))
-        while size > limit:  # a cut within a word may encode to more; the rest goes on to the next piece
-            end -= 1
-            while end > begin + 1 and level[end - 1] < 0:
-                end -= 1
-            b = char(end)
-            size = len(enc.encode_ordinary(text[a:b]))
-            if end <= begin + 1:
-                break
-        if end < cuts[i + 1]:
-            rest = cut_points(level[end:], landmarks(tokens, max(1, (limit - overlap) // 4))[end:], limit - overlap, 0)
-            cuts = [*cuts[: i + 1], end, *[end + c for c in rest[1:]]]
-        out.append((a, b, size, begin - start))
-        i += 1
-    return out
+    """(char start, char end, tokens, overlapping tokens) of the pieces of a text; one piece if it is within the limit."""
+    check_budget(limit, overlap)
+    ids = token_ids(enc, text)
+    return [(0, len(text), len(ids), 0)] if len(ids) <= limit else split_ids(Encoded(text, ids, enc), limit, overlap)
 
 
 def split_documents(df: DataFrame, budgets: list[tuple[int, str, int, int]], id_column: str = "doc_id", text_column: str = "text", folder: str = DEFAULT_FOLDER, keep_whole: bool = False) -> DataFrame:
     """Columns (budget_id, id, piece_no, char_start, char_end, tokens, overlap_tokens, text).
 
-    budgets are (budget_id, tokenizer, max_tokens, overlap_tokens). Each piece
+    budgets are (budget_id, tokenizer, max_tokens, overlap_tokens); one that
+    leaves no room for a character beside the overlap is an error. Each piece
     holds at most max_tokens; from the second on, a piece begins overlap_tokens
-    before the end of the one before it (up to three more where that place is
-    within a character). The pieces cover the whole text. Texts within the limit give
+    before the end of the one before it (a few more where that place is within a
+    character). The pieces cover the whole text. Texts within the limit give
     no row, or one row if keep_whole; empty and null texts give none. Repeated
     rows are cut each for itself, null ids stay null, other columns are
     ignored, an empty table gives no rows.
     """
+    for _, _, limit, overlap in budgets:
+        check_budget(limit, overlap)
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")).where("length(text) > 0")
     if not keep_whole and budgets:  # a token holds at least a byte
         rows = rows.where(F.octet_length("text") > min(limit for _, _, limit, _ in budgets))
+    by_tokenizer: dict[str, list[tuple[int, int, int]]] = {}
+    for b, name, limit, overlap in budgets:
+        by_tokenizer.setdefault(name, []).append((b, limit, overlap))
     names = ["budget_id", "id", "piece_no", "char_start", "char_end", "tokens", "overlap_tokens", "text"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +184,22 @@ def split_documents(df: DataFrame, budgets: list[tuple[int, str, int, int]], id_
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             found, at = [], []
             for i, text in enumerate(texts):
-                for b, name, limit, overlap in budgets:
-                    cutted = split_text(text, limit, overlap, encoder(name, folder))
-                    if len(cutted) > 1 or keep_whole:
-                        found += [(b, no, *p, text[p[0] : p[1]]) for no, p in enumerate(cutted)]
-                        at += [i] * len(cutted)
+                size = len(text.encode("utf-8"))
+                for name, own in by_tokenizer.items():
+                    if not keep_whole and size <= min(limit for _, limit, _ in own):
+                        continue
+                    enc = encoder(name, folder)
+                    tokens, encoded = token_ids(enc, text), None
+                    for b, limit, overlap in own:
+                        if len(tokens) > limit:
+                            encoded = encoded or Encoded(text, tokens, enc)
+                            cut = split_ids(encoded, limit, overlap)
+                        elif keep_whole:
+                            cut = [(0, len(text), len(tokens), 0)]
+                        else:
+                            continue
+                        found += [(b, no, *p, text[p[0] : p[1]]) for no, p in enumerate(cut)]
+                        at += [i] * len(cut)
             if found:
                 b, no, start, end, size, over, text = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), ids.take(pa.array(at)), *[pa.array(x, pa.int32()) for x in (no, start, end, size, over)], pa.array(text, pa.string())], names=names)
