@@ -31,9 +31,11 @@ HASH_WIDTH = 12
 CHARACTER_TOKENS = 4
 
 PARAGRAPH, SENTENCE, SPACE = 3, 2, 1
-_PARAGRAPH = re.compile(r"(?=(?:\r?\n)[^\S\n]*\r?\n)(?<=\S)|(?=(?:\r?\n)[^\S\n]*\r?\n)(?<=[^\S\n])")
+_PARAGRAPH = re.compile(r"\r?\n[^\S\n]*\r?\n")
 _SENTENCE = re.compile(r"[.!?。！？।॥…]+[\"'”’»」』）)\]]*(?=\s|$)|[。！？।॥]+[”’」』）]*")
-_SPACE = re.compile(r"(?<=\S)(?=\s)")
+#: Whether a code point is white space; the last entry stands for all beyond.
+_WHITE = np.zeros(12_290, dtype=bool)
+_WHITE[[i for i in range(12_289) if chr(i).isspace()]] = True
 
 
 @lru_cache(maxsize=4)
@@ -58,25 +60,34 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return total >> np.uint64(40)
 
 
+class Places:
+    """The places between a text's characters: their byte offsets and how natural a cut is there."""
+
+    def __init__(self, text: str):
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        self.text, self.starts = text, np.zeros(len(points) + 1, dtype=np.int64)
+        np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=self.starts[1:])
+        white = _WHITE[np.minimum(points, len(_WHITE) - 1)]
+        self.level = np.zeros(len(points) + 1, dtype=np.int8)
+        self.level[1:-1][white[1:] & ~white[:-1]] = SPACE
+        self.level[[m.end() for m in _SENTENCE.finditer(text)]] = SENTENCE
+        if "\n" in text:
+            self.level[[m.start() for m in _PARAGRAPH.finditer(text)]] = PARAGRAPH
+
+
 class Encoded:
-    """A text's tokens, the places between characters among them and how natural a cut there is."""
+    """A text's tokens, and the places among them at which characters end."""
 
-    def __init__(self, text: str, ids: np.ndarray, enc):
-        self.text, self.enc, self.n = text, enc, len(ids)
-        self.ids = ids
-        raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+    def __init__(self, places: Places, ids: np.ndarray, enc):
+        self.text, self.enc, self.n = places.text, enc, len(ids)
         ends = np.cumsum(byte_lengths(enc)[ids])
-        starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-        at = np.searchsorted(starts, ends)
-        level = np.zeros(len(starts), dtype=np.int8)
-        for pattern, value in ((_SPACE, SPACE), (_SENTENCE, SENTENCE), (_PARAGRAPH, PARAGRAPH)):
-            level[[m.end() for m in pattern.finditer(text)]] = value
-        whole = starts[at] == ends
-        level = level[at]
+        at = np.searchsorted(places.starts, ends)
+        whole = places.starts[at] == ends
+        level = np.where(whole, places.level[at], -1)
         #: Character at which the text goes on after k tokens, for the k at which a character ends.
         self.char = np.append(0, at).tolist()
         #: Numbers of tokens after which a character ends, and those of each level or better.
-        self.places = {value: (np.flatnonzero(whole & (level >= value)) + 1).tolist() for value in (0, SPACE, SENTENCE, PARAGRAPH)}
+        self.places = {value: (np.flatnonzero(level >= value) + 1).tolist() for value in (0, SPACE, SENTENCE, PARAGRAPH)}
         self.places[0].insert(0, 0)
         self.hashes = rolling_hash(ids)
 
@@ -153,7 +164,7 @@ def split_text(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int,
     """(char start, char end, tokens, overlapping tokens) of the pieces of a text; one piece if it is within the limit."""
     check_budget(limit, overlap)
     ids = token_ids(enc, text)
-    return [(0, len(text), len(ids), 0)] if len(ids) <= limit else split_ids(Encoded(text, ids, enc), limit, overlap)
+    return [(0, len(text), len(ids), 0)] if len(ids) <= limit else split_ids(Encoded(Places(text), ids, enc), limit, overlap)
 
 
 def split_documents(df: DataFrame, budgets: list[tuple[int, str, int, int]], id_column: str = "doc_id", text_column: str = "text", folder: str = DEFAULT_FOLDER, keep_whole: bool = False) -> DataFrame:
@@ -184,7 +195,7 @@ def split_documents(df: DataFrame, budgets: list[tuple[int, str, int, int]], id_
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             found, at = [], []
             for i, text in enumerate(texts):
-                size = len(text.encode("utf-8"))
+                size, places = len(text.encode("utf-8")), None
                 for name, own in by_tokenizer.items():
                     if not keep_whole and size <= min(limit for _, limit, _ in own):
                         continue
@@ -192,7 +203,8 @@ def split_documents(df: DataFrame, budgets: list[tuple[int, str, int, int]], id_
                     tokens, encoded = token_ids(enc, text), None
                     for b, limit, overlap in own:
                         if len(tokens) > limit:
-                            encoded = encoded or Encoded(text, tokens, enc)
+                            places = places or Places(text)
+                            encoded = encoded or Encoded(places, tokens, enc)
                             cut = split_ids(encoded, limit, overlap)
                         elif keep_whole:
                             cut = [(0, len(text), len(tokens), 0)]
