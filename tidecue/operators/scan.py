@@ -147,10 +147,12 @@ class Walker:
 
     `feed` takes a row (a tuple of the scanned columns) and gives output rows;
     `finish` gives those of the state left at an entity's end. The state is the
-    instance's __dict__ and must be picklable and comparable.
+    instance's __dict__ and must be picklable and comparable. `counters` names
+    the parts of it that only count on and decide nothing.
     """
 
     entity = None
+    counters: tuple[str, ...] = ()
 
     def feed(self, row: tuple) -> list[tuple]:
         raise NotImplementedError
@@ -158,27 +160,135 @@ class Walker:
     def finish(self) -> list[tuple]:
         return []
 
+    def deciding(self) -> dict:
+        """The state without its counters."""
+        return {k: v for k, v in self.__dict__.items() if k not in self.counters}
+
+
+#: Rows of a partition's head that are handed on at most; where more would be needed the partition is walked once more.
+HEAD_ROWS = 4_096
+
+
+class _Starts:
+    """One partition's walks from each row at which a walk that comes from the partition before may begin anew.
+
+    A walk begins anew at a row if its state after the row is that of a walker
+    which has seen no other row. Walks from the partition's first rows are
+    kept, up to the row at which the one from its very first row begins anew:
+    whatever comes from before is taken to do so by then. Walks that reach
+    equal states go on as one.
+    """
+
+    def __init__(self, walker: Callable[[], Walker]):
+        self.walker = walker
+        self.first = self.last = None
+        self.single, self.open, self.n = True, True, 0
+        self.head: list[tuple] = []
+        self.groups: list[tuple[Walker, dict[int, dict[str, int]]]] = []
+
+    def fresh(self, entity, row: tuple) -> Walker:
+        out = self.walker()
+        out.entity = entity
+        out.feed(row)
+        return out
+
+    def feed(self, entity, row: tuple) -> None:
+        if self.n and entity != self.last:
+            self.single, self.open, self.head = False, False, []
+            begun = self.fresh(entity, row)
+            self.groups = [(begun, {0: dict.fromkeys(begun.counters, 0)})]
+            self.last, self.n = entity, self.n + 1
+            return
+        if not self.n:
+            self.first = self.last = entity
+        for walk, _ in self.groups:
+            walk.feed(row)
+        if self.open:
+            begun = self.fresh(entity, row)
+            self.groups.append((begun, {self.n: dict.fromkeys(begun.counters, 0)}))
+            self.head.append(row)
+        if len(self.groups) > 1:
+            self._merge()
+        if self.open and (self.n and 0 in self._of(self.n) or len(self.head) >= HEAD_ROWS):
+            self.open = False
+        self.n += 1
+
+    def _of(self, start: int) -> dict[int, dict[str, int]]:
+        return next(starts for _, starts in self.groups if start in starts)
+
+    def _merge(self) -> None:
+        kept: list[tuple[Walker, dict]] = []
+        for walk, starts in self.groups:
+            state = walk.deciding()
+            for other, known in kept:
+                if other.deciding() == state:
+                    for start, offsets in starts.items():
+                        known[start] = {c: n + getattr(walk, c) - getattr(other, c) for c, n in offsets.items()}
+                    break
+            else:
+                kept.append((walk, starts))
+        self.groups = kept
+
+    def summary(self) -> tuple:
+        """(first entity, last entity, whether they are the only one, rows of the head, whether that is all rows, states, starts)."""
+        return self.first, self.last, self.single, self.head, len(self.head) == self.n, [w.__dict__ for w, _ in self.groups], [s for _, s in self.groups]
+
+
+def _after(summary: tuple, carried: Walker | None, walker: Callable[[], Walker]) -> Walker | None:
+    """The state after a partition that is entered with the carried one; None if the summary doesn't tell."""
+    first, last, single, head, all_rows, states, starts = summary
+
+    def ended(start: int, counted: dict[str, int]) -> Walker:
+        out = walker()
+        k = next(i for i, known in enumerate(starts) if start in known)
+        out.__dict__.update(states[k])
+        for c, n in starts[k][start].items():
+            setattr(out, c, getattr(out, c) + n + counted.get(c, 0))
+        return out
+
+    if not single:
+        return ended(0, {})
+    if carried is None or carried.entity != first:
+        return ended(0, {})
+    now = walker()
+    now.__dict__.update(pickle.loads(pickle.dumps(carried.__dict__)))
+    for start, row in enumerate(head):
+        now.feed(row)
+        begun = walker()
+        begun.entity = first
+        begun.feed(row)
+        if now.deciding() == begun.deciding():
+            return ended(start, {c: getattr(now, c) - getattr(begun, c) for c in now.counters})
+    return now if all_rows else None
+
 
 def ordered_scan(df: DataFrame, entity: str, order: list[str], columns: list[str], walker: Callable[[], Walker], schema: str, partitions: int | None = None) -> DataFrame:
     """Output rows of a state machine that walks each entity's rows in order.
 
-    Each entity begins with a fresh walker() whose .entity is set. A partition
-    hands its state to the next one; partitions whose hand-over changed are
-    walked again until nothing changes, so the result is that of one walk.
+    Each entity begins with a fresh walker() whose .entity is set. Partitions
+    are walked at once from each place at which a walk from the partition
+    before may begin anew; from these summaries, one for each partition, the
+    state at every edge is combined, and a second walk gives the output. So an
+    entity may span any number of partitions. Only a partition whose summary
+    doesn't tell is walked once more by itself.
     """
     laid = _laid(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([entity, *order, *columns])]), entity, order, partitions)
     names = laid.columns
     at = [names.index(c) for c in columns]
     who = names.index(entity)
 
-    def walk(batches: Iterator[pa.RecordBatch], state: dict | None) -> Iterator[tuple[Walker, list[tuple]]]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            yield list(zip(*(batch.column(i).to_pylist() for i in (who, *at))))
+
+    def walk(batches: Iterator[pa.RecordBatch], state: bytes | None) -> Iterator[tuple[Walker, list[tuple]]]:
         now = None
         if state is not None:
             now = walker()
             now.__dict__.update(pickle.loads(state))
-        for batch in batches:
+        for rows in rows_of(batches):
             out: list[tuple] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in (who, *at))):
+            for row in rows:
                 if now is None or now.entity != row[0]:
                     if now is not None:
                         out += now.finish()
@@ -187,33 +297,43 @@ def ordered_scan(df: DataFrame, entity: str, order: list[str], columns: list[str
                 out += now.feed(row[1:])
             yield now, out
 
-    def tails(carry: dict, only: set | None):
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found = _Starts(walker)
+        for rows in rows_of(batches):
+            for row in rows:
+                found.feed(row[0], row[1:])
+        if found.n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps(found.summary())])], names=["part", "state"])
+
+    def again(wanted: int, state: bytes):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            part = TaskContext.get().partitionId()
-            if only is not None and part not in only:
+            if TaskContext.get().partitionId() != wanted:
                 return
             last = None
-            for last, _ in walk(batches, carry.get(part)):
+            for last, _ in walk(batches, state):
                 pass
-            if last is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps(last.__dict__)])], names=["part", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array([wanted]), pa.array([pickle.dumps(last.__dict__)])], names=["part", "state"])
 
         return run
 
-    one_pass = lambda carry, only: {r.part: bytes(r.state) for r in laid.mapInArrow(tails(carry, only), "part long, state binary").collect()}
-    state = one_pass({}, None)
-    parts = sorted(state)
+    collected = lambda run: {r.part: bytes(r.state) for r in laid.mapInArrow(run, "part long, state binary").collect()}
+    # one row per partition
+    summaries = collected(summarise)
     carry: dict[int, bytes] = {}
-    while True:
-        wanted = {b: state[a] for a, b in zip(parts, parts[1:])}
-        changed = {p for p, s in wanted.items() if carry.get(p) != s}
-        if not changed:
-            break
-        carry = wanted
-        state.update(one_pass(carry, changed))
-    final = max(parts, default=None)
+    now: Walker | None = None
+    for part in sorted(summaries):
+        if now is not None:
+            carry[part] = pickle.dumps(now.__dict__)
+        after = _after(pickle.loads(summaries[part]), now, walker)
+        if after is None:
+            after = walker()
+            after.__dict__.update(pickle.loads(collected(again(part, carry[part]))[part]))
+        now = after
+    final = max(summaries, default=None)
     arrow = _arrow_schema(df, schema)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
