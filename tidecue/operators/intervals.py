@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecue.operators.scan import PART, part_of
 from tidecue.session import cut
 
 
@@ -66,9 +67,8 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, scan, head = TaskContext.get().partitionId(), _Scan(), None
+    part, batches = part_of(batches)
+    scan, head = _Scan(), None
     for batch in batches:
         entity, start, end = _columns(batch)
         if len(entity) and head is None:
@@ -112,15 +112,14 @@ def periods_and_gaps(df: DataFrame, entity: str = "track_id", start: str = "star
     # the running number lets rows that are equal in all three be split too
     rows, keys = rows.withColumn("u", F.monotonically_increasing_id()), ["e", "s", "t", "u"]
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    laid = cut(ranged.sortWithinPartitions("e", "s").drop("u"))
+    laid = cut(ranged.sortWithinPartitions("e", "s").drop("u").withColumn(PART, F.spark_partition_id()))
     # one small row per partition: its number is set by the cluster, not by the data
     found = laid.mapInArrow(_summaries, f"part long, head {kind}, tail {kind}, island long, reach long").collect()
     carry = combine_summaries([tuple(r) for r in found])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        state = carry.get(TaskContext.get().partitionId())
+        part, batches = part_of(batches)
+        state = carry.get(part)
         if state is None:
             return
         scan, after = _Scan(*state[:3]), state[3]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,11 +20,26 @@ from pyspark.sql import functions as F
 from tidecue.session import cut
 
 
+#: Column of laid rows with the number of their partition.
+PART = "_part"
+
+
 def _laid(df: DataFrame, entity: str, order: list[str], partitions: int | None) -> DataFrame:
     keyed = df.where(F.col(f"`{entity}`").isNotNull()).withColumn("_u", F.monotonically_increasing_id())
     keys = [F.col(f"`{c}`") for c in (entity, *order, "_u")]
     ranged = keyed.repartitionByRange(partitions, *keys) if partitions else keyed.repartitionByRange(*keys)
-    return cut(ranged.sortWithinPartitions(*keys).drop("_u"))
+    return cut(ranged.sortWithinPartitions(*keys).drop("_u").withColumn(PART, F.spark_partition_id()))
+
+
+def part_of(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, Iterator[pa.RecordBatch]]:
+    """The partition number that the last column of laid rows holds, None without rows; and the batches.
+
+    It is kept with the rows, as the tasks of a union are numbered anew.
+    """
+    for batch in batches:
+        if batch.num_rows:
+            return batch.column(batch.num_columns - 1)[0].as_py(), chain((batch,), batches)
+    return None, iter(())
 
 
 def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str], partitions: int | None = None) -> DataFrame:
@@ -33,21 +49,20 @@ def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str],
     arrival. An empty table gives none.
     """
     laid = _laid(df, entity, order, partitions)
-    names = laid.columns
+    names = laid.columns[:-1]
     at = [names.index(c) for c in columns]
     who = names.index(entity)
     fields = {f.name: f.dataType.simpleString() for f in laid.schema}
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+        part, batches = part_of(batches)
         first = last = None
         for batch in batches:
             if batch.num_rows:
                 first = first or [batch.column(i)[0].as_py() for i in (who, *at)]
                 last = [batch.column(i)[batch.num_rows - 1].as_py() for i in (who, *at)]
         if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps((first, last))])], names=["part", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps((first, last))])], names=["part", "edge"])
 
     # one row per partition
     found = {r.part: pickle.loads(bytes(r.edge)) for r in laid.mapInArrow(edges, "part long, edge binary").collect()}
@@ -57,9 +72,7 @@ def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str],
     schema = ", ".join([*[f"`{n}` {fields[n]}" for n in names], *[f"`prev_{c}` {fields[c]}" for c in columns], *[f"`next_{c}` {fields[c]}" for c in columns]])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
+        part, batches = part_of(batches)
         tail, held = before.get(part), None
         for batch in batches:
             if not batch.num_rows:
@@ -79,7 +92,7 @@ def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str],
             column = batch.column(i)
             shifted[0].append(pa.concat_arrays([pa.array([tail[k] if tail else None], kinds[k]), column.slice(0, n - 1)]))
             shifted[1].append(pa.concat_arrays([column.slice(1), pa.array([head[k] if head else None], kinds[k])]))
-        out = list(batch.columns)
+        out = list(batch.columns[:-1])
         for side in shifted:
             same = pc.fill_null(pc.equal(side[0], batch.column(who)), False)
             out += [pc.if_else(same, c, pa.scalar(None, c.type)) for c in side[1:]]
@@ -95,12 +108,11 @@ def number_rows(df: DataFrame, entity: str, order: list[str], out: str, partitio
     partition carries its count over, so no entity is gathered.
     """
     laid = _laid(df.drop(out), entity, order, partitions)
-    names, who = laid.columns, laid.columns.index(entity)
+    names, who = laid.columns[:-1], laid.columns.index(entity)
     fields = {f.name: f.dataType.simpleString() for f in laid.schema}
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+        part, batches = part_of(batches)
         first, tail, n = None, None, 0
         for batch in batches:
             for values in _runs_of(batch.column(who)):
@@ -108,7 +120,7 @@ def number_rows(df: DataFrame, entity: str, order: list[str], out: str, partitio
                 n = n + values[1] if tail is not None and tail == values[0] else values[1]
                 tail = values[0]
         if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps((first[0], tail, n))])], names=["part", "edge"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps((first[0], tail, n))])], names=["part", "edge"])
 
     # one row per partition
     carry: dict[int, tuple] = {}
@@ -119,16 +131,15 @@ def number_rows(df: DataFrame, entity: str, order: list[str], out: str, partitio
         entity_now = tail
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        now, n = carry.get(TaskContext.get().partitionId(), (None, 0))
+        part, batches = part_of(batches)
+        now, n = carry.get(part, (None, 0))
         for batch in batches:
             numbers: list[int] = []
             for value, length in _runs_of(batch.column(who)):
                 n = n if value == now else 0
                 numbers.extend(range(n + 1, n + length + 1))
                 now, n = value, n + length
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int64())], names=[*names, out])
 
     return laid.mapInArrow(number, ", ".join([*[f"`{c}` {fields[c]}" for c in names], f"`{out}` bigint"]))
 
@@ -160,9 +171,9 @@ class Walker:
     def finish(self) -> list[tuple]:
         return []
 
-    def deciding(self) -> dict:
-        """The state without its counters."""
-        return {k: v for k, v in self.__dict__.items() if k not in self.counters}
+    def deciding(self) -> tuple:
+        """A hashable value that is equal for equal states of one entity at one row, counters aside."""
+        return tuple(v for k, v in sorted(self.__dict__.items()) if k not in self.counters)
 
 
 #: Rows of a partition's head that are handed on at most; where more would be needed the partition is walked once more.
@@ -217,17 +228,13 @@ class _Starts:
         return next(starts for _, starts in self.groups if start in starts)
 
     def _merge(self) -> None:
-        kept: list[tuple[Walker, dict]] = []
+        kept: dict[tuple, tuple[Walker, dict]] = {}
         for walk, starts in self.groups:
-            state = walk.deciding()
-            for other, known in kept:
-                if other.deciding() == state:
-                    for start, offsets in starts.items():
-                        known[start] = {c: n + getattr(walk, c) - getattr(other, c) for c, n in offsets.items()}
-                    break
-            else:
-                kept.append((walk, starts))
-        self.groups = kept
+            other, known = kept.setdefault(walk.deciding(), (walk, starts))
+            if other is not walk:
+                for start, offsets in starts.items():
+                    known[start] = {c: n + getattr(walk, c) - getattr(other, c) for c, n in offsets.items()}
+        self.groups = list(kept.values())
 
     def summary(self) -> tuple:
         """(first entity, last entity, whether they are the only one, rows of the head, whether that is all rows, states, starts)."""
@@ -273,9 +280,8 @@ def ordered_scan(df: DataFrame, entity: str, order: list[str], columns: list[str
     doesn't tell is walked once more by itself.
     """
     laid = _laid(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([entity, *order, *columns])]), entity, order, partitions)
-    names = laid.columns
-    at = [names.index(c) for c in columns]
-    who = names.index(entity)
+    at = [laid.columns.index(c) for c in columns]
+    who = laid.columns.index(entity)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
@@ -298,20 +304,18 @@ def ordered_scan(df: DataFrame, entity: str, order: list[str], columns: list[str
             yield now, out
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+        part, batches = part_of(batches)
         found = _Starts(walker)
         for rows in rows_of(batches):
             for row in rows:
                 found.feed(row[0], row[1:])
         if found.n:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps(found.summary())])], names=["part", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps(found.summary())])], names=["part", "state"])
 
     def again(wanted: int, state: bytes):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            if TaskContext.get().partitionId() != wanted:
+            part, batches = part_of(batches)
+            if part != wanted:
                 return
             last = None
             for last, _ in walk(batches, state):
@@ -337,9 +341,8 @@ def ordered_scan(df: DataFrame, entity: str, order: list[str], columns: list[str
     arrow = _arrow_schema(df, schema)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, last = TaskContext.get().partitionId(), None
+        part, batches = part_of(batches)
+        last = None
         for last, out in walk(batches, carry.get(part)):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
