@@ -38,6 +38,48 @@ def test_random_over_partitions(spark, seed):
         assert got == brute(rows)
 
 
+def test_anchors_that_differ_at_edges(spark):
+    """Slips in chains: which event is the anchor decides where runs part."""
+    rng = random.Random(9)
+    said = ["the crew walked along the river", "the crw walked along the river", "the crw wlked along the river", "the crw wlked alng the river", "te crw wlked alng the river", "and then the lamp went out"]
+    rows = [(1, n, float(n // 2), n + 0.5, rng.choice(said) if rng.random() < 0.98 else said[-1]) for n in range(400)]
+    df = spark.createDataFrame([(*r, 0) for r in rows + rows[::7]], SCHEMA)
+    want = brute(rows)
+    for parts in (3, 32):
+        assert sorted((r.transcript_id, r.first_seg_no, r.last_seg_no, r.run_count) for r in collapse_runs(df, partitions=parts).collect()) == want
+
+
+def test_gaps_over_partitions(spark):
+    rng = random.Random(4)
+    rows, clock = [], 0.0
+    for n in range(300):
+        clock += rng.choice([0.5, 1.0, 4.0])
+        rows.append((1, n, clock, clock + rng.choice([0.2, 3.0]), "Again.", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = sorted(map(tuple, collapse_runs(df, max_gap=1.0, least=1, partitions=1).collect()))
+    assert len(one) > 20 and sorted(map(tuple, collapse_runs(df, max_gap=1.0, least=1, partitions=40).collect())) == one
+
+
+def test_one_walk_for_a_run_over_many_partitions(spark, monkeypatch):
+    from tidecue.llm import runs
+
+    df = spark.createDataFrame([(7, i, float(i), i + 1.0, "Again.", 0) for i in range(400)], SCHEMA)
+    entered = []
+    enter = runs.enter
+    monkeypatch.setattr(runs, "enter", lambda *a: entered.append(enter(*a)) or entered[-1])
+    got = collapse_runs(df, partitions=32).collect()
+    assert [r.run_count for r in got] == [400] and len(entered) >= 30 and None not in entered
+
+
+def test_entities_of_other_types(spark):
+    from datetime import date
+    from decimal import Decimal
+
+    rows = [(date(2026, 1, 1 + i // 4), Decimal(i), float(i), i + 1.0, "Again.") for i in range(8)]
+    df = spark.createDataFrame(rows, "transcript_id date, seg_no decimal(10,2), start_s double, end_s double, text string")
+    assert sorted(r.run_count for r in collapse_runs(df, partitions=3).collect()) == [4, 4]
+
+
 def test_one_run_over_all_partitions_with_duration(spark):
     df = spark.createDataFrame([(7, i, float(i), None if i % 3 else i + 2.0, "Again.", 0) for i in range(300)], SCHEMA)
     got = collapse_runs(df, partitions=8).collect()

@@ -1,23 +1,31 @@
 """Runs of repeated consecutive utterances, collapsed to one event each.
 
 Events are range-sorted by (entity, start, number) over the cluster and walked
-by a state machine that compares each event with the anchor of the open run.
-Every partition hands its open run to the next one; partitions whose hand-over
-changed are walked again until nothing changes, so a run may span partitions
-and an entity may hold any share of the rows.
+once by a state machine that compares each event with the anchor of the open
+run. Each partition gives its finished runs and a summary of its edges: the
+runs that touch them, and the different utterances of the first one. From the
+summaries runs over several partitions are put together, so a run may span
+partitions and an entity may hold any share of the rows. Only where the first
+run of a partition would part otherwise under the anchor carried into it is
+that partition walked once more.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from tidecue.operators.scan import part_of
 from tidecue.session import cut
 
 #: Hesitation words that a recogniser puts before an utterance.
@@ -146,47 +154,124 @@ def _skippable(word: str, longest: int) -> bool:
     return longest >= 4 and len(word) - ("ss" in word) <= 3 and not _DIGIT.search(word)
 
 
-class _Walk:
-    """The state machine of one left-to-right walk."""
+#: Different utterances of a partition's first run that are handed on at most; where there are more the partition is walked once more.
+VARIANTS = 64
 
-    __slots__ = ("entity", "words", "bare", "first", "last", "count", "start", "end", "seen")
 
-    def __init__(self, state: tuple | None = None):
-        state = state or (None, (), "", None, None, 0, None, None, None)
-        for name, value in zip(self.__slots__, state):
-            setattr(self, name, tuple(value) if name == "words" else value)
+class Run:
+    """An open run: its anchor, its first and last event, and its greatest known end."""
 
-    def state(self) -> tuple:
-        return tuple(getattr(self, name) for name in self.__slots__)
+    __slots__ = ("entity", "words", "bare", "first", "last", "count", "start", "end")
 
-    def finished(self) -> tuple:
+    def __init__(self, entity, words: tuple, bare: str, number, start: float | None, end: float | None):
+        self.entity, self.words, self.bare = entity, words, bare
+        self.first = self.last = number
+        self.count, self.start = 1, start
+        self.end = end if end is not None else start
+
+    def takes(self, words: tuple, bare: str, start: float | None, same: Callable, max_gap: float | None) -> bool:
+        """Whether an event of the run's entity joins it."""
+        if max_gap is not None and start is not None and self.end is not None and start - self.end > max_gap:
+            return False
+        return same(self.words, words) if words or self.words else bare == self.bare
+
+    def add(self, last, count: int, end: float | None) -> None:
+        self.last, self.count = last, self.count + count
+        if end is not None:
+            self.end = end if self.end is None else max(self.end, end)
+
+    def row(self) -> tuple:
         end = self.end if self.end is not None else self.start
         return (self.entity, self.first, self.last, self.count, self.start, None if self.start is None else max(0.0, end - self.start))
 
 
-def walk_events(walk: _Walk, events: Iterator[tuple], same: Callable, max_gap: float | None) -> Iterator[tuple]:
-    """Feed (entity, number, start, end, text) in order; give finished runs of one event or more."""
+class Edges:
+    """What a walk leaves at its edges.
+
+    `entity` is the first row's, `head` the first run if it is of that entity,
+    `variants` its different utterances in order, `ends_with` the first event
+    of that entity after it, if any; `tail` is the run that is open at the end
+    (it may be the head), `last` and `seen` the last row's entity and number,
+    `lead` the first row's number.
+    """
+
+    __slots__ = ("entity", "lead", "head", "head_start", "variants", "ends_with", "tail", "last", "seen")
+
+    def __init__(self):
+        self.entity = self.lead = self.head = self.head_start = self.ends_with = self.tail = self.last = self.seen = None
+        self.variants: dict[tuple, None] | None = {}
+
+
+def walk_events(edges: Edges, events: Iterator[tuple], same: Callable, max_gap: float | None) -> Iterator[tuple]:
+    """Feed (entity, number, start, end, text) in order; give the runs that touch neither edge."""
+    run: Run | None = edges.tail
+    begun, in_head = edges.last is not None, False
     for entity, number, start, end, text in events:
-        if entity == walk.entity and number is not None and number == walk.seen:
+        if not begun:
+            edges.entity, edges.lead, begun = entity, number, True
+            edges.last, edges.seen = entity, None
+            in_head = True
+        if entity == edges.last and number is not None and number == edges.seen:
             continue  # delivered again
+        if entity != edges.last:
+            if run is not None and run is not edges.head:
+                yield run.row()
+            run, in_head = None, False
+        edges.last, edges.seen = entity, number
         if not text or text.isspace():
-            if entity != walk.entity:
-                if walk.count:
-                    yield walk.finished()
-                walk.__init__((entity, (), "", None, None, 0, None, None, number))
-            else:
-                walk.seen = number
             continue
         words = utterance_words(text)
         bare = "" if words else text.strip()
-        if walk.count and entity == walk.entity and (max_gap is None or start is None or walk.end is None or start - walk.end <= max_gap) and (same(walk.words, words) if words or walk.words else bare == walk.bare):
-            walk.last, walk.count, walk.seen = number, walk.count + 1, number
-            if end is not None:
-                walk.end = end if walk.end is None else max(walk.end, end)
+        if run is not None and run.takes(words, bare, start, same, max_gap):
+            run.add(number, 1, end)
         else:
-            if walk.count:
-                yield walk.finished()
-            walk.__init__((entity, words, bare, number, number, 1, start, end if end is not None else start, number))
+            if run is not None and run is not edges.head:
+                yield run.row()
+            run, before = Run(entity, words, bare, number, start, end), run
+            if in_head and edges.head is None:
+                edges.head, edges.head_start = run, start
+            elif before is edges.head and in_head:
+                edges.ends_with, in_head = (words, bare, start), False
+        if run is edges.head and edges.variants is not None:
+            edges.variants[words, bare] = None
+            if len(edges.variants) > VARIANTS:
+                edges.variants = None
+    edges.tail = run
+
+
+def enter(carried: Run | None, carried_seen: tuple, edges: Edges, same: Callable, max_gap: float | None) -> tuple[list[tuple], Run | None] | None:
+    """(finished runs at the edges, open run) after a partition entered with an open run; None if its edges don't tell.
+
+    carried_seen is the (entity, number) of the row before the partition.
+    """
+    head, goes_on = edges.head, carried is not None and carried.entity == edges.entity
+    if carried_seen == (edges.entity, edges.lead) and edges.lead is not None:
+        return None  # its first row was delivered before
+    done = [carried.row()] if carried is not None and not goes_on else []
+    if not goes_on or head is None:
+        if head is not None and head is not edges.tail:
+            done.append(head.row())
+        if goes_on and edges.last == edges.entity:
+            return done, carried  # nothing but blank rows
+        if goes_on:
+            done.append(carried.row())
+        return done, edges.tail
+    first = (head.words, head.bare)
+    if not carried.takes(*first, edges.head_start, same, max_gap):
+        done.append(carried.row())
+        if head is not edges.tail:
+            done.append(head.row())
+        return done, edges.tail
+    if edges.variants is None and (carried.words, carried.bare) != first:
+        return None
+    if (carried.words, carried.bare) != first and not all((same(carried.words, w) if w or carried.words else b == carried.bare) for w, b in edges.variants):
+        return None
+    carried.add(head.last, head.count, head.end)
+    if head is edges.tail:
+        return done, carried
+    if edges.ends_with is not None and carried.takes(*edges.ends_with, same, max_gap):
+        return None
+    return [*done, carried.row()], edges.tail
 
 
 def collapse_runs(df: DataFrame, entity: str = "transcript_id", number: str = "seg_no", start: str = "start_s", end: str = "end_s", text: str = "text", max_gap: float | None = None, least: int = 2, partitions: int | None = None) -> DataFrame:
@@ -204,83 +289,65 @@ def collapse_runs(df: DataFrame, entity: str = "transcript_id", number: str = "s
     rows = df.select(F.col(f"`{entity}`").alias("e"), F.col(f"`{number}`").alias("n"), F.col(f"`{start}`").cast("double").alias("s"), F.col(f"`{end}`").cast("double").alias("t"), F.col(f"`{text}`").alias("x")).where("e is not null").withColumn("u", F.monotonically_increasing_id())
     keys = ["e", "s", "n", "u"]
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    laid = cut(ranged.sortWithinPartitions("e", "s", "n").drop("u"))
+    # the number of the partition is kept with its rows, as tasks of later jobs may be numbered otherwise
+    laid = cut(ranged.sortWithinPartitions("e", "s", "n").drop("u").withColumn("part", F.spark_partition_id()))
+    run_schema = f"e {kind[entity]}, first {kind[number]}, last {kind[number]}, run_count long, s double, d double"
+    arrow = to_arrow_schema(StructType.fromDDL(f"{run_schema}, part int, edges binary"))
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
-
-    def tails(carry: dict[int, tuple], only: set[int] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import pickle
-
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            if only is not None and part not in only:
-                return
-            walk, any_row = _Walk(carry.get(part)), False
-            for _ in walk_events(walk, _noting(events(batches), seen := []), same_utterance, max_gap):
-                pass
-            any_row = bool(seen)
-            if any_row:
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps(walk.state())])], names=["part", "state"])
-
-        return run
-
-    def one_pass(carry: dict[int, tuple], only: set[int] | None) -> dict[int, tuple]:
-        import pickle
-
-        return {r.part: pickle.loads(bytes(r.state)) for r in laid.mapInArrow(tails(carry, only), "part long, state binary").collect()}
-
-    # one open run per partition; only its hand-over comes to the driver
-    state = one_pass({}, None)
-    order = sorted(state)
-    carry: dict[int, tuple] = {}
-    while True:
-        wanted = {b: state[a] for a, b in zip(order, order[1:])}
-        changed = {p for p, s in wanted.items() if carry.get(p) != s}
-        if not changed:
-            break
-        carry = wanted
-        state.update(one_pass(carry, changed))
-    after = dict(zip(order, order[1:]))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        if part not in state:
-            return
-        walk, found = _Walk(carry.get(part)), []
-        for run in walk_events(walk, events(batches), same_utterance, max_gap):
-            if run[3] >= least:
-                found.append(run)
-            if len(found) >= 10_000:
-                yield _runs(found, batch_types)
-                found = []
-        if part not in after and walk.count >= least:  # else the next partition ends it
-            found.append(walk.finished())
-        if found:
-            yield _runs(found, batch_types)
-
-    batch_types = [laid.schema[i].dataType.simpleString() for i in (0, 1)]
-    out = laid.mapInArrow(emit, f"e {kind[entity]}, first {kind[number]}, last {kind[number]}, run_count long, s double, d double")
-    return out.select(F.col("e").alias(entity), F.col("first").alias(f"first_{number}"), F.col("last").alias(f"last_{number}"), "run_count", F.col("s").alias(start), F.col("d").alias("duration_s"))
+            yield from zip(*(c.to_pylist() for c in batch.columns[:5]))
 
+    def batched(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        while rows := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-def _noting(events: Iterator[tuple], seen: list) -> Iterator[tuple]:
-    for event in events:
-        if not seen:
-            seen.append(True)
-        yield event
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, batches = part_of(batches)
+        edges = Edges()
+        yield from batched((*run, part, None) for run in walk_events(edges, events(batches), same_utterance, max_gap) if run[3] >= least)
+        if edges.last is not None:
+            yield from batched(iter([(*[None] * 6, part, pickle.dumps(edges))]))
 
+    walked = cut(laid.mapInArrow(walk, f"{run_schema}, part int, edges binary"))
 
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "smallint": pa.int16(), "double": pa.float64()}
+    def entered(carry: dict[int, tuple], tail_only: bool):
+        """Walk the partitions of carry again, each with its open run and the row before it."""
 
-
-def _runs(found: list[tuple], kinds: list[str]) -> pa.RecordBatch:
-    e, first, last, count, start, duration = zip(*found)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(e, _ARROW[kinds[0]]), pa.array(first, _ARROW[kinds[1]]), pa.array(last, _ARROW[kinds[1]]), pa.array(count, pa.int64()), pa.array(start, pa.float64()), pa.array(duration, pa.float64())], names=["e", "first", "last", "run_count", "s", "d"]
-    )
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, batches = part_of(batches)
+            if part not in carry:
+                return
+            edges = Edges()
+            edges.tail, (edges.last, edges.seen) = carry[part]
+            found = walk_events(edges, events(batches), same_utterance, max_gap)
+            if tail_only:
+                for _ in found:
+                    pass
+                yield from batched(iter([(*[None] * 6, part, pickle.dumps(edges))]))
+            else:
+                yield from batched((*run, part, None) for run in found if run[3] >= least)
+
+        return laid.mapInArrow(run, f"{run_schema}, part int, edges binary")
+
+    # one row for each partition
+    summaries = {r.part: pickle.loads(bytes(r.edges)) for r in walked.where("edges is not null").select("part", "edges").collect()}
+    open_run, seen, at_edges, again = None, (None, None), [], {}
+    for part in sorted(summaries):
+        edges = summaries[part]
+        carried = pickle.loads(pickle.dumps(open_run))
+        told = enter(carried, seen, edges, same_utterance, max_gap)
+        if told is None:
+            again[part] = (open_run, seen)
+            edges = pickle.loads(bytes(entered({part: again[part]}, True).first().edges))
+            told = [], edges.tail
+        at_edges += [run for run in told[0] if run[3] >= least]
+        open_run, seen = told[1], (edges.last, edges.seen)
+    if open_run is not None and open_run.count >= least:
+        at_edges.append(open_run.row())
+    out = walked.where("edges is null").where(~F.col("part").isin(*again)) if again else walked.where("edges is null")
+    names = ["e", "first", "last", "run_count", "s", "d"]
+    out = out.select(*names).unionByName(df.sparkSession.createDataFrame(at_edges, run_schema))
+    if again:
+        out = out.unionByName(entered(again, False).select(*names))
+    return out.select(F.col("e").alias(entity), F.col("first").alias(f"first_{number}"), F.col("last").alias(f"last_{number}"), "run_count", F.col("s").alias(start), F.col("d").alias("duration_s"))
