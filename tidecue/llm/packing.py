@@ -3,10 +3,11 @@
 Only the histogram of lengths, which the capacity bounds, reaches the driver.
 There, shallow combinations of lengths that fill a container up to a small
 window are enumerated, their repeat counts are fitted to the histogram by
-non-negative least squares and rounded down, and what is left is packed
-greedily, still by length. The plan so made says, for each length, which ranks
-go to which containers; ranks are counted per partition and offset, so each
-document finds its container without any group being gathered.
+non-negative least squares and rounded, and the same is done with what is left
+until little is; the rest is packed greedily, still by length. The plan so made
+says, for each length, which ranks go to which containers; ranks are counted
+per partition and offset, so each document finds its container without any
+group being gathered.
 """
 
 from __future__ import annotations
@@ -21,90 +22,158 @@ from pyspark.sql import functions as F
 from tidecue.llm.vocab import DEFAULT_FOLDER, encoder
 from tidecue.session import cut, spread
 
-#: Partners per length in combinations of three, and rounds of the fit.
-PARTNERS = 48
-ROUNDS = 400
+#: Different lengths in a combination, combinations and steps of a fit, and fits at most.
+DEPTH, MOST, STEPS, FITS = 4, 40_000, 60, 8
+#: Part of a container that a combination may leave empty.
+WINDOW = 0.001
+#: Share of the items up to a quarter of a container that is kept from the fits, to fill what rounding leaves.
+HELD = 0.2
+#: Steps of this share of the whole never meet, so that fits in turn try other combinations.
+_GOLDEN = (5**0.5 - 1) / 2
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times) of a container
 
 
-def combinations(counts: np.ndarray, capacity: int) -> list[Pattern]:
-    """Shallow combinations of the lengths present that fill a container but for a window."""
-    window = max(1, capacity // 100)
-    present = np.flatnonzero(counts[: capacity + 1])
+def combinations(counts: np.ndarray, capacity: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times), a row each for shallow combinations that fill a container but for the window; 0 fills up rows.
+
+    From each length present, once, as often as it fills half a container and
+    as often as it goes, lengths are added at even shares of the items that
+    still fit, again once or more times; each such start is closed by the
+    greatest length that fits. turn moves the shares. At most MOST rows, evenly
+    drawn from all, that need no more items of a length than there are.
+    """
+    present = np.flatnonzero(counts)
     present = present[present > 0]
-    below = np.full(capacity + 1, 0)  # greatest present length up to each number
+    below = np.zeros(capacity + 1, dtype=np.int64)  # greatest present length up to each number
     below[present] = present
     below = np.maximum.accumulate(below)
-    common = present[np.argsort(-counts[present], kind="stable")[:PARTNERS]]
-    found: set[Pattern] = set()
-
-    def add(*lengths: int) -> None:
-        kept = [x for x in lengths if x > 0]
-        if capacity - window <= sum(kept) <= capacity:
-            times: dict[int, int] = {}
-            for x in kept:
-                times[x] = times.get(x, 0) + 1
-            found.add(tuple(sorted(times.items(), reverse=True)))
-
-    for a in present.tolist():
-        add(a)
-        for c in range(capacity - a - window, capacity - a + 1):
-            if 0 < c <= a and counts[c]:
-                add(a, c)
-        for b in common.tolist():
-            rest = capacity - a - b
-            if rest > 0 and below[rest]:
-                add(a, b, int(below[rest]))
-        m = capacity // a
-        rest = capacity - m * a
-        if m > 1:
-            add(*[a] * m, int(below[rest]) if rest else 0)
-            rest += a
-            add(*[a] * (m - 1), int(below[rest]) if below[rest] != a else int(below[a - 1]))
-    return sorted(found, reverse=True)
-
-
-def fit_repeats(patterns: list[Pattern], counts: np.ndarray) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise the squared error of the patterns' lengths against counts."""
-    if not patterns:
+    upto = np.cumsum(counts[: capacity + 1]).astype(float)
+    window = max(1, int(capacity * WINDOW))
+    shares = (6, 4) if len(present) < 700 else (4, 3) if len(present) < 3_000 else (2, 2)
+    lengths: list[np.ndarray] = []
+    times: list[np.ndarray] = []
+
+    def close(chosen: list[tuple[np.ndarray, np.ndarray]], room: np.ndarray) -> None:
+        last = below[room]
+        full = room - last <= window
+        rows = np.zeros((2, int(full.sum()), DEPTH), dtype=np.int64)
+        for k, (length, n) in enumerate(chosen):
+            rows[0, :, k], rows[1, :, k] = length[full], n[full]
+        rows[0, :, len(chosen)] = last[full]
+        rows[1, :, len(chosen)] = last[full] > 0
+        lengths.append(rows[0])
+        times.append(rows[1])
+
+    def repeats(length: np.ndarray, room: np.ndarray, part: float) -> np.ndarray:
+        return np.maximum(1, np.minimum(counts[length], (room * part).astype(np.int64) // np.maximum(length, 1)))
+
+    def extend(chosen: list[tuple[np.ndarray, np.ndarray]], room: np.ndarray, path: int) -> None:
+        close(chosen, room)
+        if len(chosen) == DEPTH - 1:
+            return
+        steps = shares[len(chosen) - 1]
+        fitting = upto[room]
+        for step in range(steps):
+            share = ((step + (turn + path) * _GOLDEN % 1) / steps) % 1
+            length = np.where(fitting > 0, np.searchsorted(upto, np.minimum(share * fitting, np.maximum(fitting - 1, 0)), side="right"), 0)
+            for part in (0.0, 0.5, 1.0) if len(chosen) == 1 else (0.0, 1.0):
+                n = repeats(length, room, part)
+                fits = (length > 0) & ((n > 1) if part else True)
+                if fits.any():
+                    extend([*[(a[fits], b[fits]) for a, b in chosen], (length[fits], n[fits])], (room - length * n)[fits], path * 3 + step + 1)
+
+    for part in (0.0, 0.5, 1.0):
+        n = repeats(present, np.full(len(present), capacity), part)
+        fits = (n > 1) if part else np.ones(len(present), dtype=bool)
+        if fits.any():
+            extend([(present[fits], n[fits])], capacity - (present * n)[fits], 0)
+    found, often = np.vstack([np.zeros((0, DEPTH), np.int64), *lengths]), np.vstack([np.zeros((0, DEPTH), np.int64), *times])
+    order = np.argsort(-found, axis=1, kind="stable")
+    found, often = np.take_along_axis(found, order, 1), np.take_along_axis(often, order, 1)
+    for k in range(DEPTH - 1, 0, -1):  # a length chosen twice counts together
+        twice = (found[:, k] == found[:, k - 1]) & (found[:, k] > 0)
+        often[twice, k - 1] += often[twice, k]
+        found[twice, k] = often[twice, k] = 0
+    rows = np.unique(np.hstack([found, often]), axis=0)[::-1]
+    rows = rows[((rows[:, DEPTH:] <= counts[rows[:, :DEPTH]]) | (rows[:, :DEPTH] == 0)).all(axis=1)]
+    if len(rows) > MOST:
+        rows = rows[np.unique((np.arange(MOST) * (len(rows) / MOST) + turn * _GOLDEN).astype(np.int64) % len(rows))]
+    return rows[:, :DEPTH], rows[:, DEPTH:]
+
+
+def fit_repeats(lengths: np.ndarray, times: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Repeat counts x >= 0 of the combinations that minimise the squared error of their lengths against counts.
+
+    Errors weigh as the root of length over count: long items are the ones
+    that must find their partners here. Solved by projected gradients with
+    momentum.
+    """
+    if not len(lengths):
         return np.zeros(0)
-    column = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    row = np.array([length for p in patterns for length, _ in p])
-    times = np.array([t for p in patterns for _, t in p], dtype=float)
-    forward = lambda x: np.bincount(row, times * x[column], minlength=len(counts))
-    backward = lambda r: np.bincount(column, times * r[row], minlength=len(patterns))
-    v = np.ones(len(patterns))
-    norm = 1.0
-    for _ in range(30):  # power iteration for the step
+    weight = np.sqrt(np.arange(len(counts)) / np.maximum(counts, 1))
+    part = times * weight[lengths]
+    norm = np.sqrt((part * part).sum(axis=1))
+    part = part / norm[:, None]
+    flat = lengths.ravel()
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        out = np.bincount(flat, (part * x[:, None]).ravel(), minlength=len(counts))
+        out[0] = 0
+        return out
+
+    backward = lambda error: (part * error[lengths]).sum(axis=1)
+    target = counts * weight
+    target[0] = 0
+    v, steepest = np.ones(len(lengths)), 1.0
+    for _ in range(20):  # power iteration for the step
         v = backward(forward(v))
-        norm = float(np.linalg.norm(v)) or 1.0
-        v /= norm
-    x = y = np.zeros(len(patterns))
-    momentum, target = 1.0, counts.astype(float)
-    for _ in range(ROUNDS):
-        step = np.maximum(0.0, y - backward(forward(y) - target) / norm)
+        steepest = float(np.linalg.norm(v)) or 1.0
+        v /= steepest
+    x = y = np.zeros(len(lengths))
+    momentum = 1.0
+    for _ in range(steps):
+        moved = np.maximum(0.0, y - backward(forward(y) - target) / steepest)
         after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        y = step + (momentum - 1) / after * (step - x)
-        x, momentum = step, after
-    return x
+        y = moved + (momentum - 1) / after * (moved - x)
+        x, momentum = moved, after
+    return x / norm
+
+
+def fitted_containers(left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """(pattern, repeats) from least squares; what they hold is taken from left.
+
+    Repeats are rounded along the rows, so that sums over neighbouring rows,
+    which share their greatest length, stay within one of the fitted sums. A
+    row is used no more often than its items last.
+    """
+    plan: list[tuple[Pattern, int]] = []
+    whole = int(left.sum())
+    for turn in range(FITS):
+        before = int(left.sum())
+        lengths, times = combinations(left, capacity, turn)
+        wanted = np.diff(np.floor(np.cumsum(fit_repeats(lengths, times, left)) + 0.5), prepend=0.0).astype(np.int64)
+        for i in np.flatnonzero(wanted).tolist():
+            solid = lengths[i] > 0
+            length, n = lengths[i][solid], times[i][solid]
+            repeats = min(int(wanted[i]), int((left[length] // n).min()))
+            if repeats > 0:
+                left[length] -= repeats * n
+                plan.append((tuple(zip(length.tolist(), n.tolist())), repeats))
+        if before - left.sum() <= 0.002 * whole:
+            break
+    return plan
 
 
 def plan_containers(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """(pattern, repeats) that together hold exactly counts[length] items of each length."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    plan: list[tuple[Pattern, int]] = []
-    patterns = combinations(left, capacity)
-    repeats = np.floor(fit_repeats(patterns, left) + 1e-6).astype(np.int64)
-    for i in np.argsort(-repeats, kind="stable").tolist():
-        if repeats[i] <= 0:
-            break
-        n = min(int(repeats[i]), *(int(left[length]) // t for length, t in patterns[i]))
-        if n > 0:
-            plan.append((patterns[i], n))
-            for length, t in patterns[i]:
-                left[length] -= n * t
+    held = np.ceil(left * HELD).astype(np.int64)
+    held[capacity // 4 + 1 :] = 0
+    left -= held
+    plan = fitted_containers(left, capacity)
+    left += held
     # what rounding left: best fit by length, each pattern as often as it goes
     while True:
         rest = np.flatnonzero(left)
@@ -164,15 +233,16 @@ def pack_documents(df: DataFrame, budgets: list[tuple[int, str, int]], id_column
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([len(enc.encode_ordinary(t)) for t in texts], pa.int64()) for enc in encoders]], names=["id", *[f"n{i}" for i in range(len(names))]])
 
     measured = spread(rows).mapInArrow(sizes, ", ".join([f"id {kind}", *[f"n{i} long" for i in range(len(names))]]))
-    laid = cut(measured)
+    # each row keeps the number of its partition, as tasks of later jobs may be numbered otherwise
+    laid = cut(measured.withColumn("pid", F.spark_partition_id()))
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Items with their rank among those of one length in this partition; length -1 is a full container."""
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         seen = {b: np.zeros(capacity + 2, dtype=np.int64) for b, _, capacity in budgets}
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(batch.num_columns - 1)[0].as_py()
             for b, name, capacity in budgets:
                 n = batch.column(1 + names.index(name)).to_numpy(zero_copy_only=False)
                 full = n // capacity
