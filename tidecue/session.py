@@ -50,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filter_before_shuffles(spark: SparkSession) -> None:
+    """Let joins that shuffle filter their large side by a Bloom filter of the small side's keys, whatever the large side's size.
+
+    The filter holds at most spark.sql.optimizer.runtime.bloomFilter.maxNumBits
+    (8 MB). By default Spark makes one only from 10 GB scanned on.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores.
 
