@@ -15,7 +15,7 @@ from tidecue.llm.residue import find_residue
 from tidecue.llm.runs import collapse_runs
 from tidecue.llm.sentences import split_sentences
 from tidecue.llm.splitting import split_documents
-from tidecue.session import table
+from tidecue.session import filter_before_shuffles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,10 +58,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p3_found")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "sentence_checks").distinct()
-    texts = records(spark, sf_dir, "cues", "segments", "documents").where("text is not null")
-    wanted = texts.join(asked, ["tab", "row_id"], "left_semi").dropDuplicates(["tab", "row_id"])
-    return split_sentences(wanted, ["tab", "row_id"])
+    filter_before_shuffles(spark)
+    asked = table(spark, sf_dir, "sentence_checks")
+    parts = []
+    for tab in ("cues", "segments", "documents"):
+        # a Bloom filter of the keys, of at most 8 MB, keeps other texts from being shuffled
+        keys = asked.where(F.col("tab") == tab).select("row_id")
+        texts = records(spark, sf_dir, tab).where("text is not null")
+        parts.append(texts.join(keys, "row_id", "left_semi").dropDuplicates(["row_id"]).select("tab", "row_id", "text"))
+    return split_sentences(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["tab", "row_id"])
 
 
 @query("p3_units")

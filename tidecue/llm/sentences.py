@@ -1,24 +1,41 @@
 """Sentence units across languages and scripts.
 
 A record is divided at blank lines. Within a paragraph every mark, and every
-gap that may stand in a mark's place, is a possible boundary, unless it lies
-within a pair of quotes or brackets. A semi-Markov dynamic programme then
-chooses whole spans: each span is scored by its length, the words that open it,
-the words and marks that close it and the balance of its quotations.
+gap that may stand in a mark's place, is a possible end of a span. A
+semi-Markov dynamic programme chooses whole spans: each is scored by the words
+that open it, the words and marks that close it, its length and the balance of
+its quotes and brackets. A pair that a span cuts costs more than any mark in it
+gives; one half without the other costs the span that holds it once, unless the
+span reaches the edge of the paragraph where the other half may have been, so a
+quotation that was cut off stays whole while a stray mark doesn't hold many
+sentences together.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest run of possible boundaries that one span may pass over.
-REACH = 64
+#: How well a small letter opens a span after one that also begins with one, and after others.
+SMALL_AFTER_SMALL, SMALL_AFTER_CAPITAL = 0.2, -1.0
+#: Characters from which on a paragraph's first span may be one that goes on from before.
+CONTINUED = 60
+#: What an end within a pair of quotes or brackets costs, and one half whose span doesn't reach the edge.
+CUT_PAIR, STRAY_HALF = 20.0, 9.0
+#: What spans cost that have no letters, hardly any, or very many (weighed by script), at most.
+NO_LETTERS, SCRAP, LONGEST = 3.0, 0.3, 3.0
+LONG_LETTERS = 300
+#: Gain from which on a boundary outside all quotes is in every best sequence: cutting there costs one length score more at most.
+SURE = max(NO_LETTERS, LONGEST) + SCRAP
+#: Spans that end at one place are scored in arrays from this number on.
+_MANY = 48
 
 # Abbreviations, without their last full stop, in lower case.
 #: Before a name; they never end a sentence.
@@ -68,35 +85,55 @@ _TOKEN_BEFORE = regex.compile(r"[^\s\"“”«»„()（）\[\]¿¡…]*$")
 _WORD_AFTER = regex.compile(r"[\s\"“«„(（\[¿¡—–-]*((?:[\p{L}\p{M}\p{N}’'-])+|\S)?")
 _ATTRIBUTES = regex.compile(r"\s*(?:[,，;—–]|[-]\s)")
 _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+_NEXT_WORD = regex.compile(r"[\p{L}\p{M}’'-]+")
+_NEXT_SIGN = regex.compile(r"\s*(\S?)")
+_BREAK_AND_DASH = regex.compile(r"\s*\n\s*[-–—]")
 
 
 @dataclass(slots=True)
 class Boundary:
-    """A possible end of a span: the end of its text, and how well it closes and what follows opens."""
+    """A possible end of a span: the end of its text, how well it closes a span and what follows opens one.
+
+    small says that a small letter follows where letter case tells something:
+    it opens a span SMALL_AFTER_SMALL well if the span that ends here begins so
+    too, else SMALL_AFTER_CAPITAL.
+    """
 
     end: int
     closing: float
     opening: float
-    forced: bool = False
+    small: bool = False
+
+
+@dataclass(slots=True)
+class Quotes:
+    """Quotes and brackets of a paragraph: spans of pairs, outermost ones only, and halves that lack the other."""
+
+    pairs: list[tuple[int, int]]
+    openers: list[int]
+    closers: list[int]
 
 
-def quoted(text: str) -> list[tuple[int, int]]:
-    """Spans of quotations and brackets, outermost ones only; one that lacks its other half reaches to the edge."""
+def quotes_of(text: str) -> Quotes:
+    """Pair the quotes and brackets of a paragraph."""
     spans: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    straight = None
+    closers: list[int] = []
+    straight, left = None, text.count('"')
     for i, ch in enumerate(text):
         if ch == '"':
             before, after = text[i - 1 : i], text[i + 1 : i + 2]
+            left -= 1
             if straight is not None:
                 spans.append((straight, i + 1))
                 straight = None
             elif (not before or before.isspace() or before in "(¿¡—–-「") and after and not after.isspace():
                 straight = i
-            elif not spans and i < 200 and not stack:  # its first half was cut off
-                spans.append((0, i + 1))
-            elif _WIDE.match(before) or regex.match(r"\p{Hangul}", before or " "):
+            elif _UNSPACED.match(before) and left % 2:  # where no spaces part words, the number left tells
                 straight = i
+            elif not spans and not stack:
+                closers.append(i + 1)
         elif ch in _CLOSE and stack and any(o in _CLOSE[ch] for o, _ in stack):
             while stack:
                 o, at = stack.pop()
@@ -105,20 +142,18 @@ def quoted(text: str) -> list[tuple[int, int]]:
                     break
         elif ch in _OPEN:
             stack.append((ch, i))
-        elif ch in _CLOSE and i < 200 and not stack and not any(b > i for _, b in spans) and ch not in ")]":
-            spans.append((0, i + 1))
-    n = len(text)
-    for at in [a for _, a in stack] + ([straight] if straight is not None else []):
-        if n - at < 200:
-            spans.append((at, n))
+        elif ch in _CLOSE and not stack and ch not in ")]" and not any(b > i for _, b in spans):
+            closers.append(i + 1)
+    openers = [at for _, at in stack] + ([straight] if straight is not None else [])
     spans.sort()
-    out: list[tuple[int, int]] = []
+    pairs: list[tuple[int, int]] = []
     for a, b in spans:
-        if out and a < out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
+        if pairs and a < pairs[-1][1]:
+            pairs[-1] = (pairs[-1][0], max(pairs[-1][1], b))
         else:
-            out.append((a, b))
-    return out
+            pairs.append((a, b))
+    outside = lambda at: not any(a < at < b for a, b in pairs)
+    return Quotes(pairs, sorted(filter(outside, openers)), sorted(filter(outside, closers)))
 
 
 def _caseless(text: str) -> bool:
@@ -126,41 +161,46 @@ def _caseless(text: str) -> bool:
     return text == text.lower() or text == text.upper()
 
 
-def boundaries(text: str) -> list[Boundary]:
-    """Possible ends of spans within a paragraph."""
-    inside = quoted(text)
+def boundaries(text: str, quotes: Quotes) -> list[Boundary]:
+    """Possible ends of spans within a paragraph, those within quotes included."""
+    inside = quotes.pairs
     out: list[Boundary] = []
     caseless = _caseless(text)
     k = 0
+
+    def add(end: int, closing: float, opening: float | None) -> None:
+        found = Boundary(end, closing, SMALL_AFTER_SMALL if opening is None else opening, opening is None)
+        if out and out[-1].end >= end:
+            if out[-1].end == end and found.closing + found.opening > out[-1].closing + out[-1].opening:
+                out[-1] = found
+        elif end > 0:
+            out.append(found)
+
     for m in _MARK.finditer(text):
         start, stop = m.span()
         while k < len(inside) and inside[k][1] <= start:
             k += 1
         within = k < len(inside) and inside[k][0] < start and start < inside[k][1]
         if m.lastgroup == "dash" or m.group("dash") is not None:
-            if not within:
-                out.append(Boundary(start, 4.0, 1.0))
+            add(start, 4.0, 1.0)
             continue
         if m.group("gap") is not None:
-            if not within:
-                out.append(Boundary(start, 2.5, _opening(text, stop, caseless, out)))
+            add(start, 2.5, _opening(text, stop, caseless))
             continue
         end = _AFTER.match(text, stop).end()
         # a straight quote after a space opens the next span
         while end > stop and text[end - 1] in "\"“" and _opens(text, end - 1, inside):
             end -= 1
-        if within:
+        if end >= len(text):
+            continue
+        if within and inside[k][1] <= end:
             # a mark before the closing half: the span may end after the quotation
-            if inside[k][1] > end or end >= len(text):
-                continue
             if not (text[end].isspace()) or _ATTRIBUTES.match(text, end):
                 continue
             nxt = _WORD_AFTER.match(text, end).group(1) or ""
             if nxt[:1].islower() or nxt.lower() in GO_ON or text[inside[k][1] - 1] in ")）]】":
                 if not (text[inside[k][1] - 1] in ")）" and nxt[:1].isupper()):
                     continue
-        if end >= len(text):
-            continue
         follows = text[end]
         if m.group("ellipsis") is not None:
             if _ATTRIBUTES.match(text, end):
@@ -170,7 +210,7 @@ def boundaries(text: str) -> list[Boundary]:
             mark = m.group("full")
             if mark[0] in "!?" and not follows.isspace() and not follows.isupper() and not _WIDE.match(follows) and follows not in "¿¡\"“«-–—":
                 continue
-            if _ATTRIBUTES.match(text, end) and not regex.match(r"\s*\n\s*[-–—]", text[end:]) and mark[0] in "!?！？":
+            if _ATTRIBUTES.match(text, end) and not _BREAK_AND_DASH.match(text, end) and mark[0] in "!?！？":
                 continue
             closing = 3.5
             if mark == "．" and text[stop : stop + 1].isdigit():
@@ -179,8 +219,8 @@ def boundaries(text: str) -> list[Boundary]:
             closing = _dot(text, start, end, caseless)
             if closing is None:
                 continue
-        opening = _opening(text, end, caseless, out)
-        out.append(Boundary(end, closing, opening if closing < 1.0 else max(opening, -1.0)))
+        opening = _opening(text, end, caseless)
+        add(end, closing, opening if closing < 1.0 or opening is None else max(opening, -1.0))
     return out
 
 
@@ -190,7 +230,10 @@ def _opens(text: str, at: int, inside: list[tuple[int, int]]) -> bool:
 
 def _dot(text: str, start: int, end: int, caseless: bool) -> float | None:
     """How well a single full stop closes a sentence; None if it can't."""
-    before = _TOKEN_BEFORE.search(text, max(0, start - 40), start).group()
+    before, width = _TOKEN_BEFORE.search(text, max(0, start - 40), start).group(), 40
+    while len(before) == width < start:  # a longer token
+        width *= 2
+        before = _TOKEN_BEFORE.search(text, max(0, start - width), start).group()
     after = text[end : end + 1]
     last = text[start - 1 : start]
     if not before and last.isspace():
@@ -204,7 +247,7 @@ def _dot(text: str, start: int, end: int, caseless: bool) -> float | None:
             return 2.5
         if "_" in before or "/" in before or "@" in before or "." in before.strip("."):
             return None
-        nxt = regex.match(r"[\p{L}\p{M}’'-]+", text[end : end + 30])
+        nxt = _NEXT_WORD.match(text, end)
         word = nxt.group() if nxt else ""
         if after in "¿¡«“\"„—" and (last.isalpha() or last.isdigit()):
             return 2.0
@@ -232,7 +275,7 @@ def _dot(text: str, start: int, end: int, caseless: bool) -> float | None:
     # parts of spaced abbreviations such as "a. m." and "т. д."
     lead = regex.search(r"(?:^|[\s(«“\"„-])(\p{L}{1,2})\.\s?$", text[max(0, start - len(before) - 6) : start - len(before)])
     joined = f"{lead.group(1).lower()}.{low}" if lead and len(low) <= 2 else low
-    rest = text[end : end + 24].lstrip()
+    rest = _NEXT_SIGN.match(text, end).group(1)
     if joined in CLOCK or low in CLOCK:
         return 0.5
     if joined in LISTS or low in LISTS:
@@ -254,8 +297,8 @@ def _dot(text: str, start: int, end: int, caseless: bool) -> float | None:
     return 3.0
 
 
-def _opening(text: str, at: int, caseless: bool, seen: list[Boundary]) -> float:
-    """How well what follows a place opens a sentence."""
+def _opening(text: str, at: int, caseless: bool) -> float | None:
+    """How well what follows a place opens a sentence; None if a small letter leaves it to the span before."""
     word = _WORD_AFTER.match(text, at).group(1) or ""
     if not word:
         return 0.0
@@ -268,38 +311,86 @@ def _opening(text: str, at: int, caseless: bool, seen: list[Boundary]) -> float:
         return 0.3
     if word[0].isupper():
         return 1.5
-    # small letters: the span before may be written in small letters too
-    begin = seen[-1].end if seen else 0
-    first = _WORD_AFTER.match(text, begin).group(1) or ""
-    return 0.2 if first[:1].islower() and begin > 0 or first[:1].islower() and begin == 0 and at > 60 else -1.0
+    return None  # the span before tells
 
 
-def _length_score(letters: int) -> float:
-    """Spans of a few words up to some lines are likelier than scraps and very long ones."""
+def length_score(letters: float) -> float:
+    """What a span's length costs: scraps and very long spans are unlikely sentences."""
     if letters < 1:
-        return -3.0
-    if letters > 600:
-        return -0.5
-    return 0.0
+        return -NO_LETTERS
+    if letters < 3:
+        return -SCRAP
+    return -min(LONGEST, max(0.0, letters - LONG_LETTERS) / LONG_LETTERS)
+
 
+def _length_scores(letters: np.ndarray) -> np.ndarray:
+    long = -np.minimum(LONGEST, np.maximum(0.0, letters - LONG_LETTERS) / LONG_LETTERS)
+    return np.where(letters < 1, -NO_LETTERS, np.where(letters < 3, -SCRAP, long))
 
-def choose_spans(text: str, ends: list[Boundary]) -> list[int]:
-    """Ends of the best sequence of spans of a paragraph, the last its own end."""
+
+def choose_spans(text: str, ends: list[Boundary], quotes: Quotes) -> list[int]:
+    """Ends of the best sequence of spans of a paragraph, the last its own end.
+
+    A span from point i to point j scores by what opens at i and closes at j,
+    its length, an end within a pair of quotes, and halves of pairs in it. Cuts
+    at sure boundaries are in every best sequence, so no span need be scored
+    that passes over one; that bound is exact.
+    """
+    if not ends:
+        return [len(text)]
     points = [0, *[b.end for b in ends], len(text)]
-    gain = [0.0, *[b.closing + b.opening for b in ends], 0.0]
     n = len(points)
-    best = [0.0] + [float("-inf")] * (n - 1)
-    back = [0] * n
-    letters = [0] * n
+    cut_pair = [0.0] * n
+    if quotes.pairs:
+        starts = [a for a, _ in quotes.pairs]
+        for p in range(1, n - 1):
+            k = bisect_left(starts, points[p]) - 1
+            if k >= 0 and points[p] < quotes.pairs[k][1]:
+                cut_pair[p] = -CUT_PAIR
+    opening = [0.0, *[b.opening for b in ends], 0.0]
+    closing = [0.0, *[b.closing for b in ends], 0.0]
+    opens = [a + b for a, b in zip(opening, cut_pair)]
+    closes = [a + b for a, b in zip(closing, cut_pair)]
+    # spans that begin with a capital, or with the paragraph, don't end before a small letter so readily
+    small = [False, *[b.small for b in ends], False]
+    first = SMALL_AFTER_CAPITAL - SMALL_AFTER_SMALL
+    capital = [0.0 if (_WORD_AFTER.match(text, p).group(1) or "")[:1].islower() else first for p in points[:-1]] if any(small) else []
+    # halves before each point: a span holds those between its two points
+    openers = [bisect_left(quotes.openers, p) for p in points]
+    closers = [bisect_right(quotes.closers, p) for p in points]
+    wide = _WIDE.search(text) is not None
+    letters = [0.0] * n
     for j in range(1, n):
-        letters[j] = letters[j - 1] + sum(map(str.isalnum, text[points[j - 1] : points[j]]))
+        part = text[points[j - 1] : points[j]]
+        letters[j] = letters[j - 1] + sum(map(str.isalnum, part)) + (1.5 * len(_WIDE.findall(part)) if wide else 0)
+    free = not quotes.openers and not quotes.closers
+    best, back, sure = [0.0] + [0.0] * (n - 1), [0] * n, 0
     for j in range(1, n):
-        for i in range(max(0, j - REACH), j):
-            if best[i] == float("-inf"):
-                continue
-            score = best[i] + gain[j] + _length_score(letters[j] - letters[i])
-            if score > best[j]:
-                best[j], back[j] = score, i
+        if j - sure < _MANY:
+            top = None
+            for i in range(sure, j):
+                score = best[i] + opens[i] + length_score(letters[j] - letters[i])
+                if small[j]:
+                    score += capital[i] if i or points[j] > CONTINUED else first
+                if not free:
+                    score -= STRAY_HALF * ((openers[j] > openers[i] and j < n - 1) + (closers[j] > closers[i] and i > 0))
+                if top is None or score > top:
+                    top, back[j] = score, i
+        else:
+            i = slice(sure, j)
+            scores = np.array(best[i]) + np.array(opens[i]) + _length_scores(letters[j] - np.array(letters[i]))
+            if small[j]:
+                scores += np.array(capital[i])
+                if not sure and points[j] <= CONTINUED:
+                    scores[0] += first - capital[0]
+            if not free:
+                scores -= STRAY_HALF * ((openers[j] > np.array(openers[i])) & (j < n - 1))
+                scores -= STRAY_HALF * ((closers[j] > np.array(closers[i])) & (np.arange(sure, j) > 0))
+            k = int(np.argmax(scores))
+            top, back[j] = float(scores[k]), sure + k
+        best[j] = top + closes[j]
+        if closing[j] + opening[j] > SURE and not small[j] and not cut_pair[j] and not openers[j] and closers[j] == len(quotes.closers) and j < n - 1:
+            sure = j
     out, j = [], n - 1
     while j:
         out.append(points[j])
@@ -317,7 +408,8 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
         stop = m.start() if m else len(text)
         part = text[at:stop]
         begin = 0
-        for end in choose_spans(part, boundaries(part)):
+        quotes = quotes_of(part)
+        for end in choose_spans(part, boundaries(part, quotes), quotes):
             a, b = begin, end
             while a < b and part[a].isspace():
                 a += 1
