@@ -124,5 +124,5 @@ def test_languages(spark):
 
 
 def test_rules_are_plain():
-    assert len(rules.SPANISH_LOST) + len(rules.SPANISH_PLAIN) + len(rules.SPANISH_TAGS) == 165
+    assert len(rules.SPANISH_SPELLINGS) == 165
     assert datetime.date.today()

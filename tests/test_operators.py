@@ -62,8 +62,8 @@ def test_repeats_and_duplicates(spark):
 
 
 def test_redistribution(spark):
-    assert neighbors.redistribute_pair("¡Es... escrita de su mano! Demasiado sublime...", "¡Es... escrita de su mano! Demasiado sublime... Nagao Buton?") == ("¡Es... escrita de su mano!", "Demasiado sublime... Nagao Buton?", True)
-    assert neighbors.redistribute_pair("No", "Nosotros vamos") == ("No", "sotros vamos", True)
+    assert neighbors.share_out("¡Es... escrita de su mano! Demasiado sublime...", "¡Es... escrita de su mano! Demasiado sublime... Nagao Buton?") == ("¡Es... escrita de su mano!", "Demasiado sublime... Nagao Buton?")
+    assert neighbors.share_out("No", "Nosotros vamos") == ("No", "sotros vamos")
     df = spark.createDataFrame([(1, 1, "a b."), (1, 2, "a b. c d"), (1, 3, "c d e"), (2, 1, "x")], "track_id long, cue_no int, text string")
     assert sorted(map(tuple, neighbors.redistribute_prefixes(df).collect())) == [(1, 1, "a b.", True), (1, 2, "c d", True), (1, 3, "e", True), (2, 1, "x", False)]
 
@@ -101,10 +101,14 @@ def test_paragraphs(spark):
     assert {r.section_no for r in folds.build_paragraphs(df, section_s=180.0).where("transcript_id = 1").collect()} == {1, 2}
 
 
-def test_alignment():
-    segments = [(0.0, 1.0, "hola equipo"), (1.0, 2.0, "vamos a empezar"), (5.0, 6.0, "otra cosa distinta")]
-    got = folds.align_texts([(1, "Hola equipo, vamos a empezar."), (2, "Otra cosa distinta."), (3, "de más")], segments)
-    assert [(g[0], g[1], g[2], g[5]) for g in got] == [(1, 0.0, 2.0, False), (2, 5.0, 6.0, False)]
+def test_alignment(spark):
+    got = folds.align_keys(["holaequipovamosaempezar", "", "otracosadistinta", "demás"], ["holaequipo", "vamosaempezar", "otracosadistinta"])
+    assert [g[:3] for g in got] == [(0, 0, 1), (2, 2, 2)] and all(g[3] > folds.LOW for g in got)
+    assert folds.align_keys(["abc"], ["", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz"])[0][3] == -1.0
+    segments = spark.createDataFrame([(1, 1, 0.0, 1.0, "hola equipo"), (1, 2, 1.0, 2.0, "vamos a empezar"), (1, 3, 5.0, 6.0, "otra cosa distinta")], "transcript_id long, seg_no int, start_s double, end_s double, text string")
+    said = spark.createDataFrame([(1, 1, "Hola equipo, vamos a empezar."), (1, 2, "Otra cosa distinta."), (1, 3, "de más"), (2, 1, "sin segmentos")], "transcript_id long, para_no int, text string")
+    rows = sorted((r.para_no, r.start_s, r.end_s, r.low) for r in folds.align_paragraphs(said, segments).collect())
+    assert rows == [(1, 0.0, 2.0, False), (2, 5.0, 6.0, False)]
 
 
 def test_tracks(spark):

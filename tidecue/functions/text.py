@@ -158,10 +158,13 @@ def alignment_key(c: Column) -> Column:
     return F.regexp_replace(fold_case(c), "[^0-9a-záéíóúüñ]+", "")
 
 
+#: Parts of a text around its last sentence boundary.
+LAST_SENTENCE = rf"^(.*[.!?])({SP}+)([A-ZÁÉÍÓÚÜÑ¡¿].*)$"
+
+
 def split_final_sentence(c: Column) -> Column:
     """SC20: struct (head, tail) cut at the last sentence boundary; tail is empty without one."""
-    flat = squeeze(c)
-    last = f"^(.*[.!?])({SP}+)([A-ZÁÉÍÓÚÜÑ¡¿].*)$"
+    flat, last = squeeze(c), LAST_SENTENCE
     head, tail = F.regexp_extract(flat, last, 1), F.regexp_extract(flat, last, 3)
     found = (head != "") & (tail != "")
     return F.struct(F.when(found, head).otherwise(flat).alias("head"), F.when(found, tail).otherwise(F.lit("")).alias("tail"))
@@ -226,15 +229,11 @@ def quote_list(c: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _spanish_rules() -> list[tuple[re.Pattern, str, str]]:
-    """(pattern, replacement, literal that must be there) in order."""
-    out = []
-    for table in (rules.SPANISH_LOST, [("=", a, b) for a, b in rules.SPANISH_PLAIN], rules.SPANISH_TAGS):
-        for where, source, target in table:
-            pattern = (r"\b" if where else "") + re.escape(source) + (r"\b" if where == "=" else "")
-            out.append((re.compile(pattern), target.replace("\\", r"\\"), source))
-    return out
+    """(pattern, replacement, literal that a text must hold for the pattern to match) in order."""
+    return [(re.compile(pattern), target, pattern.replace(r"\b", "").replace("\\", "")) for pattern, target in rules.SPANISH_SPELLINGS]
 
 
+# Where an inverted mark is missing before an exclamation, and before a question.
 _OPENED = re.compile(r"(^|[\s\"'(\[{])\?([A-ZÁÉÍÓÚÜÑ][^?\n!]{0,80}!)")
 _ASKED = re.compile(r"(^|[\s\"'(\[{])\?([A-ZÁÉÍÓÚÜÑ][^?\n]{0,80}\?)")
 

@@ -133,3 +133,8 @@ def remux_strategy(formats: Column) -> Column:
     """SE5: whether a container is written natively."""
     names = F.transform(F.split(F.lower(F.coalesce(formats, F.lit(""))), ","), F.trim)
     return F.when(F.arrays_overlap(names, F.array(F.lit("matroska"), F.lit("webm"))), F.lit("mkvmerge-native")).otherwise(F.lit("ffmpeg-shared-timeline"))
+
+
+def result_tally(results: DataFrame, status: str) -> DataFrame:
+    """AG15: (status, n): how many results of a batch ended so."""
+    return results.groupBy(status).agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Translation maps and glossaries over ASS lines (SRC16-SRC18, J1, J9, J12, SE3, SE4, AG9, SNK12)."""
+"""Translation maps and glossaries over ASS lines (PL5, SRC16-SRC18, J1, J9, J12, SE3, SE4, AG9, SNK12)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecue.functions import predicates, text
+from tidecue.operators.scan import number_rows
 
 SONG_LAYER, SONG_MARGIN = 99, 30
 
@@ -50,6 +51,28 @@ def song_lines(songs: DataFrame, group: str = "track_id") -> DataFrame:
     return songs.select(group, F.lit(SONG_LAYER).cast("string").alias("layer"), "start", "end", "style", F.lit("").alias("name"), F.lit("0").alias("ml"), F.lit("0").alias("mr"), F.lit(str(SONG_MARGIN)).alias("mv"), F.lit("").alias("effect"), F.col("translation").alias("raw"))
 
 
+def translated_files(lines: DataFrame, maps: DataFrame, group: str = "track_id", terms: list[tuple[str, str]] | None = None, blank_song_letters: bool = False) -> tuple[DataFrame, DataFrame]:
+    """PL5 whole: (lines, report) of ASS files with their translation maps applied.
+
+    Maps are merged, terms put into their values, line entries replace texts
+    behind their tags, letter-by-letter songs are blanked on request, and every
+    song entry is appended as a line of its own after the file's last one, in
+    order of the start's text, then the key. The report counts per file what
+    was translated, blanked and appended.
+    """
+    merged = merge_maps(maps, group)
+    done = apply_translations(lines, event_entries(merged, group), group, blank_song_letters, terms)
+    songs = song_entries(merged, group).withColumn("translation", text.apply_terms(F.col("translation"), terms or []))
+    last = lines.groupBy(group).agg(F.max("line_no").alias("_last"))
+    # songs of a file are numbered by a range sort: one file may hold any share of them
+    numbered = number_rows(song_lines(songs, group), group, ["start", "style", "end"], "_n").join(last, group)
+    appended = numbered.withColumn("line_no", (F.col("_last") + F.col("_n")).cast("int")).withColumn("in_events", F.lit(True)).withColumn("outcome", F.lit("appended"))
+    columns = [group, "line_no", "in_events", "layer", "start", "end", "style", "name", "ml", "mr", "mv", "effect", "raw", "outcome"]
+    out = done.select(*columns).unionByName(appended.select(*columns))
+    tally = lambda outcome: F.count_if(F.col("outcome") == outcome).alias(outcome)
+    return out, out.groupBy(group).agg(*map(tally, ("translated", "blanked", "appended")))
+
+
 def song_groups(lines: DataFrame, group: str = "track_id") -> DataFrame:
     """AG9: (group, key, text): letters of English song effects joined by their place from left to right.
 

@@ -41,6 +41,18 @@ def recogniser_command(recogniser: str, audio: Column, folder: Column, language:
     return F.concat(F.array(F.lit(recogniser), audio, *options, F.lit("--output_dir"), folder, F.lit("--output_format"), F.lit("all")), _optional("--language", language))
 
 
+def recogniser_payload(preferred: str, has: Callable[[str], bool], audio: Column, folder: Column, language: Column, device: str = "cuda", quality: str = "balanced") -> Column:
+    """PL10: struct (recogniser, command, settings) of what a run over each row's audio uses.
+
+    settings is a map of names to values as text; a blank language is auto.
+    """
+    recogniser = choose_recogniser(preferred, has)
+    settings = {"model": "large-v3", "compute_type": "float16", "quality_profile": quality, **decoding_options(quality)} if recogniser == "whisperx" else {"model": "turbo", "compute_type": "float16"}
+    named = [F.lit(x) for name, value in {"backend": recogniser, "device": device, **settings}.items() for x in (name, str(value))]
+    spoken = F.coalesce(F.nullif(language, F.lit("")), F.lit("auto"))
+    return F.struct(F.lit(recogniser).alias("recogniser"), recogniser_command(recogniser, audio, folder, language, device, quality).alias("command"), F.create_map(*named, F.lit("language"), spoken).alias("settings"))
+
+
 def native_mux_command(video: Column, subtitles: Column, output: Column, language: Column, title: Column, subtitle_ids: Column) -> Column:
     """Arguments that add a default subtitle track natively; subtitle_ids is an array of the tracks that lose the flag."""
     old = F.flatten(F.transform(subtitle_ids, lambda i: F.array(F.lit("--default-track-flag"), F.concat(i.cast("string"), F.lit(":no")))))

@@ -80,6 +80,33 @@ def transcript_paragraphs(segments: DataFrame, headers: DataFrame, entity: str =
     return folds.build_paragraphs(timed, entity, most=most)
 
 
+def transcribe(segments: DataFrame, headers: DataFrame, generated_at: str, entity: str = "transcript_id", most: int = folds.PARAGRAPH_CHARS, verbatim: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """PL7 whole: (aligned paragraphs, Markdown documents, reports) of recordings.
+
+    headers has (entity, title, source_video, backend, language,
+    audio_stream_index). Language, cleaning, paragraphs, alignment, checks,
+    Markdown and report follow one another as in the original. A paragraph
+    without Latin letters or digits can't be aligned and is left out, as there.
+    A report has the settled language, the counts of segments before and after
+    cleaning, of paragraphs, and both kinds of warnings.
+    """
+    guessed = infer_spanish(segments.where("text is not null"), entity)
+    settled = headers.join(guessed.select(entity, "is_spanish"), entity, "left").withColumn("language", settled_language(F.col("language"), F.col("is_spanish"))).drop("is_spanish")
+    languages = settled.select(entity, "language")
+    labelled = segments.join(languages, entity, "left")
+    # paragraphs, alignment and report read the cleaned segments
+    cleaned = cut(clean_segments(labelled, entity, verbatim=verbatim))
+    timed = cleaned.where("start_s is not null").withColumn("end_s", F.coalesce("end_s", "start_s"))
+    built = folds.build_paragraphs(timed, entity, most=most).select(entity, "para_no", "text")
+    keyed = lambda df: with_clean_text(df.withColumn("key", F.col("text")), "key", "language", verbatim).withColumn("key", text.alignment_key(F.col("key")))
+    aligned = folds.align_paragraphs(keyed(built.join(languages, entity, "left")), keyed(timed), entity)
+    checked = cut(neighbors.paragraph_warnings(aligned, entity, "para_no", "start_s", "end_s"))
+    documents = sinks.markdown_files(checked, settled.withColumn("postprocess_mode", F.lit("verbatim" if verbatim else "clean")), entity, generated_at)
+    counts = checked.groupBy(entity).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if("low").alias("n_low"), F.sum(F.size("warnings")).alias("n_warnings"))
+    report = clean_report(segments, cleaned, entity).join(languages, entity, "left").join(counts, entity, "left").na.fill(0, ["n_paragraphs", "n_low", "n_warnings"])
+    return checked, documents, report.withColumn("language", F.coalesce(F.nullif("language", F.lit("")), F.lit("und")))
+
+
 def markdown_documents(paragraphs: DataFrame, headers: DataFrame, entity: str, generated_at: str) -> DataFrame:
     """PL7, SNK7: a Markdown document per recording."""
     return sinks.markdown_files(paragraphs, headers, entity, generated_at)
@@ -185,6 +212,21 @@ def check_timeline(source: DataFrame, embedded: DataFrame, group: str = "track_i
     return tracks.timeline_shift(pairs, group).join(tracks.largest_delta(pairs, group), group).join(equal, group)
 
 
+def export_synchronized(embedded: DataFrame, extracted: DataFrame, group: str = "track_id", title: str = "Converted text subtitles") -> tuple[DataFrame, DataFrame]:
+    """PL9's export: (ASS contents, checks) of subtitles extracted from a container.
+
+    embedded has (group, start_ms) of the track's packets, extracted the cues
+    (group, start_ms, end_ms, text). The check says whether both have the same
+    number, the greatest distance of starts, and whether every cue became a
+    dialogue. The margins are those of the export.
+    """
+    files = sinks.ass_files(extracted, group, title, margins=(192, 192, 48))
+    timing = check_timeline(embedded, extracted.select(group, "start_ms"), group)
+    checks = timing.join(files.select(group, "n_cues").withColumnRenamed("n_cues", "n_dialogues"), group, "left")
+    passed = F.col("same_count") & F.col("within") & (F.col("n_dialogues") == F.col("n_cues"))
+    return files, checks.select(group, "n_cues", "n_dialogues", "delta", F.coalesce(passed, F.lit(False)).alias("passed"))
+
+
 def check_final_tracks(streams: DataFrame, group: str, language: str = "spa", title: str = "Español") -> DataFrame:
     """PL12: (group, first_language, first_title, one_default, first_default): whether the first subtitle is as it should be."""
     first = streams.groupBy(group).agg(F.min_by(F.struct("language", "title", "is_default"), "stream_index").alias("f"), F.count_if("is_default").alias("n"))
