@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.functions import languages, predicates, rules, text, timecode
@@ -118,9 +118,14 @@ def strip_markup(spark, sf_dir):
     return cues(spark, sf_dir).where("text is not null").select("cue_id", text.strip_markup(F.col("text"), entities=False).alias("plain"))
 
 
-@query("unescape_entities")
+ENTITIES = [("&", "&amp;"), ('"', "&quot;"), ("'", "&#39;"), ("é", "&eacute;"), ("ñ", "&#xF1;"), ("¿", "&iquest;")]
+
+
+@query("unescape_entities", f"select cue_id, {S.markup('text')} as plain from {S.CUES} where text is not null")
 def unescape_entities(spark, sf_dir):
-    return cues(spark, sf_dir).where("text is not null").select("cue_id", text.strip_markup(F.col("text")).alias("plain"))
+    """The cues with some characters written as entities; reading them gives the cues without markup."""
+    written = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, F.col("text"))
+    return cues(spark, sf_dir).where("text is not null").select("cue_id", text.strip_markup(written).alias("plain"))
 
 
 @query(
@@ -152,6 +157,7 @@ def collapse_phrases(spark, sf_dir):
     return segments(spark, sf_dir).where("text is not null").select("segment_id", text.collapse_phrases(F.col("text")).alias("fixed"))
 
 
+_ES = S.spanish("language")
 TERMS = [("público", "audience"), ("editora", "editor"), ("la editora", "the editor"), ("niño", "boy"), ("the editor", "EDITOR")]
 
 
@@ -160,17 +166,17 @@ def glossary(spark, sf_dir):
     return segments(spark, sf_dir).where("text is not null").select("segment_id", text.apply_terms(F.col("text"), TERMS).alias("translated"))
 
 
-@query("glossary_defaults")
+@query("glossary_defaults", f"select doc_id, {S.replaces('text', sorted(text.glossary_terms(), key=lambda t: -len(t[0])))} as translated from documents where text is not null")
 def glossary_defaults(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.apply_terms(F.col("text"), text.glossary_terms()).alias("translated"))
 
 
-@query("spanish_normalize")
+@query("spanish_normalize", f"with {S.spanish_steps(f'(select segment_id, text from {S.LABELLED} where text is not null and {_ES})', 'text')} select segment_id, spanish as fixed from s4")
 def spanish_normalize(spark, sf_dir):
     return labelled(spark, sf_dir).where(pipelines.is_spanish(F.col("language")) & F.col("text").isNotNull()).select("segment_id", text.normalize_spanish(F.col("text")).alias("fixed"))
 
 
-@query("suspicious_questions")
+@query("suspicious_questions", S.suspects(f"{S.SEGMENTS}", "segment_id", "text"))
 def suspicious_questions(spark, sf_dir):
     found = segments(spark, sf_dir).where("text is not null").select("segment_id", F.explode(text.suspicious_questions(F.col("text"))).alias("f"))
     return found.select("segment_id", "f.offset", "f.context")
@@ -268,7 +274,25 @@ def trim_suffix(spark, sf_dir):
     return neighbors.trim_repeated_fragments(shown_cues(spark, sf_dir)).select("cue_id", "text", "trimmed")
 
 
-@query("redistribute_prefix")
+REDISTRIBUTED = f"""
+n0 as (select track_id, cue_no, text, row_number() over (partition by track_id order by cue_no) as n from {SHOWN}),
+w0 as (select track_id, n, cue_no, text as body, false as changed, cast(null as bigint) as done_no, cast(null as varchar) as done, false as done_changed from n0 where n = 1
+  union all
+  select track_id, n, next_no, case when given then case when h <> '' then l || ' ' || rest else rest end else text end, given, cue_no, case when given then case when h <> '' then trim(h) else a end else body end, changed or given
+  from (select *, fits and rest <> '' as given, regexp_extract(a, '^(.*[.!?])( +)([A-ZÁÉÍÓÚÜÑ¡¿].*)$', 1) as h, regexp_extract(a, '^(.*[.!?])( +)([A-ZÁÉÍÓÚÜÑ¡¿].*)$', 3) as l
+  from (select *, a <> '' and b <> '' and ka <> kb and starts_with(kb, ka) as fits,
+    {S.sub("case when starts_with(b, a) then substr(b, length(a) + 1) else array_to_string(list_slice(string_split(b, ' '), len(string_split(a, ' ')) + 1, len(string_split(b, ' '))), ' ') end", '^[ ,;:-]+|[ ,;:-]+$')} as rest
+  from (select *, {S.key('a')} as ka, {S.key('b')} as kb
+  from (select w0.*, n0.n as n2, n0.cue_no as next_no, n0.text, {S.squeeze('w0.body')} as a, {S.squeeze('n0.text')} as b from w0 join n0 on n0.track_id = w0.track_id and n0.n = w0.n + 1)))))"""
+
+
+@query(
+    "redistribute_prefix",
+    f"""with recursive {REDISTRIBUTED.replace("select track_id, n, next_no,", "select track_id, n2, next_no,")},
+m0 as (select track_id, max(n) as n from n0 group by 1)
+select track_id, done_no as cue_no, done as text, done_changed as redistributed from w0 where done_no is not null
+union all select track_id, cue_no, body as text, changed as redistributed from w0 join m0 using (track_id, n)""",
+)
 def redistribute_prefix(spark, sf_dir):
     return neighbors.redistribute_prefixes(shown_cues(spark, sf_dir))
 
@@ -316,16 +340,19 @@ def reflow_cues(spark, sf_dir):
     return folds.reflow_cues(cues(spark, sf_dir).where("text is not null"), ["cue_id"])
 
 
-def _paragraph_sql(source: str) -> str:
-    """Recursive form of FO4 over (transcript_id, rn, start_s, end_s, text)."""
+def _paragraph_sql(source: str, section_s: float | None = None) -> str:
+    """Recursive form of FO4, and of FO5 with section_s, over (transcript_id, seg_no, start_s, end_s, text)."""
+    over = "over (partition by transcript_id order by start_s, seg_no)"
+    new = f"r0.start_s >= r1.start_of + {section_s}" if section_s else "false"
+    cut = f"({new} or r1.chars >= 900 or r0.start_s - r0.pe >= 2.5 or (r0.ps and r1.chars >= 405.0))"
     return f"""
-r0 as (select *, row_number() over (partition by transcript_id order by start_s, seg_no) as rn, lag(end_s) over (partition by transcript_id order by start_s, seg_no) as pe,
-  coalesce(regexp_matches(lag(text) over (partition by transcript_id order by start_s, seg_no), '[.!?。！？]\\s*$'), false) as ps from {source}),
-r1 as (select transcript_id, rn, start_s, end_s, text, 1 as para_no, length(text) as chars from r0 where rn = 1
+r0 as (select *, row_number() {over} as rn, lag(end_s) {over} as pe, coalesce(regexp_matches(lag(text) {over}, '[.!?。！？]\\s*$'), false) as ps from {source}),
+r1 as (select transcript_id, rn, start_s, end_s, text, 1 as para_no, length(text) as chars, 1 as section_no, start_s as start_of from r0 where rn = 1
   union all
-  select r0.transcript_id, r0.rn, r0.start_s, r0.end_s, r0.text, case when {{cut}} then r1.para_no + 1 else r1.para_no end, case when {{cut}} then length(r0.text) else r1.chars + length(r0.text) end
+  select r0.transcript_id, r0.rn, r0.start_s, r0.end_s, r0.text, case when {cut} then r1.para_no + 1 else r1.para_no end, case when {cut} then length(r0.text) else r1.chars + length(r0.text) end,
+    case when {new} then r1.section_no + 1 else r1.section_no end, case when {new} then r0.start_s else r1.start_of end
   from r1 join r0 on r0.transcript_id = r1.transcript_id and r0.rn = r1.rn + 1)
-select transcript_id, para_no, first(start_s order by rn) as start_s, last(end_s order by rn) as end_s, {S.squeeze("string_agg(text, ' ' order by rn)")} as text from r1 group by 1, 2""".replace("{cut}", "(r1.chars >= 900 or r0.start_s - r0.pe >= 2.5 or (r0.ps and r1.chars >= 405.0))")
+select transcript_id, para_no, {'first(section_no) as section_no, ' if section_s else ''}first(start_s order by rn) as start_s, last(end_s order by rn) as end_s, {S.squeeze("string_agg(text, ' ' order by rn)")} as text from r1 group by 1, 2"""
 
 
 SIGNS = " + ".join(f"cast(contains(t, {S.q(s)}) as int)" for s in rules.SPANISH_SIGNS)
@@ -355,7 +382,13 @@ def paragraphs(spark, sf_dir):
     return pipelines.transcript_paragraphs(segments(spark, sf_dir), heads).drop("section_no")
 
 
-@query("sections")
+@query(
+    "sections",
+    f"""with recursive {S.cleaned(S.LABELLED)},
+d as (select *, {S.bare('cleaned')} as k, lag({S.bare('cleaned')}) over (partition by transcript_id order by start_s, seg_no) as before from c4 where cleaned <> '' and transcript_id is not null),
+e as (select transcript_id, seg_no, start_s, coalesce(end_s, start_s) as end_s, cleaned as text from d where (k = '' or before is null or k <> before) and start_s is not null),
+{_paragraph_sql('e', 180.0)}""",
+)
 def sections(spark, sf_dir):
     rows = pipelines.clean_segments(labelled(spark, sf_dir)).withColumn("end_s", F.coalesce("end_s", "start_s"))
     return folds.build_paragraphs(rows, section_s=folds.SECTION_S)
@@ -475,14 +508,28 @@ def source_fallback(spark, sf_dir):
     return recogniser.load_segments(found.unionByName(whole), ["transcript_id"]).select("transcript_id", "start_s", "end_s", "text")
 
 
-@query("timed_words")
+def _timed_sql(source: str, key: str) -> str:
+    """FO8 over (key, s, e, text) with words timed evenly between s and e seconds; times are in ms."""
+    return f"""
+t1 as (select {key}, s, e, {S.words('text')} as ws, list_filter(string_split({S.wrapped('text')}, chr(10)), lambda x: x <> '') as ls from {source}),
+t2 as (select *, (e - s) / greatest(len(ws), 1) as step, list_transform(ls, lambda x: len(string_split(x, ' '))) as ns from t1 where len(ls) > 0),
+t3 as (select *, unnest(range(1, (len(ls) + 1) // 2 + 1)) as k from t2),
+t4 as (select *, coalesce(list_sum(list_slice(ns, 1, 2 * k - 2)), 0) as b, list_sum(list_slice(ns, 2 * k - 1, 2 * k)) as m from t3),
+t5 as (select {key}, cast(k as integer) as part_no, cast(round_even((s + step * b) * 1000, 0) as bigint) as start_ms, cast(round_even((s + step * (b + m)) * 1000, 0) as bigint) as end_ms, array_to_string(list_slice(ls, 2 * k - 1, 2 * k), chr(10)) as text from t4)"""
+
+
+def evenly_timed(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """df with `words`: its text's words, timed evenly between two times in seconds."""
+    w = text.words(F.col("text"))
+    step = (end - start) / F.greatest(F.size(w), F.lit(1))
+    return df.withColumn("words", F.transform(w, lambda x, i: F.struct(x.alias("word"), (start + step * i).alias("start"), (start + step * (i + 1)).alias("end"))))
+
+
+@query("timed_words", f"with {_timed_sql(f'(select segment_id, start_s as s, end_s as e, text from {S.SEGMENTS} where text is not null and end_s > start_s)', 'segment_id')} select * from t5 where end_ms > start_ms")
 def timed_words(spark, sf_dir):
     """Segments with words timed evenly, grouped to cues."""
     rows = segments(spark, sf_dir).where("text is not null and end_s > start_s")
-    w = text.words(F.col("text"))
-    step = (F.col("end_s") - F.col("start_s")) / F.greatest(F.size(w), F.lit(1))
-    timed = rows.withColumn("words", F.transform(w, lambda x, i: F.struct(x.alias("word"), (F.col("start_s") + step * i).alias("start"), (F.col("start_s") + step * (i + 1)).alias("end"))))
-    return folds.timed_word_cues(timed, ["segment_id"])
+    return folds.timed_word_cues(evenly_timed(rows, F.col("start_s"), F.col("end_s")), ["segment_id"])
 
 
 @query("markdown_documents")
@@ -514,7 +561,10 @@ def container_language(spark, sf_dir):
     return languages.with_container_language(docs, "lang").select("doc_id", "mkv_language", "language_display")
 
 
-@query("recogniser_language")
+_SHORT = {code: k for k, (code, _) in reversed(list(rules.CONTAINER_LANGUAGES.items())) if len(k) == 2} | {"zho": "zh", "fra": "fr", "deu": "de"}
+
+
+@query("recogniser_language", f"with k as (select doc_id, split_part(lower(trim(lang)), '-', 1) as k from documents) select doc_id, case k {' '.join(f'when {S.q(a)} then {S.q(b)}' for a, b in _SHORT.items())} {' '.join(f'when {S.q(b)} then {S.q(b)}' for b in sorted(set(_SHORT.values())))} end as recogniser_code from k")
 def recogniser_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return languages.with_recogniser_language(docs, "lang").select("doc_id", "recogniser_code")
@@ -544,8 +594,27 @@ def audio_preferences(spark, sf_dir):
     return tracks.audio_preferences(audio)
 
 
-@query("subtitle_inventory")
+_SCORE = ("s_supported", "s_textual", "s_not_forced", "s_not_cc", "s_events", "s_audio", "s_default")
+
+
+@query(
+    "subtitle_inventory",
+    f"""with a as (select lower(trim(alias)) as alias, min(code) as code from language_aliases group by 1),
+t as (select *, max(is_default) over (partition by workspace) as any_default from {S.TRACKS}),
+f as (select workspace, source_language as code, min(stream_index) as first_at from t where (not any_default or is_default) and coalesce(source_language, '') <> '' group by 1, 2),
+r as (select workspace, code, row_number() over (partition by workspace order by first_at, code) - 1 as rank from f),
+k as (select track_id, workspace, stream_index, is_default, event_count, lower(trim(source_language)) as k, lower(codec_name) in {S.listed(rules.TEXT_CODECS + rules.TEXT_CODEC_IDS)} as textual, lower(coalesce(title, '')) as title from t),
+c as (select k.*, coalesce(x.code, case when contains(k, '-') then y.code end) as code from k left join a x on k.k = x.alias left join a y on split_part(k.k, '-', 1) = y.alias),
+p as (select c.*, contains(title, 'forced') or contains(title, 'forzado') as forced_like, contains(title, 'cc') or contains(title, 'closed caption') or contains(title, 'sdh') as cc_like, cast(coalesce(r.rank, 99) as integer) as audio_rank from c left join r on r.workspace = c.workspace and r.code = c.code)
+select track_id, code as source_language, code is not null as supported, textual, forced_like, cc_like, audio_rank, case when code is not null then 0 else -100000 end as s_supported, case when textual then 0 else -100000 end as s_textual,
+case when forced_like then 0 else 10000 end as s_not_forced, case when cc_like then 0 else 1000 end as s_not_cc, cast(event_count as integer) as s_events, case when audio_rank = 99 then 0 else 500 - audio_rank end as s_audio, case when coalesce(is_default, false) then 100 else 0 end as s_default from p""",
+)
 def subtitle_inventory(spark, sf_dir):
+    found = inventory(spark, sf_dir)
+    return found.select("track_id", "source_language", "supported", "textual", "forced_like", "cc_like", "audio_rank", *[F.col(f"score.{c}").alias(c) for c in _SCORE])
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = subtitle_tracks(spark, sf_dir).select("workspace", "stream_index", "track_id", "codec_name", F.lit("").alias("codec_id"), "title", F.col("source_language").alias("language_raw"), F.lit(False).alias("forced"), "is_default", "event_count")
     return pipelines.subtitle_inventory(raw, table(spark, sf_dir, "language_aliases"), audio_preferences(spark, sf_dir))
 
@@ -635,10 +704,19 @@ def song_groups(spark, sf_dir):
     return translate.song_groups(lines).select("track_id", "text")
 
 
-@query("sanitize_maps")
+_SUSPECT = "regexp_matches(spanish, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]\\?[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]|(^|[" + rules.SPACE[1:-1] + "\"''(\\[{])\\?[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]')"
+
+
+@query(
+    "sanitize_maps",
+    f"""with {S.spanish_steps(f"(select transcript_id as track_id, cast(seg_no as varchar) as key, text from {S.SEGMENTS} where text is not null and transcript_id is not null)", "text")},
+c as (select *, spanish <> text as changed, row_number() over (partition by track_id, spanish <> text order by key) as n from s4)
+select track_id, count(*) as entries, count_if(changed) as changed, count_if({_SUSPECT}) as suspicious, coalesce(string_agg(key || '=' || text || '>' || spanish, chr(10) order by key) filter (changed and n <= 25), '') as samples from c group by 1""",
+)
 def sanitize_maps(spark, sf_dir):
     entries = segments(spark, sf_dir).where("text is not null and transcript_id is not null").select(F.col("transcript_id").alias("track_id"), F.col("seg_no").cast("string").alias("key"), F.col("text").alias("value"))
-    return translate.sanitize_maps(entries)[1]
+    report = translate.sanitize_maps(entries)[1]
+    return report.withColumn("samples", F.array_join(F.transform("samples", lambda x: F.concat(x["key"], F.lit("="), x["before"], F.lit(">"), x["after"])), "\n"))
 
 
 # ---------------------------------------------------------------- whole pipelines and streams
@@ -655,11 +733,24 @@ def normalize_report(spark, sf_dir):
     return pipelines.normalize_files(ass_lines(spark, sf_dir), "track_id")[2]
 
 
-@query("audio_subtitles")
+@query(
+    "audio_subtitles",
+    f"""with {_timed_sql(f"(select cue_id, track_id, start_ms / 1000 as s, end_ms / 1000 as e, text from {PLAIN} where text <> '' and track_id % 3 = 0)", "track_id, cue_id")},
+l as (select cue_id, track_id, start_ms as s, end_ms as e, list_filter(string_split({S.wrapped('text')}, chr(10)), lambda x: x <> '') as ls from {PLAIN} where text <> '' and track_id not in (select track_id from t5 where end_ms > start_ms)),
+g as (select cue_id, track_id, s, e, list_transform(range(0, (len(ls) + 1) // 2), lambda k: array_to_string(list_slice(ls, 2 * k + 1, 2 * k + 2), chr(10))) as gs from l where len(ls) > 0),
+w as (select *, list_transform(gs, lambda x: greatest(1, length(replace(replace(x, ' ', ''), chr(10), '')))) as ws from g),
+d as (select *, list_transform(ws, lambda x: greatest(250, cast(round_even((e - s) * x / list_sum(ws), 0) as bigint))) as ds from w),
+u as (select *, unnest(range(1, len(gs) + 1)) as i from d),
+p as (select track_id, case when i = 1 then s else least(e, s + list_sum(list_slice(ds, 1, i - 1))) end as start_ms, case when i = len(gs) then e else least(e, s + list_sum(list_slice(ds, 1, i))) end as end_ms, gs[i] as text from u),
+c as (select track_id, cast(start_ms as bigint) as start_ms, cast(end_ms as bigint) as end_ms, text from p where end_ms > start_ms union all select track_id, start_ms, end_ms, text from t5 where end_ms > start_ms)
+select track_id, string_agg(n || chr(10) || {S.srt_time('start_ms')} || ' --> ' || {S.srt_time('end_ms')} || chr(10) || text, chr(10) || chr(10) order by n) || chr(10) as content from (select *, row_number() over (partition by track_id order by start_ms, end_ms, text) as n from c) group by 1""",
+)
 def audio_subtitles(spark, sf_dir):
+    """Every third track has timed words, the others are reflowed."""
     c = plain_cues(spark, sf_dir)
     heads = subtitle_tracks(spark, sf_dir).select("track_id", F.col("source_language").alias("language"))
-    return pipelines.audio_subtitles(c, c.where("false"), heads)[0]
+    worded = evenly_timed(c.where("track_id % 3 = 0"), F.col("start_ms") / 1000, F.col("end_ms") / 1000)
+    return pipelines.audio_subtitles(c, folds.timed_word_cues(worded, ["track_id", "cue_id"]), heads)[0]
 
 
 @query(
@@ -705,9 +796,9 @@ def dense_cues(spark, sf_dir):
     return c.select("cue_id", predicates.is_dense_short_cue(F.col("text"), F.col("end_ms") - F.col("start_ms")).alias("dense"), predicates.has_positive_duration(F.col("start_ms"), F.col("end_ms")).alias("positive"))
 
 
-@query("result_tally", f"select backend, count(*) as n, count_if(audio_stream_index is null) as n_without_stream from {S.HEADERS} group by 1")
+@query("result_tally", f"select backend, count(*) as n from {S.HEADERS} group by 1")
 def result_tally(spark, sf_dir):
-    return headers(spark, sf_dir).groupBy("backend").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("audio_stream_index").isNull()).alias("n_without_stream"))
+    return tracks.result_tally(headers(spark, sf_dir), "backend")
 
 
 @query("workspace_paths", f"select track_id, workspace as output_name, 'outputs/' || workspace || '/debug/translation/subtitles/source/' || workspace || '.source.ass' as source_ass, 'outputs/' || workspace || '/' || workspace || '.spa.mkv' as output_mkv from {S.TRACKS}")
@@ -747,7 +838,7 @@ l as (select track_id, workspace, stream_index, codec_name, is_default, coalesce
 select track_id, code as source_language, code is not null as supported, lower(codec_name) in {S.listed(rules.TEXT_CODECS + rules.TEXT_CODEC_IDS)} as textual from l""",
 )
 def languages_of_tracks(spark, sf_dir):
-    return subtitle_inventory(spark, sf_dir).select("track_id", "source_language", "supported", "textual")
+    return inventory(spark, sf_dir).select("track_id", "source_language", "supported", "textual")
 
 
 _HEAD = sinks.ASS_HEADER.format(title="Converted text subtitles", width=1920, height=1080, font="Arial", size=54, margin_l=80, margin_r=80, margin_v=48)

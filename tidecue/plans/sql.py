@@ -153,3 +153,40 @@ def trimmed(left: str, right: str) -> str:
     colon = f"ends_with({sub(stem, SP + '+$')}, ':')"
     short = f"(length({b}) < 18 and len({words(key(b))}) < 4)"
     return f"case when not {short} and {a} <> {b} and ends_with({a}, {b}) and {b} <> '' and {cut} <> '' then {cut} || case when {colon} then '.' else '' end end"
+
+
+_MARK = ("qzj", "jzq")
+
+
+def _encoded(text: str) -> str:
+    """A text with its letters and digits beyond ASCII written as ASCII words, so that word borders fall where Unicode has them."""
+    return "".join(f"{_MARK[0]}{ord(ch)}{_MARK[1]}" if ord(ch) > 127 and ch.isalnum() else ch for ch in text)
+
+
+def spanish_steps(source: str, column: str, out: str = "spanish") -> str:
+    """SC10 of a column as a chain of selects s1 to s4; the last adds `out`."""
+    a, z = _MARK
+    encoded = f"array_to_string(list_transform(string_split({column}, ''), lambda c: case when unicode(c) > 127 and regexp_matches(c, '[\\p{{L}}\\p{{N}}]') then '{a}' || unicode(c) || '{z}' else c end), '')"
+    spelt = reduce(lambda x, rule: sub(x, _encoded(rule[0]), _encoded(rule[1])), rules.SPANISH_SPELLINGS, "enc")
+    decoded = f"array_to_string(list_transform(string_split(enc, '{a}'), lambda e, i: case when i = 1 then e else chr(cast(split_part(e, '{z}', 1) as int)) || substr(e, length(split_part(e, '{z}', 1)) + {len(z) + 1}) end), '')"
+    before = f"(^|[{SP[1:-1]}\"'(\\[{{])\\?"
+    opened = sub("dec", before + r"([A-ZÁÉÍÓÚÜÑ][^?\n!]{0,80}!)", r"\1¡\2")
+    asked = sub(opened, before + r"([A-ZÁÉÍÓÚÜÑ][^?\n]{0,80}\?)", r"\1¿\2")
+    tagged = replaces(asked, [("?no?", "¿no?"), ("?verdad?", "¿verdad?")])
+    single = sub(sub(tagged, "¿{2,}", "¿"), "¡{2,}", "¡")
+    tidy = strip(sub(sub(single, "[ \t]+", " "), " *\n *", "\n"))
+    return f"""
+s1 as (select *, {encoded} as enc from {source}),
+s2 as (select * replace ({spelt} as enc) from s1),
+s3 as (select * exclude (enc), {decoded} as dec from s2),
+s4 as (select * exclude (dec), {tidy} as {out} from s3)"""
+
+
+def suspects(source: str, key: str, column: str) -> str:
+    """SC11: (key, offset, context) of suspicious question marks."""
+    letter, lead = "[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]", f"[{SP[1:-1]}\"'(\\[{{]"
+    at = lambda k: f"substr({column}, {k}, 1)"
+    start = f"case when i = 1 or regexp_matches({at('i - 1')}, {q(letter)}) then i else i - 1 end"
+    return f"""select {key}, cast({start} - 1 as integer) as "offset", replace(substr({column}, greatest(1, {start} - 30), i + 31 - greatest(1, {start} - 30)), chr(10), '\\n') as context
+from (select {key}, {column}, unnest(range(1, length({column}) + 1)) as i from {source} where contains({column}, '?'))
+where {at('i')} = '?' and regexp_matches({at('i + 1')}, {q(letter)}) and (i = 1 or regexp_matches({at('i - 1')}, {q(letter)}) or regexp_matches({at('i - 1')}, {q(lead)}))"""
