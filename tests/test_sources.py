@@ -118,11 +118,12 @@ def test_translation_map_listing(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, "w", 0, 1000, "Ã¡ <i>x</i>", "2026-01-01 10:00:00"), (1, "w", 0, 1000, "Ã¡ <i>x</i>", "2026-01-01 11:00:00"), (2, "w", 5, 1, "b", "2026-01-02 10:00:00")]
+    rows = [(1, "w", 0, 1000, "Ã¡ <i>x</i>", "2026-01-01 10:00:00"), (1, "w", 0, 1000, "Ã¡ <i>x</i>", "2026-01-01 11:00:00"), (2, "w", 5, 1, "b", "2026-01-02 10:00:00"), (3, "w", 0, 9, "late", "2026-01-20 10:00:00")]
     df = spark.createDataFrame(rows, "cue_id long, workspace string, start_ms long, end_ms long, text string, t string").withColumn("ingested_at", F.col("t").cast("timestamp")).drop("t")
     df.write.parquet(str(tmp_path / "in"))
     stream = streaming.read_cues(spark, str(tmp_path / "in"), df.schema)
-    cleaned = streaming.drain(streaming.clean(streaming.once(stream)), "clean_test", str(tmp_path / "c1"))
-    assert sorted((r.cue_id, r.text) for r in cleaned.collect()) == [(1, "á x"), (2, "b")]
-    counted = streaming.drain(streaming.arrivals(stream), "count_test", str(tmp_path / "c2"), "complete")
+    cleaned = streaming.drain(streaming.clean(streaming.once(stream)), str(tmp_path / "c1"))
+    assert sorted((r.cue_id, r.text) for r in cleaned.collect()) == [(1, "á x"), (2, "b"), (3, "late")]
+    # the last day is still open
+    counted = streaming.drain(streaming.arrivals(stream), str(tmp_path / "c2"))
     assert sorted((r.n_cues, r.shown_ms) for r in counted.collect()) == [(1, 0), (2, 2000)]

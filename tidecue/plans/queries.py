@@ -13,7 +13,7 @@ from tidecue.operators import folds, neighbors, tracks, translate
 from tidecue.operators.intervals import periods_and_gaps
 from tidecue.plans import commands, pipelines
 from tidecue.plans import sql as S
-from tidecue.session import table
+from tidecue.session import scratch_folder, table
 from tidecue.sources import ass, discovery, recogniser, sinks, subtitles
 from tidecue.streaming import cues as streaming
 
@@ -755,19 +755,14 @@ def audio_subtitles(spark, sf_dir):
 
 @query(
     "stream_arrivals",
-    "select date_trunc('day', ingested_at)::timestamp as window_start, workspace, count(*) as n_cues, cast(sum(greatest(coalesce(end_ms - start_ms, 0), 0)) as bigint) as shown_ms from cues group by 1, 2",
+    """select date_trunc('day', ingested_at)::timestamp as window_start, workspace, count(*) as n_cues, cast(sum(greatest(coalesce(end_ms - start_ms, 0), 0)) as bigint) as shown_ms from cues
+where date_trunc('day', ingested_at) + interval 1 day <= (select max(ingested_at) - interval 7 day from cues) group by 1, 2""",
 )
 def stream_arrivals(spark, sf_dir):
-    """Cues by day of arrival, counted by a stream that drains the table's files."""
-    import tempfile
-    import uuid
-
-    from tidecue.session import CHECKPOINT_CONF
-
-    base = spark.conf.get(CHECKPOINT_CONF, None) or "file://" + tempfile.mkdtemp(prefix="tidecue-stream-")
+    """Cues by day of arrival, counted by a stream over the table's files; days that the watermark has not passed are still open."""
     schema = table(spark, sf_dir, "cues").schema
     found = streaming.read_cues(spark, f"{sf_dir}/cues.parquet", schema)
-    shown = streaming.drain(streaming.arrivals(found), f"arrivals_{uuid.uuid4().hex[:8]}", f"{base}/stream-{uuid.uuid4().hex}", "complete")
+    shown = streaming.drain(streaming.arrivals(found), scratch_folder(spark, "arrivals"))
     return shown.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,17 +28,29 @@ def local_session(cores: int | str = 8, memory: str = "8g", name: str = "tidecue
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the cluster's shared folder.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors must share.
 
-    The folder named by spark.checkpoint.dir wins. Only where neither it nor a
-    checkpoint folder is set (tests, notebooks) a local one is made.
+    The folder named by spark.checkpoint.dir wins. Only a local session that
+    has neither it nor a checkpoint folder gets one in the temporary folder; on
+    a cluster that is an error, as executors would write to their own disks.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+    # files of checkpoints that nothing refers to any more are removed by Spark's cleaner
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     named = spark.conf.get(CHECKPOINT_CONF, None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tidecue-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, in the storage that all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streaming forms: cleaned cues, windowed counts and continuous periods of arriving cues.
+"""Streaming forms: cleaned cues without repeats and windowed counts of arriving cues.
 
 The transforms are the batch ones; state is bounded by watermarks on the time
 of arrival. Deliveries of a cue already seen within the watermark are dropped.
@@ -34,14 +34,24 @@ def clean(cues: DataFrame) -> DataFrame:
 
 
 def arrivals(cues: DataFrame, window: str = "1 day", late: str = "7 days", arrived: str = "ingested_at") -> DataFrame:
-    """(window_start, workspace, n_cues, shown_ms) per tumbling window of arrival; windows close behind the watermark."""
+    """(window_start, workspace, n_cues, shown_ms) per tumbling window of arrival.
+
+    A window is given once the watermark has passed it, and its state is
+    dropped then. Rows later than that are left out.
+    """
     timed = cues.withColumn(arrived, F.col(arrived).cast("timestamp")).withWatermark(arrived, late)
-    counted = timed.groupBy(F.window(arrived, window).alias("w"), "workspace").agg(F.count(F.lit(1)).alias("n_cues"), F.sum(F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).alias("shown_ms"))
+    counted = timed.groupBy(F.window(arrived, window).alias("w"), "workspace").agg(F.count(F.lit(1)).alias("n_cues"), F.sum(F.greatest(F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0)), F.lit(0))).alias("shown_ms"))
     return counted.select(F.col("w.start").alias("window_start"), "workspace", "n_cues", "shown_ms")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and give its result as a table in memory; for tests and small folders."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, trigger_once: bool = True) -> DataFrame:
+    """Write a stream's rows to folder/rows as parquet, with its progress in folder/progress, and read what was written.
+
+    Files are written by the tasks, so nothing comes to the driver, and a run
+    begun again over the same folder goes on where it stopped. With
+    trigger_once the stream ends when it has read what is there.
+    """
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
+    run = (run.trigger(availableNow=True) if trigger_once else run).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
