@@ -18,41 +18,47 @@ from pyspark.sql import functions as F
 
 from tidecue.session import spread
 
-NAME = r"[A-Za-z_][\w.]{0,60}"
+NAME = r"[A-Za-z_][\w.]*"
 
 #: Borders against letters of alphabets that part words by spaces; ideographs may touch a placeholder.
 NOT_AFTER, NOT_BEFORE = r"(?<![A-Za-z0-9_\u00c0-\u04ff])", r"(?:(?=[Ss][Tt][Rr](?:\.|a))|(?![A-Za-z0-9_\u00c0-\u04ff]))"
 
 #: Grammars of placeholders by delimiter.
 PLACEHOLDERS = {
-    "braces_double": rf"\{{\{{\{{?\s*[#/&>^]?\s*{NAME}(?:\s*\|\s*\w[^{{}}\n]{{0,40}})?\s*\}}?\}}\}}",
-    "braces_percent": r"\{%-?\s*\w[^{}%\n]{0,60}%\}",
-    "dollar": rf"\$\{{\s*{NAME}(?::-[^{{}}\n]{{0,40}})?\s*\}}",
+    "braces_double": rf"\{{\{{\{{?\s*[#/&>^]?\s*{NAME}(?:\s*\|\s*\w[^{{}}\n]*)?\s*\}}?\}}\}}",
+    "braces_percent": r"\{%-?\s*\w[^{}%\n]*%\}",
+    "dollar": rf"\$\{{\s*{NAME}(?::-[^{{}}\n]*)?\s*\}}",
+    "dollar_pair": rf"{NOT_AFTER}\$[A-Za-z_]\w+\${NOT_BEFORE}",
     "hash": rf"#\{{\s*{NAME}\s*\}}",
-    "angle_percent": r"<%[=-]?\s*[^%<>\n]{1,60}%>",
+    "angle_percent": r"<%[=-]?\s*[^%<>\n]+%>",
     "percent_named": rf"%\(\w+\)[sdifrSD]{NOT_BEFORE}",
     "percent_bare": rf"{NOT_AFTER}(?<!%)(?<!\d )%[sdSD](?!%){NOT_BEFORE}",
-    "percent_pair": rf"{NOT_AFTER}%[A-Z][A-Z0-9_]{{2,40}}%{NOT_BEFORE}",
-    "at_pair": r"@@\w{1,60}@@",
-    "square_double": r"\[\[\s*\w[\w .-]{0,60}\]\]",
+    "percent_pair": rf"{NOT_AFTER}%[A-Z][A-Z0-9_]{{2,}}%{NOT_BEFORE}",
+    "doubled_pair": r"(&&|@@|##|%%|\$\$|\^\^)\w[\w.-]*\1",
+    "square_double": r"\[\[\s*\w[\w .-]*\]\]",
     "colon_pair": rf"{NOT_AFTER}(?<![:/]):[A-Za-z]+(?:_[A-Za-z]+)*:(?![:/]){NOT_BEFORE}",
     "underscore_pair": rf"{NOT_AFTER}__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__{NOT_BEFORE}",
-    "brace_named": rf"{NOT_AFTER}(?<![{{$#%])\{{(?:[A-Za-z_]\w{{1,60}}|\d{{1,2}})?\}}(?!\}})",
-    "angle_capitals": r"<[A-Z]{3,20}(?:_[A-Z]{1,20}){0,4}>",
-    "square_insert": r"\[(?:INSERT|Insert|insert|YOUR|Your) [^\[\]\n]{1,40}\]|\[[^\[\]\n]{1,40} (?:HERE|here)\]",
-    "angle_here": r"(?i)<(?:tu|su|your|votre|ton|seu|sua|dein|ihr|il tuo|ваш)\s[^<>\n]{1,40}>|<[^<>\n/]{2,40}\s(?:aquí|here|ici|aqui|hier|qui|здесь)>",
+    "brace_named": rf"{NOT_AFTER}(?<![{{$#%])\{{(?:[A-Za-z_]\w+|\d{{1,2}})?\}}(?!\}})",
+    "angle_capitals": r"<[A-Z]{3,}(?:_[A-Z]+)*>",
+    "square_insert": r"\[(?:INSERT|Insert|insert|YOUR|Your) [^\[\]\n]+\]|\[[^\[\]\n]+ (?:HERE|here)\]",
+    "angle_here": r"(?i)<(?:tu|su|your|votre|ton|seu|sua|dein|ihr|il tuo|ваш)\s[^<>\n]+>|<[^<>\n/]{2,}\s(?:aquí|here|ici|aqui|hier|qui|здесь)>",
 }
 _PLACEHOLDER = [re.compile(p) for p in PLACEHOLDERS.values()]
 
 #: What programs write for a missing value.
 EMPTY_VALUES = ("undefined", "null", "(null)", "NaN", "None", "nil", "[object Object]", "N/A", "#REF!", "#N/A", "#VALUE!", "#NAME?")
 _EMPTY = re.compile(rf"(?i:\[object Object\]|{NOT_AFTER}(?<![.-])(?:undefined|null|nan)(?!-){NOT_BEFORE})|{NOT_AFTER}(?<![.-])None(?!-){NOT_BEFORE}|{NOT_AFTER}N/A{NOT_BEFORE}|#(?:REF|VALUE)!|#N/A|#NAME\?")
-_HTML_CAPITALS = re.compile(r"<(?:HTML|HEAD|BODY|TITLE|FONT|DIV|SPAN|RUBY|STRONG|SMALL|MASK|PAD|CLS|SEP|UNK|BOS|EOS)>")
+#: Tokenizer markers, and markup in capitals, which is told from a placeholder by its closing tag.
+_MARKER = re.compile(r"<(?:MASK|PAD|CLS|SEP|UNK|BOS|EOS)>")
+_CAPITALS = re.compile(r"<[A-Z]+>")
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`", re.S)
 _TEACHES = re.compile(r"(?i)\b(?:placeholders?|templates?|syntax|variables?|tutorial|snippet|jinja|mustache|printf|plantillas?|marcador(?:es)?|variabl\w+|vorlagen?|platzhalter|modèles?|sintaxis|шаблон\w*)\b")
 _CODE_CUES = re.compile(r"\b(?:def|function|return|import|const|var|let|print|echo|printf|class)\b|[;=]\s*$|=>|\(\)|</?code>|\$ ", re.M)
-_HINT = re.compile(r"[{%@\[<_#:]|(?i:undefined|null|nan)|None|N/A")
+_QUOTES_LEFT, _QUOTES_RIGHT = "'\"“«‘`", "'\"”»’`"
+_BLANK = re.compile(r"\n[^\S\n]*\n")
+_BLANK_BEFORE = re.compile(r"(?s:.*)\n[^\S\n]*\n")
+_HINT = re.compile(r"[{%@\[<_#:$&^]|(?i:undefined|null|nan)|None|N/A")
 
 _END = r"(?:[。！？।]|[.!?](?=\s|$)|(?=\n)|$)"
 _TAIL = r"(?:\([^()\n]*\)|（[^（）\n]*）|[^\n(（])*?" + _END
@@ -75,7 +81,7 @@ NOTICES = {
     "timed_out": r"(?:the connection to \S+ timed out|connection timed out|se agotó el tiempo de espera|tempo (?:limite )?esgotado|délai d.attente dépassé|zeitüberschreitung|tempo scaduto|превышено время)" + _TAIL,
     "server": r"(?:upstream server|unexpected (?:failure|error) while|traceback\b|internal server error|service (?:temporarily )?unavailable|exception in thread|fatal error\b|segmentation fault)" + _TAIL,
     "unavailable": r"(?:this (?:video|page|track|content) is (?:not available|unavailable)|el servicio no está disponible|serviço (?:temporariamente )?indisponível|servizio (?:momentaneamente |temporaneamente )?non disponibile|service (?:momentanément |temporairement )?indisponible|(?:der )?dienst ist (?:derzeit |zurzeit )?nicht (?:verfügbar|erreichbar)|сервис (?:временно )?недоступен|este (?:vídeo|contenido) no está disponible)" + _TAIL,
-    "scripts": rf"(?=[^\n]{{0,160}}?{_SCRIPTS})(?=[^\n]{{0,160}}?{_SWITCH})" + _TAIL,
+    "scripts": rf"(?=[^\n.!?。！？।]*?{_SCRIPTS})(?=[^\n.!?。！？।]*?{_SWITCH})" + _TAIL,
     "filler": r"(?:(?:sample|dummy|placeholder|example|filler) (?:text|caption|subtitle|content)\b|untitled segment\b|todo\s*:|your (?:text|subtitle|caption|title) (?:goes )?here|(?:insert|enter|type) (?:your )?(?:text|caption|subtitle) here|text goes here|texto de (?:ejemplo|exemplo|relleno|muestra|prueba)|aquí va el texto|aqui vai o texto|texte (?:provisoire|d.exemple|de remplissage)|testo (?:di esempio|segnaposto|provvisorio)|inserire (?:qui )?il testo|lege hier den text|(?:beispiel|blind|platzhalter|muster)text|пример текста|здесь (?:будет|должен быть) текст|此处(?:填写|输入|插入)|示例(?:文本|文字)|占位|ダミーテキスト|サンプルテキスト|ここにテキスト|예시 텍스트|샘플 텍스트|여기에 (?:텍스트|자막)|नमूना पाठ|यहाँ पाठ)" + _TAIL,
 }
 #: They are matched against lower-cased text; that on scripts is tried only where a text speaks of them.
@@ -83,6 +89,12 @@ _NOTICE = re.compile(r"\s*(?:" + "|".join(p for name, p in NOTICES.items() if na
 _SCRIPT_NOTICE = re.compile(r"\s*(?:" + NOTICES["scripts"] + ")")
 _SCRIPT_HINTS = ("script", "cookie", "脚本", "스크립트", "スクリプト", "skript", "скрипт")
 
+#: Words for the lack of a text in the languages of the profiles: with what they deny, and alone between marks.
+_LACK = r"(?:no|without|sin|sem|sans|ohne|kein(?:en?)?|senza|nessun|без|нет)\s+(?:text|captions?|subtitles?|content|transcript|texto|contenido|subtítulos?|conteúdo|legendas?|texte|contenu|inhalt|testo|contenuto|текста|содержания)"
+_LACKING = r"(?:empty|blank|missing|vacío|vacía|vazio|vazia|vide|leer|vuoto|vuota|пусто|空|无内容|無内容|无文本|テキストなし|내용 없음|비어 있음|खाली)"
+#: A note that there is no text: the denial in brackets, dashes or alone, one word in brackets or dashes, or the slashed short form.
+_NO_TEXT = re.compile(rf"(?i)[-–—=*<(\[{{\s]*{_LACK}[-–—=*>)\]}}\s.]*|[-–—=*<(\[{{]+\s*{_LACKING}\s*[-–—=*>)\]}}]+|[ns]/[acd]\.?")
+
 #: The words of the printers' filler text, and typed filler.
 FILLER_WORDS = frozenset(
     (
@@ -94,7 +106,7 @@ FILLER_WORDS = frozenset(
 TYPED_FILLER = frozenset("asdf asdfg asdfgh qwerty qwertz xxx xxxx xxxxx tbd tba todo text texto texte testo blah bla foo bar baz test lorem n/a zzz".split())
 
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
-_TAGS = re.compile(r"<[^<>]{1,200}>")
+_TAGS = re.compile(r"<[^<>]+>")
 _ONLY_STRUCTURE = re.compile(r"^(?:\ufeff?WEBVTT.*|\s*\d+\s*|.*-->.*|#+ \d\d:\d\d:\d\d.*)$", re.M)
 _HEADING = re.compile(r"^#+ .*$", re.M)
 _WORD = re.compile(r"[^\W_]+(?:/[^\W_]+)?")
@@ -109,11 +121,12 @@ def _is_filler(text: str) -> bool:
     known = total = at = 0
     words: set[str] = set()
     step = max(400, len(text) // 8)
+    text = text.lower()
     while at < len(text):
-        to = text.find(" ", at + step)
+        to = len(text) if len(text) - at <= step else text.find(" ", at + step)
         to = len(text) if to < 0 else to
-        part = [w.lower() for w in _WORD.findall(text, at, to)]
-        known += sum(w in FILLER_WORDS for w in part)
+        part = _WORD.findall(text, at, to)
+        known += sum(map(FILLER_WORDS.__contains__, part))
         total += len(part)
         if len(words) < 2:
             words.update(part)
@@ -128,7 +141,7 @@ def _is_filler(text: str) -> bool:
 def is_only_residue(text: str) -> bool:
     """Whether a text is nothing but a notice, filler or an empty value."""
     body = text.strip()
-    if body in EMPTY_VALUES or body.rstrip(".!") in EMPTY_VALUES:
+    if body in EMPTY_VALUES or body.rstrip(".!") in EMPTY_VALUES or _NO_TEXT.fullmatch(body):
         return True
     if body[:1] == "{":
         try:
@@ -171,13 +184,24 @@ def _only_units(text: str) -> bool:
     return found
 
 
+def _is_markup(found: str, text: str) -> bool:
+    return bool(_MARKER.match(found) or _CAPITALS.fullmatch(found) and "</" + found[1:].lower() in text.lower())
+
+
+#: Share of code cues among the words of a paragraph from which on it is code, and their number at least.
+CODE_DENSITY, CODE_CUES = 0.15, 2
+
+
 def _teaching(text: str, start: int, end: int) -> bool:
-    """Whether a placeholder is quoted in a text about templates or stands in dense code."""
-    around = text[max(0, start - 80) : start] + " " + text[end : end + 80]
-    quoted = text[max(0, start - 1) : start] in ("'", '"', "“", "«", "‘", "`") and text[end : end + 1] in ("'", '"', "”", "»", "’", "`")
-    if _TEACHES.search(around) and (quoted or "<code>" in around):
+    """Whether a placeholder is quoted in a paragraph about templates or stands in dense code."""
+    before, after = text[start - 1 : start], text[end : end + 1]
+    first, last = _BLANK_BEFORE.search(text, 0, start), _BLANK.search(text, end)
+    paragraph = text[first.end() if first else 0 : start] + " " + text[end : last.start() if last else len(text)]
+    quoted = before in _QUOTES_LEFT and after in _QUOTES_RIGHT and before and after
+    if (quoted or "<code>" in paragraph) and _TEACHES.search(paragraph):
         return True
-    return len(_CODE_CUES.findall(around)) >= 3
+    cues = len(_CODE_CUES.findall(paragraph))
+    return cues >= CODE_CUES and cues >= CODE_DENSITY * len(_WORD.findall(paragraph))
 
 
 def has_placeholder(text: str) -> bool:
@@ -188,7 +212,7 @@ def has_placeholder(text: str) -> bool:
         text = _CODE.sub(" ", text)
     for pattern in _PLACEHOLDER:
         for m in pattern.finditer(text):
-            if not _HTML_CAPITALS.match(m.group()) and not _teaching(text, m.start(), m.end()):
+            if not _is_markup(m.group(), text) and not _teaching(text, m.start(), m.end()):
                 return True
     for m in _EMPTY.finditer(text):
         before = text[: m.start()].rstrip().rsplit(None, 1)[-1:] if m.start() else []
