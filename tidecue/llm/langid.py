@@ -1,10 +1,12 @@
 """Language of documents, transcripts and their foreign pieces by compression.
 
 Each language has a raw-content dictionary of its own sentences. A text is
-compressed with every dictionary whose script it is written in; the smallest
-result names the language, and a narrow margin over the next names none. The
-dictionaries come from a bounded sample of labelled documents; as labels may be
-wrong, paragraphs whose words speak for another label are left out.
+compressed with every dictionary; the smallest result names the language, and a
+narrow margin over the next names none. The dictionaries come from a bounded
+sample of labelled documents; as labels may be wrong, paragraphs whose words
+speak for another label are left out, and so are labels whose paragraphs can't
+be told from another's: such a label says nothing of a text and is treated like
+a missing one.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ DISTINCT = 0.7
 #: Bytes by which a language must win before it contradicts a label or its surroundings.
 MARGIN = 8
 SHARE = 0.08
+#: Margin that is enough for texts of any length.
+ENOUGH = 32
 
 BLANK_LINES = re.compile(r"(?:\r\n|\r|\n)(?:[^\S\r\n]*(?:\r\n|\r|\n))+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？।])\s*")
@@ -43,41 +47,10 @@ _STRUCTURE = re.compile(r"^(?:﻿?WEBVTT.*|\s*\d+\s*|.*-->.*|#+ .*)$", re.M)
 _NOISE = re.compile(r"<[^<>\n]{1,60}>|\{\\[^{}]*\}|\[[^\[\]\n]{1,30}\]")
 _LINK = re.compile(r"\S*(?:://|\.example)\S*")
 _DIGITS = re.compile("[0-9]+")
-_ASCII = re.compile(r"[\x00-\x7f]+")
-_ASCII_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
-_SCRIPTS = (
-    ("latin", re.compile(r"[À-ɏ]")),
-    ("cyrillic", re.compile(r"[Ѐ-ԯ]")),
-    ("kana", re.compile(r"[぀-ヿ]")),
-    ("han", re.compile(r"[㐀-鿿]")),
-    ("hangul", re.compile(r"[가-힣ᄀ-ᇿ]")),
-    ("devanagari", re.compile(r"[ऀ-ॿ]")),
-)
-
-
-def scripts_of(text: str) -> dict[str, int]:
-    """Letters of a text by script; han counts as kana where a tenth of the ideographic letters is kana."""
-    plain_part = text.encode("ascii", "ignore")
-    letters = len(plain_part) - len(plain_part.translate(None, _ASCII_LETTERS))
-    out = {"latin": letters} if letters else {}
-    beyond = len(text) - len(plain_part)
-    if beyond * 4 < letters:  # no other script can outweigh these letters
-        return out
-    rest = _ASCII.sub("", text) if beyond else ""
-    if rest:
-        for name, pattern in _SCRIPTS:
-            if n := len(pattern.findall(rest)):
-                out[name] = out.get(name, 0) + n
-        if "han" in out and out.get("kana", 0) * 10 >= out["han"]:
-            out["kana"] = out.get("kana", 0) + out.pop("han")
-        # letters of scripts without spaces weigh more
-        return {k: n * (3 if k in ("kana", "han", "hangul") else 1) for k, n in out.items()}
-    return out
-
-
 def plain(text: str) -> str:
     """What of a text speaks for its language: no markup, numbers, links, headings and letter case."""
     if "-->" in text or "#" in text or "WEBVTT" in text:
@@ -95,31 +68,19 @@ class LanguageModel:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.codes = sorted(dictionaries)
         self.dictionaries = dictionaries
-        self.scripts = {}
-        for code in self.codes:
-            found = scripts_of(dictionaries[code].decode("utf-8", "ignore"))
-            total = sum(found.values()) or 1
-            self.scripts[code] = {s for s, n in found.items() if n >= 0.3 * total} | ({"han"} if "kana" in found and found["kana"] >= 0.3 * total else set())
-        self._fitting = None
+        self._compress = None
 
     def __reduce__(self):
         return LanguageModel, (self.dictionaries,)
 
     def sizes(self, text: str) -> list[int] | None:
         """Compressed size by language, in the order of codes; None for a text without letters."""
-        if self._fitting is None:
-            compress = [c.compress for c in _compressors(tuple(self.dictionaries[c] for c in self.codes))]
-            scripts = set().union(*self.scripts.values()) if self.codes else set()
-            self._fitting = {s: [(i, compress[i]) for i, code in enumerate(self.codes) if s in self.scripts[code]] for s in scripts}
-        found = scripts_of(text)
-        if not found:
+        if not _LETTER.search(text):
             return None
-        script = next(iter(found)) if len(found) == 1 else max(found, key=lambda s: (found[s], s))
+        if self._compress is None:
+            self._compress = [c.compress for c in _compressors(tuple(self.dictionaries[c] for c in self.codes))]
         raw = text.encode("utf-8")
-        out = [len(raw) + 12] * len(self.codes)
-        for i, compress in self._fitting.get(script, ()):
-            out[i] = len(compress(raw))
-        return out
+        return [len(compress(raw)) for compress in self._compress]
 
     def best(self, sizes: list[int]) -> tuple[str, int, int]:
         """(code, its size, margin to the next)."""
@@ -215,17 +176,18 @@ def fit_model(spark: SparkSession, documents: DataFrame, aliases: dict[str, str]
     label = F.lower(F.trim("lang"))
     labelled = documents.where(F.col("lang").isNotNull())
     rows = labelled.where(F.length("text").between(*SAMPLE_CHARS))
-    # one row per spelling of a label; only the label column is read
-    counts = {r.label: r["count"] for r in labelled.groupBy(label.alias("label")).count().collect() if label_code(r.label, aliases)}
+    # one row per spelling that names a profile by its alias, or by its part before the first hyphen
+    named = F.coalesce(*[F.when(x.isin(*aliases), x) for x in (label, strip(F.substring_index(label, "-", 1)))]) if aliases else F.lit(None).cast("string")
+    counts = {r.label: r["count"] for r in labelled.groupBy(named.alias("label")).count().where("label is not null").collect()}
     per_code: dict[str, int] = defaultdict(int)
     for name, n in counts.items():
         per_code[label_code(name, aliases)] += n
     if not per_code:
         return LanguageModel({})
     shares = F.create_map(*[x for name in counts for x in (F.lit(name), F.lit(min(1.0, per_label / per_code[label_code(name, aliases)])))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < shares[label] * 1_000_000
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < shares[named] * 1_000_000
     samples: dict[str, list[str]] = defaultdict(list)
-    for r in rows.where(label.isin(*counts) & drawn).select("lang", "text", "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect():
+    for r in rows.where(named.isNotNull() & drawn).select("lang", "text", "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect():
         samples[label_code(r.lang, aliases)].append(r.text)
     return LanguageModel(fit_dictionaries(samples, per_code))
 
@@ -258,17 +220,19 @@ _BEYOND_LATIN = re.compile("[\u0400-\u1fff\u3000-\uffef]")
 _GARBLES = tuple(dict.fromkeys(f"{source}>{reader}" for chains in CHAINS.values() for source, readers in chains.items() for reader in readers if reader not in ("ascii", "utf-8")))
 
 
-def sure(margin: int, size: int) -> bool:
-    return margin >= MARGIN and margin >= SHARE * size
+def sure(margin: int, size: int, enough: float = float("inf")) -> bool:
+    """Whether a margin over another language tells, beside the size; `enough` always does."""
+    return margin >= MARGIN and margin >= min(enough, SHARE * size)
 
 
 def document_languages(df: DataFrame, model: LanguageModel, aliases: dict[str, str]) -> DataFrame:
     """Columns (doc_id, para_no, code, confidence, case).
 
     para_no 0 is the whole document with its main language, others the
-    paragraphs (from 1, divided by blank lines) in another language. case is
-    True where the document's `lang` names no profile or another one, and for
-    each foreign paragraph. Null and blank texts and such that are nothing but
+    paragraphs (from 1, divided by blank lines) in another language. A main
+    language by a narrow margin is null. case is True where it is told and the
+    document's `lang` names no profile or another one, and for each foreign
+    paragraph. Null and blank texts and such that are nothing but
     residue give no row, nor do texts without letters; an empty table gives
     none. Repeated rows repeat; a null id stays null; other columns are ignored.
     """
@@ -302,16 +266,11 @@ def judge_document(model: LanguageModel, text: str, label: str | None) -> list[t
     total = [sum(column) for column in zip(*(s for _, _, s in pieces))]
     code, size, margin = model.best(total)
     at = model.codes.index(code)
-    if label is None:
-        case = True
-    elif label == code:
-        case = False
-    elif label in model.codes:
-        gap = total[model.codes.index(label)] - size
-        case = sure(gap, min(size, 400))
-    else:  # a profile without texts of its own
-        case = True
-    out = [(0, code, round(1 - size / (size + margin), 4), case)]
+    told = sure(margin, size, ENOUGH)
+    # a label that no dictionary stands for is as good as none
+    gap = total[model.codes.index(label)] - size if label in model.codes else margin
+    case = label != code and told and sure(gap, size, ENOUGH)
+    out = [(0, code if told else None, round(1 - size / (size + margin), 4), case)]
     for no, part, sizes in pieces:
         other, least, _ = model.best(sizes)
         if other != code and sure(sizes[at] - least, least) and not is_only_residue(part):
@@ -346,8 +305,9 @@ def transcript_languages(segments: DataFrame, transcripts: DataFrame, model: Lan
     """(transcripts, foreign segments), each (id, code, confidence, case).
 
     A transcript's main language has the least total size over its segments,
-    summed before the shuffle, so a transcript may hold any share of them. Its
-    case says that detected_language names no profile or another one. The
+    summed before the shuffle, so a transcript may hold any share of them; by a
+    narrow margin it is null. Its case says that it is told and that
+    detected_language names no profile or another one. The
     second frame has a row for each segment in another language than its
     transcript's, but for such with residue. Transcripts without any text give no row. Rows delivered
     again count once; null transcript ids are left out.
@@ -367,8 +327,11 @@ def transcript_languages(segments: DataFrame, transcripts: DataFrame, model: Lan
     headers = transcripts.groupBy("transcript_id").agg(F.first("detected_language").alias("label"))
     named = headers.select(F.col("transcript_id").alias("tid"), F.coalesce(F.try_element_at(table, key), F.try_element_at(table, strip(F.substring_index(key, "-", 1)))).alias("named"))
     of_named = F.coalesce(*[F.when(F.col("named") == c, F.col(n)) for n, c in zip(names, model.codes)])
-    contradicts = F.col("named").isNull() | ((F.col("named") != F.col("code")) & (of_named.isNull() | (of_named - F.col("size") >= F.greatest(F.lit(MARGIN), SHARE * F.least("size", F.lit(400))))))
-    whole = main.join(named, F.col("transcript_id") == F.col("tid")).select(F.col("transcript_id").alias("id"), "code", F.round(1 - F.col("size") / F.greatest("second", F.lit(1)), 4).alias("confidence"), contradicts.alias("case"))
+    wide = lambda gap: gap >= F.greatest(F.lit(MARGIN), F.least(F.lit(ENOUGH), SHARE * F.col("size")))
+    told = wide(F.col("second") - F.col("size"))
+    # a label that no dictionary stands for is as good as none
+    contradicts = told & ~F.col("named").eqNullSafe(F.col("code")) & (of_named.isNull() | wide(of_named - F.col("size")))
+    whole = main.join(named, F.col("transcript_id") == F.col("tid")).select(F.col("transcript_id").alias("id"), F.when(told, F.col("code")).alias("code"), F.round(1 - F.col("size") / F.greatest("second", F.lit(1)), 4).alias("confidence"), contradicts.alias("case"))
     pieces = once.join(main.select("transcript_id", F.col("code").alias("main")), "transcript_id").withColumn("order", arranged())
     of_main = F.coalesce(*[F.when(F.col("main") == c, F.col(n)) for n, c in zip(names, model.codes)])
     gap, least = of_main - F.col("order")[0]["size"], F.col("order")[0]["size"]
