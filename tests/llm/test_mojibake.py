@@ -27,6 +27,23 @@ def test_finds_garbled_records_alone(table):
     assert found == {("segments", i) for i in range(1, 7)}
 
 
+def test_hot_tokens_are_spread_without_loss(table, monkeypatch):
+    from tidecue.llm import mojibake
+
+    want = sorted(map(tuple, find_garbled(table).collect()))
+    mended = sorted(map(tuple, restore_texts(table).collect()))
+    monkeypatch.setattr(mojibake, "HOT", 1)
+    assert sorted(map(tuple, find_garbled(table).collect())) == want
+    assert sorted(map(tuple, restore_texts(table).collect())) == mended
+
+
+def test_null_ids(spark):
+    bad = "La estación cerró.".encode().decode("cp1252")
+    df = spark.createDataFrame([("cues", 1, "La estación cerró."), ("cues", None, bad), ("cues", None, bad)], "tab string, row_id long, text string")
+    assert [tuple(r)[:2] for r in find_garbled(df).collect()] == [("cues", None)]
+    assert [tuple(r) for r in restore_texts(df).collect()] == [("cues", None, "La estación cerró.", True)]
+
+
 def test_word_seen_once(spark):
     df = spark.createDataFrame([("cues", 1, "La estación cerró."), ("cues", 2, "Vamos a la " + "estación".encode().decode("cp1252"))], "tab string, row_id long, text string")
     assert [r.row_id for r in find_garbled(df).collect()] == [2]

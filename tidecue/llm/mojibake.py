@@ -318,32 +318,65 @@ def token_filter(hits: DataFrame) -> np.ndarray:
     return words
 
 
-def record_tokens(df: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(tab, row_id, token): each record's tokens and windows that pass the filter."""
+#: Records from which on a token's rows are spread over SALTS keys of the join. At most one in HOT of all tokens is so common.
+HOT, SALTS = 100_000, 32
+
+
+def hot_tokens(hits: DataFrame, hot: int) -> frozenset[str]:
+    """The garbled tokens of at least `hot` records; their number is bounded by that of all tokens over `hot`."""
+    return frozenset(r.token for r in hits.where(F.col("n") >= hot).select("token").collect())
+
+
+def record_tokens(df: DataFrame, bits: np.ndarray, hot: frozenset[str] = frozenset(), with_text: bool = False) -> DataFrame:
+    """(tab, row_id, tokens): the tokens and windows of each record that pass the filter, as structs (token, salt); records without any are left out.
+
+    The salts of a hot token go round by record. With with_text the text comes along.
+    """
     size = len(bits) << 5
     kind = df.schema["row_id"].dataType.simpleString()
+    entry = pa.struct([("token", pa.string()), ("salt", pa.int32())])
+    names = ["tab", "row_id", *(["text"] if with_text else []), "tokens"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
-        table = bits.tolist()
+        table, seen = bits.tolist(), 0
         for batch in batches:
-            at, tokens = [], []
+            at, found = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 whole, windows = text_tokens(text)
+                own = []
                 for token in whole | windows if windows else whole:
                     hit = known.get(token)
                     if hit is None:
                         a, b = _bits(token, size)
                         hit = known[token] = bool(table[a >> 5] >> (a & 31) & 1 and table[b >> 5] >> (b & 31) & 1)
                     if hit:
-                        at.append(i)
-                        tokens.append(token)
+                        own.append({"token": token, "salt": seen % SALTS if token in hot else 0})
+                if own:
+                    seen += 1
+                    at.append(i)
+                    found.append(own)
             if len(known) > _COUNTED:
                 known.clear()
             keep = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(tokens, pa.string())], names=["tab", "row_id", "token"])
+            columns = [batch.column(k).take(keep) for k in range(3 if with_text else 2)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(entry))], names=names)
+
+    schema = f"tab string, row_id {kind}, {'text string, ' if with_text else ''}tokens array<struct<token:string,salt:int>>"
+    return spread(df.select("tab", "row_id", "text")).mapInArrow(pick, schema)
+
 
-    return spread(df.select("tab", "row_id", "text")).mapInArrow(pick, f"tab string, row_id {kind}, token string")
+def token_hits(records: DataFrame, hits: DataFrame, hot: frozenset[str], *columns: str) -> DataFrame:
+    """(tab, row_id, hits): the set of structs (token, columns...) of each record's garbled tokens.
+
+    Hot tokens meet one of SALTS copies of their hit each. A record that was
+    delivered again adds nothing to its set.
+    """
+    salts = F.when(F.col("token").isin(*hot), SALTS).otherwise(1) if hot else F.lit(1)
+    copies = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    one = records.select("tab", "row_id", F.explode("tokens").alias("t")).select("tab", "row_id", "t.token", "t.salt")
+    met = one.join(copies.select("token", "salt", *columns), ["token", "salt"])
+    return met.groupBy("tab", "row_id").agg(F.collect_set(F.struct("token", *columns)).alias("hits"))
 
 
 def garbled_tokens(df: DataFrame, least: int = 1, excess: int = 1) -> DataFrame:
@@ -421,13 +454,14 @@ def find_garbled(df: DataFrame, least: int = 1) -> DataFrame:
     rows = df.select("tab", "row_id", "text").where("length(text) > 0")
     hits = garbled_tokens(rows, least)
     plain = F.col("token").rlike(r"^[\x{400}-\x{4ff}.,!?:;'\-]+$")
-    hits = hits.where(~plain | (F.length("token") > 2) | F.col("token").rlike(r"^[\x{430}-\x{45f}][\x{400}-\x{42f}]$"))
-    found = record_tokens(rows, token_filter(hits)).join(hits.select("token", "chain", "n_original"), "token").dropDuplicates(["tab", "row_id", "token"]).select("tab", "row_id", "token", "chain", "n_original", plain.alias("plain"))
-    grouped = found.groupBy("tab", "row_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.sum(F.when(F.col("plain"), 1).otherwise(0)).alias("plain_hits"), F.max_by("chain", "n_original").alias("chain"), F.max(F.length("token")).alias("longest"), F.max(F.col("token").rlike(r"[\x{430}-\x{45f}][\x{400}-\x{42f}]")).alias("swapped")
-    )
-    sure = (F.col("plain_hits") < F.col("hits")) | (F.col("plain_hits") >= 2) | (F.col("longest") >= 6) | F.col("swapped")
-    return grouped.where(sure).select("tab", "row_id", "hits", "chain")
+    swapped = F.col("token").rlike(r"[\x{430}-\x{45f}][\x{400}-\x{42f}]")
+    hits = cut(hits.where(~plain | (F.length("token") > 2) | swapped).withColumn("plain", plain).withColumn("swapped", swapped))
+    hot = hot_tokens(hits, HOT)
+    found = token_hits(record_tokens(rows, token_filter(hits), hot), hits, hot, "chain", "n_original", "plain", "swapped")
+    only_plain = F.forall("hits", lambda h: h["plain"])
+    sure = ~only_plain | (F.size("hits") >= 2) | F.exists("hits", lambda h: (F.length(h["token"]) >= 6) | h["swapped"])
+    commonest = F.array_max(F.transform("hits", lambda h: F.struct(h["n_original"], h["chain"])))["chain"]
+    return found.where(sure).select("tab", "row_id", F.size("hits").cast("long").alias("hits"), commonest.alias("chain"))
 
 
 def restore_texts(df: DataFrame, least: int = 1) -> DataFrame:
@@ -439,10 +473,12 @@ def restore_texts(df: DataFrame, least: int = 1) -> DataFrame:
     """
     rows = df.select("tab", "row_id", "text").where("length(text) > 0")
     hits = garbled_tokens(rows, least)
-    tokens = record_tokens(rows, token_filter(hits)).join(hits, "token").dropDuplicates(["tab", "row_id", "token"])
-    # the garbled tokens of one record; repeated rows are dropped once only the garbled ones are left
-    per_record = tokens.groupBy("tab", "row_id").agg(F.collect_list(F.struct("token", "original", "chain", "n_original")).alias("hits"))
-    joined = rows.join(per_record, ["tab", "row_id"]).dropDuplicates(["tab", "row_id"])
+    hot = hot_tokens(hits, HOT)
+    # only records that pass the filter keep their texts, so no others are shuffled
+    kept = cut(record_tokens(rows, token_filter(hits), hot, with_text=True))
+    per_record = token_hits(kept, hits, hot, "original", "chain", "n_original")
+    texts = kept.select(F.col("tab").alias("_tab"), F.col("row_id").alias("_row"), "text").dropDuplicates(["_tab", "_row"])
+    joined = texts.join(per_record, F.col("_tab").eqNullSafe(F.col("tab")) & F.col("_row").eqNullSafe(F.col("row_id")))
     kind = df.schema["row_id"].dataType.simpleString()
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
