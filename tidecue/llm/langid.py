@@ -2,7 +2,9 @@
 
 Each language has a raw-content dictionary of its own sentences. A text is
 compressed with every dictionary; the smallest result names the language, and a
-narrow margin over the next names none. The dictionaries come from a bounded
+narrow margin over the next names none. Dictionaries that share no four bytes
+with a text can't help to compress it, as that is the least match; they all give
+the size that a dictionary of foreign bytes gives, which is measured once. The dictionaries come from a bounded
 sample of labelled documents; as labels may be wrong, paragraphs whose words
 speak for another label are left out, and so are labels whose paragraphs can't
 be told from another's: such a label says nothing of a text and is treated like
@@ -50,6 +52,7 @@ _DIGITS = re.compile("[0-9]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]+")
 
 def plain(text: str) -> str:
     """What of a text speaks for its language: no markup, numbers, links, headings and letter case."""
@@ -67,8 +70,12 @@ class LanguageModel:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.codes = sorted(dictionaries)
-        self.dictionaries = dictionaries
+        self.dictionaries = dictionaries = {code: dictionaries[code] for code in self.codes}
+        # the bytes that begin characters beyond ASCII, and whether four bytes in a row begin none
+        self._leads = [frozenset(content.translate(None, _NOT_LEADS)) for content in dictionaries.values()]
+        self._open = [bool(_LEADLESS.search(content)) for content in dictionaries.values()]
         self._compress = None
+        self._sharing: dict[tuple[frozenset[int], bool], list[int]] = {}
 
     def __reduce__(self):
         return LanguageModel, (self.dictionaries,)
@@ -78,15 +85,58 @@ class LanguageModel:
         if not _LETTER.search(text):
             return None
         if self._compress is None:
-            self._compress = [c.compress for c in _compressors(tuple(self.dictionaries[c] for c in self.codes))]
+            *own, foreign = _compressors((*self.dictionaries.values(), FOREIGN))
+            self._compress, self._foreign = [c.compress for c in own], foreign.compress
         raw = text.encode("utf-8")
-        return [len(compress(raw)) for compress in self._compress]
+        sharing = self.sharing(raw)
+        if len(sharing) == len(self.codes):
+            return [len(compress(raw)) for compress in self._compress]
+        out = [len(self._foreign(raw))] * len(self.codes)
+        for i in sharing:
+            out[i] = len(self._compress[i](raw))
+        return out
+
+    def sharing(self, raw: bytes) -> list[int]:
+        """The dictionaries that may share four bytes with a text.
+
+        Four bytes in common either hold the first byte of a character beyond
+        ASCII, which both have then, or none, which both have then too.
+        """
+        leads, leadless = frozenset(raw.translate(None, _NOT_LEADS)), bool(_LEADLESS.search(raw))
+        found = self._sharing.get((leads, leadless))
+        if found is None:
+            if len(self._sharing) > 10_000:
+                self._sharing.clear()
+            found = self._sharing[leads, leadless] = [i for i, own in enumerate(self._leads) if leads & own or leadless and self._open[i]]
+        return found
 
     def best(self, sizes: list[int]) -> tuple[str, int, int]:
         """(code, its size, margin to the next)."""
-        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], self.codes[i]))
-        margin = sizes[order[1]] - sizes[order[0]] if len(order) > 1 else sizes[order[0]]
-        return self.codes[order[0]], sizes[order[0]], margin
+        size = min(sizes)
+        at = sizes.index(size)
+        others = sizes[:at] + sizes[at + 1 :]
+        return self.codes[at], size, min(others) - size if others else size
+
+
+#: A dictionary of bytes that no text holds.
+FOREIGN = bytes(random.Random(1).choices(range(0xF8, 0x100), k=DICTIONARY_BYTES))
+_NOT_LEADS = bytes(range(0xC0))
+_LEADLESS = re.compile(rb"[\x00-\xbf]{4}")
+
+
+def own_letters(content: str) -> str:
+    """A dictionary's text; where its language isn't written in Latin letters, without other scripts' letters and rare signs.
+
+    They say nothing for the language, and without them most texts of other
+    scripts share no four bytes with it.
+    """
+    latin = sum(map(len, _LATIN.findall(content)))
+    if latin * 2 > sum(map(len, _LETTERS.findall(content))):
+        return content
+    bare = re.sub(r"[\x00-\x7f]+|[\U00010000-\U0010ffff]", " ", content)
+    first = Counter(ch.encode("utf-8")[0] for ch in bare if ch > "\x7f")
+    rare = {lead for lead, n in first.items() if n < 0.01 * sum(first.values())}
+    return re.sub(" +", " ", "".join(" " if ch > "\x7f" and ch.encode("utf-8")[0] in rare else ch for ch in bare))
 
 
 @lru_cache(maxsize=2)
@@ -163,7 +213,7 @@ def fit_dictionaries(samples: dict[str, list[str]], population: dict[str, int] |
                 size += len(s.encode()) + 1
                 if size >= DICTIONARY_BYTES:
                     break
-        out[code] = " ".join(content).encode("utf-8")
+        out[code] = own_letters(" ".join(content)).encode("utf-8")
     return out
 
 
@@ -272,9 +322,9 @@ def judge_document(model: LanguageModel, text: str, label: str | None) -> list[t
     case = label != code and told and sure(gap, size, ENOUGH)
     out = [(0, code if told else None, round(1 - size / (size + margin), 4), case)]
     for no, part, sizes in pieces:
-        other, least, _ = model.best(sizes)
-        if other != code and sure(sizes[at] - least, least) and not is_only_residue(part):
-            out.append((no, other, round(1 - least / sizes[at], 4), True))
+        least = min(sizes)
+        if sure(sizes[at] - least, least) and not is_only_residue(part):
+            out.append((no, model.codes[sizes.index(least)], round(1 - least / sizes[at], 4), True))
     return out
 
 

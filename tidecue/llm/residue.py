@@ -58,7 +58,7 @@ _CODE_CUES = re.compile(r"\b(?:def|function|return|import|const|var|let|print|ec
 _QUOTES_LEFT, _QUOTES_RIGHT = "'\"“«‘`", "'\"”»’`"
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 _BLANK_BEFORE = re.compile(r"(?s:.*)\n[^\S\n]*\n")
-_HINT = re.compile(r"[{%@\[<_#:$&^]|(?i:undefined|null|nan)|None|N/A")
+_SIGN = re.compile(r"[{%@\[<_#:$&^]")
 
 _END = r"(?:[。！？।]|[.!?](?=\s|$)|(?=\n)|$)"
 _TAIL = r"(?:\([^()\n]*\)|（[^（）\n]*）|[^\n(（])*?" + _END
@@ -87,6 +87,7 @@ NOTICES = {
 #: They are matched against lower-cased text; that on scripts is tried only where a text speaks of them.
 _NOTICE = re.compile(r"\s*(?:" + "|".join(p for name, p in NOTICES.items() if name != "scripts") + ")")
 _SCRIPT_NOTICE = re.compile(r"\s*(?:" + NOTICES["scripts"] + ")")
+_STOP = re.compile(r"[\n.!?。！？।]")
 _SCRIPT_HINTS = ("script", "cookie", "脚本", "스크립트", "スクリプト", "skript", "скрипт")
 
 #: Words for the lack of a text in the languages of the profiles: with what they deny, and alone between marks.
@@ -112,30 +113,41 @@ _HEADING = re.compile(r"^#+ .*$", re.M)
 _WORD = re.compile(r"[^\W_]+(?:/[^\W_]+)?")
 
 
+class _Counts(dict):
+    """Token between blanks to (its words, how many of them are printers' filler, the different ones)."""
+
+    def __missing__(self, token: str) -> tuple[int, int, frozenset[str]]:
+        if len(self) > 200_000:
+            self.clear()
+        words = _WORD.findall(token.lower())
+        out = self[token] = (len(words), sum(map(FILLER_WORDS.__contains__, words)), frozenset(words))
+        return out
+
+
+_COUNTS = _Counts()
+
+
 def _is_filler(text: str) -> bool:
     """Whether four fifths of a text's words are printers' filler, or all are the same typed filler.
 
-    Long texts are read in parts, and no further once filler alone, of at least
-    two letters and a gap a word, could not make up for the words already read.
+    A text is read no further once filler alone, of at least two letters and a
+    gap a word, could not make up for the words already read.
     """
-    known = total = at = 0
-    words: set[str] = set()
-    step = max(400, len(text) // 8)
-    text = text.lower()
-    while at < len(text):
-        to = len(text) if len(text) - at <= step else text.find(" ", at + step)
-        to = len(text) if to < 0 else to
-        part = _WORD.findall(text, at, to)
-        known += sum(map(FILLER_WORDS.__contains__, part))
-        total += len(part)
-        if len(words) < 2:
-            words.update(part)
-        at = to
-        if len(words) > 1 and known + (len(text) - at) // 3 + 1 < 4 * (total - known):
+    known = total = 0
+    left = len(text)
+    different: frozenset[str] = frozenset()
+    for token in text.split():
+        n, filler, words = _COUNTS[token]
+        known += filler
+        total += n
+        left -= len(token)
+        if len(different) < 2:
+            different |= words
+        elif 4 * (total - known) > known + left // 3 + 1:
             return False
     if known >= 2 and known >= 0.8 * total:
         return True
-    return total >= 2 and len(words) == 1 and words <= TYPED_FILLER
+    return total >= 2 and len(different) == 1 and different <= TYPED_FILLER
 
 
 def is_only_residue(text: str) -> bool:
@@ -167,17 +179,20 @@ def _only_units(text: str) -> bool:
     """Whether notices follow one another from the start to the end; spans of filler may stand between them."""
     at, found = 0, False
     text = text.strip().lower()
-    scripts = any(h in text for h in _SCRIPT_HINTS)
     while at < len(text):
-        m = _NOTICE.match(text, at) or scripts and _SCRIPT_NOTICE.match(text, at)
+        m = _NOTICE.match(text, at)
+        if m is None:
+            sentence = text[at : stop.start() if (stop := _STOP.search(text, at)) else len(text)]
+            if any(h in sentence for h in _SCRIPT_HINTS):
+                m = _SCRIPT_NOTICE.match(text, at)
         if m and m.end() > at and m.group().strip():
             at, found = m.end(), True
             continue
         if text[at].isspace() or text[at] in ".,;:!?\"'":
             at += 1
             continue
-        line = text[at:].split("\n", 1)[0]
-        if found and _is_filler(line) or not found and "\n" in text[at:] and _is_filler(line):
+        stop = text.find("\n", at)
+        if (found or stop >= 0) and _is_filler(line := text[at : stop if stop >= 0 else len(text)]):
             at, found = at + len(line), True
             continue
         return False
@@ -206,8 +221,10 @@ def _teaching(text: str, start: int, end: int) -> bool:
 
 def has_placeholder(text: str) -> bool:
     """Whether a placeholder, or an empty program value in its place, stands in a text."""
-    if not _HINT.search(text):
-        return False
+    if not _SIGN.search(text):
+        low = text.lower()
+        if not any(word in low for word in ("null", "undefined", "none", "nan", "n/a")):
+            return False
     if "`" in text or "~~~" in text:
         text = _CODE.sub(" ", text)
     for pattern in _PLACEHOLDER:
