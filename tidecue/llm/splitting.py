@@ -50,11 +50,17 @@ def _gear(size: int) -> np.ndarray:
 
 
 def rolling_hash(ids: np.ndarray) -> np.ndarray:
-    """After each token, a hash of it and the HASH_WIDTH - 1 tokens before it."""
-    gear = _gear(1 << 17)[ids]
-    total = gear.copy()
-    for j in range(1, min(HASH_WIDTH, len(ids))):
-        total[j:] += gear[: len(ids) - j] << np.uint64(j)
+    """After each token, a hash of it and the HASH_WIDTH - 1 tokens before it (fewer at the start)."""
+
+    def widened(total: np.ndarray, other: np.ndarray, by: int) -> np.ndarray:
+        out = total.copy()
+        out[by:] += other[:-by] << np.uint64(by) if by < len(other) else 0
+        return out
+
+    # sums over 2, 4, 8 and 12 tokens, each from shorter ones
+    two = widened(one := _gear(1 << 17)[ids], one, 1)
+    four = widened(two, two, 2)
+    total = widened(widened(four, four, 4), four, 8)
     total ^= total >> np.uint64(32)
     total *= np.uint64(0xD6E8FEB86659FD93)
     return total >> np.uint64(40)
