@@ -334,33 +334,33 @@ def record_tokens(df: DataFrame, bits: np.ndarray, hot: frozenset[str] = frozens
     """
     size = len(bits) << 5
     kind = df.schema["row_id"].dataType.simpleString()
-    entry = pa.struct([("token", pa.string()), ("salt", pa.int32())])
     names = ["tab", "row_id", *(["text"] if with_text else []), "tokens"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         table, seen = bits.tolist(), 0
         for batch in batches:
-            at, found = [], []
+            at, ends, tokens, salts = [], [0], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 whole, windows = text_tokens(text)
-                own = []
                 for token in whole | windows if windows else whole:
                     hit = known.get(token)
                     if hit is None:
                         a, b = _bits(token, size)
                         hit = known[token] = bool(table[a >> 5] >> (a & 31) & 1 and table[b >> 5] >> (b & 31) & 1)
                     if hit:
-                        own.append({"token": token, "salt": seen % SALTS if token in hot else 0})
-                if own:
+                        tokens.append(token)
+                        salts.append(seen % SALTS if token in hot else 0)
+                if len(tokens) > ends[-1]:
                     seen += 1
                     at.append(i)
-                    found.append(own)
+                    ends.append(len(tokens))
             if len(known) > _COUNTED:
                 known.clear()
             keep = pa.array(at, pa.int64())
             columns = [batch.column(k).take(keep) for k in range(3 if with_text else 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(entry))], names=names)
+            found = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(salts, pa.int32())], names=["token", "salt"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=names)
 
     schema = f"tab string, row_id {kind}, {'text string, ' if with_text else ''}tokens array<struct<token:string,salt:int>>"
     return spread(df.select("tab", "row_id", "text")).mapInArrow(pick, schema)
