@@ -24,6 +24,34 @@ def test_only(text):
     assert residue_kind(text) == "only"
 
 
+@pytest.mark.parametrize("text", [
+    "Do you still believe &&nombre&& will come back?", "Pela terceira vez, Eng. $guest$ pediu mais tempo.", "By the river, <TITLE> measured the echo.", "He met ##host## and %%city%% there.", "Ask ^^name^^.",
+    "The guest was ${" + "very_" * 40 + "long_name}.", "{{ " + "a.b." * 50 + "c }} spoke.",
+])
+def test_more_delimiters_and_long_names(text):
+    assert residue_kind(text) == "part"
+
+
+@pytest.mark.parametrize("text", ["-- empty --", "(no text)", "sin contenido", "n/d", "[ohne Text]", "<blank>", "без текста", "(空)"])
+def test_notes_that_there_is_no_text(text):
+    assert residue_kind(text) == "only"
+
+
+@pytest.mark.parametrize("text", [
+    "It costs $5 or $6 today.", "Tom && Ann came, && so did Bob.", "<TITLE>The river</TITLE> was shown.", "Leer", "The room was empty.", "No text arrived that night, he said.", "They spoke of $ and & signs.",
+    "for (const x of rows) {\n  print(`${x}`);\n  return x;\n}\nconst y = () => ${x};\nlet z = ${y};", "We turned it on. The script still needs work.",
+])
+def test_speech_code_and_markup_that_look_alike(text):
+    assert residue_kind(text) is None
+
+
+def test_a_placeholder_in_speech_beside_code_counts():
+    """Density is that of the paragraph: code elsewhere in a document excuses nothing."""
+    code = "let x = ${a};\nreturn () => print(x);\nconst y = ${b};"
+    assert residue_kind(code) is None
+    assert residue_kind(code + "\n\nThen ${guest} left the old station and walked along the river until it was late and nobody came.") == "part"
+
+
 @pytest.mark.parametrize("text", PART)
 def test_part(text):
     assert residue_kind(text) == "part"

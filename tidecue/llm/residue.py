@@ -43,7 +43,12 @@ PLACEHOLDERS = {
     "square_insert": r"\[(?:INSERT|Insert|insert|YOUR|Your) [^\[\]\n]+\]|\[[^\[\]\n]+ (?:HERE|here)\]",
     "angle_here": r"(?i)<(?:tu|su|your|votre|ton|seu|sua|dein|ihr|il tuo|ваш)\s[^<>\n]+>|<[^<>\n/]{2,}\s(?:aquí|here|ici|aqui|hier|qui|здесь)>",
 }
-_PLACEHOLDER = [re.compile(p) for p in PLACEHOLDERS.values()]
+#: What must stand in a text for its grammar to find anything.
+OPENERS = {
+    "braces_double": "{{", "braces_percent": "{%", "dollar": "${", "dollar_pair": "$", "hash": "#{", "angle_percent": "<%", "percent_named": "%(", "percent_bare": "%", "percent_pair": "%",
+    "square_double": "[[", "colon_pair": ":", "underscore_pair": "__", "brace_named": "{", "angle_capitals": "<", "square_insert": "[", "angle_here": "<",
+}
+_PLACEHOLDER = [(OPENERS.get(name, ""), re.compile(p)) for name, p in PLACEHOLDERS.items()]
 
 #: What programs write for a missing value.
 EMPTY_VALUES = ("undefined", "null", "(null)", "NaN", "None", "nil", "[object Object]", "N/A", "#REF!", "#N/A", "#VALUE!", "#NAME?")
@@ -227,8 +232,8 @@ def has_placeholder(text: str) -> bool:
             return False
     if "`" in text or "~~~" in text:
         text = _CODE.sub(" ", text)
-    for pattern in _PLACEHOLDER:
-        for m in pattern.finditer(text):
+    for opener, pattern in _PLACEHOLDER:
+        for m in pattern.finditer(text) if opener in text else ():
             if not _is_markup(m.group(), text) and not _teaching(text, m.start(), m.end()):
                 return True
     for m in _EMPTY.finditer(text):
