@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidecue.llm.langid import LanguageModel, document_languages, fit_dictionaries, judge_document, label_code, transcript_languages
+from tidecue.llm.langid import LanguageModel, document_languages, fit_dictionaries, judge_document, label_code, plain, transcript_languages
 
 ALIASES = {"es": "es", "english": "en", "en": "en", "zh": "zh-cmn", "zh-wuu": "wuu", "ru": "ru", "fr": "fr", "ja": "ja"}
 SAID = {
@@ -63,3 +63,30 @@ def test_labels_of_one_language_get_one_dictionary():
     samples = {code: [" ".join(rng.choices(said, k=5)) for _ in range(40)] for code, said in SAID.items()}
     samples["wuu"] = [" ".join(rng.choices(SAID["ja"], k=5)) for _ in range(12)]
     assert set(fit_dictionaries(samples)) == set(SAID)
+
+
+def test_narrow_margins_reject_missing_labels(model):
+    """A text that reads alike in two languages names none, with or without a label."""
+    text = SAID["en"][0] + " " + SAID["es"][0]
+    sizes = model.sizes(plain(text))
+    if model.best(sizes)[2] < 8:
+        assert judge_document(model, text, None)[0][1] is None
+    for label in (None, "wuu", "en"):
+        assert judge_document(model, "ok", label)[0][1:] == (None, judge_document(model, "ok", label)[0][2], False)
+
+
+def test_labels_without_a_dictionary_count_as_missing(model):
+    for text in (" ".join(SAID["ja"]), " ".join(SAID["fr"])):
+        assert judge_document(model, text, "wuu") == judge_document(model, text, None) and judge_document(model, text, None)[0][3]
+
+
+def test_dictionaries_that_share_nothing_give_one_size(model):
+    """Skipped dictionaries give the size that they would have given."""
+    rng = random.Random(5)
+    texts = [s for said in SAID.values() for s in said] + ["“Oui”, dit-il — …", "नदी के किनारे", "그 뒤에", "a, б. в", "…", "😀 hm", "no…"]
+    for _ in range(300):
+        text = plain(" ".join(rng.choices(texts, k=rng.randint(1, 4))))
+        sizes = model.sizes(text)
+        if sizes is not None:
+            assert sizes == [len(compress(text.encode())) for compress in model._compress]
+    assert len(model.sharing("plain letters".encode())) < len(model.codes)

@@ -85,7 +85,9 @@ class LanguageModel:
         if not _LETTER.search(text):
             return None
         if self._compress is None:
-            *own, foreign = _compressors((*self.dictionaries.values(), FOREIGN))
+            # of one length, as zstandard's parameters depend on it
+            size = max(map(len, self.dictionaries.values()))
+            *own, foreign = _compressors((*(foreign_bytes(size - len(c)) + c for c in self.dictionaries.values()), foreign_bytes(size)))
             self._compress, self._foreign = [c.compress for c in own], foreign.compress
         raw = text.encode("utf-8")
         sharing = self.sharing(raw)
@@ -118,8 +120,11 @@ class LanguageModel:
         return self.codes[at], size, min(others) - size if others else size
 
 
-#: A dictionary of bytes that no text holds.
-FOREIGN = bytes(random.Random(1).choices(range(0xF8, 0x100), k=DICTIONARY_BYTES))
+def foreign_bytes(n: int) -> bytes:
+    """Bytes that no text holds."""
+    return bytes(random.Random(1).choices(range(0xF8, 0x100), k=n))
+
+
 _NOT_LEADS = bytes(range(0xC0))
 _LEADLESS = re.compile(rb"[\x00-\xbf]{4}")
 
