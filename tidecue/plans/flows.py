@@ -109,6 +109,26 @@ def spanish_tv_cues(spark, sf_dir):
     return pipelines.tv_safe_cues(queries.ass_lines(spark, sf_dir), "track_id", spanish=True)
 
 
+_SPELT_LINES = f"""with {S.spanish_steps(f"(select track_id, cue_no, text, {_TAGS} as tags, substr(text, length({_TAGS}) + 1) as rest, {S.strip_ass('text')} as shown from {S.CUES} where start_ms >= 0 and end_ms >= 0 and text is not null)", "rest")},
+f as (select *, lower(replace(shown, chr(10), ' ')) as low, lower({S.sub('shown', rules.SPACE + '+')}) as tight from s4),
+k as (select *, shown = '' or regexp_matches(text, '\\\\p[1-9]') or (length(tight) >= 8 and replace(tight, left(tight, 1), '') = '')
+or (regexp_matches(trim(low), '^[mlbns]\\s+-?\\d') and len(regexp_extract_all(low, '\\b[mlbns]\\b')) >= 2 and len(regexp_extract_all(low, '-?\\d+(?:\\.\\d+)?')) >= 8 and not regexp_matches({S.sub('low', chr(92) + 'b[mlbns]' + chr(92) + 'b')}, '[a-zA-Z]')) as skipped from f),
+n as (select *, not skipped and not contains(rest, '{{') and not contains(rest, '}}') and spanish <> {S.strip('rest')} as changed from k)
+select"""
+
+
+@query("normalized_lines", f"{_SPELT_LINES} track_id, cast(cue_no as integer) as line_no, skipped, changed, case when changed then tags || spanish else text end as raw from n")
+def normalized_lines(spark, sf_dir):
+    """PL3, SC12: dialogues with Spanish spelling behind their tags."""
+    return pipelines.normalize_ass(queries.ass_lines(spark, sf_dir)).select("track_id", "line_no", "skipped", "changed", "raw")
+
+
+@query("normalized_counts", f"{_SPELT_LINES} track_id, count_if(not skipped) as visible, count_if(skipped) as skipped, count_if(changed) as changed from n group by 1")
+def normalized_counts(spark, sf_dir):
+    """AG5 whole."""
+    return pipelines.event_counts(pipelines.normalize_ass(queries.ass_lines(spark, sf_dir)), "track_id")
+
+
 # ---------------------------------------------------------------- text and predicates
 
 
