@@ -42,34 +42,39 @@ def part_of(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, Iterator[pa.
     return None, iter(())
 
 
-def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str], partitions: int | None = None) -> DataFrame:
+def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str], partitions: int | None = None, ahead: int = 1) -> DataFrame:
     """df with prev_<c> and next_<c> of each column: its value in the entity's row before and after, else null.
 
-    Rows of a null entity are left out. Ties in the order keep the order of
-    arrival. An empty table gives none.
+    With ahead = 2 there is next2_<c> too, of the row after the next. Rows of a
+    null entity are left out. Ties in the order keep the order of arrival. An
+    empty table gives none.
     """
     laid = _laid(df, entity, order, partitions)
     names = laid.columns[:-1]
     at = [names.index(c) for c in columns]
     who = names.index(entity)
     fields = {f.name: f.dataType.simpleString() for f in laid.schema}
+    prefixes = ["prev", "next", "next2"][: 1 + ahead]
+
+    def values(batch: pa.RecordBatch, row: int) -> list:
+        return [batch.column(i)[row].as_py() for i in (who, *at)]
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, batches = part_of(batches)
-        first = last = None
+        first: list[list] = []
+        last = None
         for batch in batches:
-            if batch.num_rows:
-                first = first or [batch.column(i)[0].as_py() for i in (who, *at)]
-                last = [batch.column(i)[batch.num_rows - 1].as_py() for i in (who, *at)]
-        if first is not None:
+            first += [values(batch, i) for i in range(min(batch.num_rows, ahead - len(first)))]
+            last = values(batch, batch.num_rows - 1) if batch.num_rows else last
+        if first:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps((first, last))])], names=["part", "edge"])
 
     # one row per partition
     found = {r.part: pickle.loads(bytes(r.edge)) for r in laid.mapInArrow(edges, "part long, edge binary").collect()}
     parts = sorted(found)
     before = {b: found[a][1] for a, b in zip(parts, parts[1:])}
-    after = {a: found[b][0] for a, b in zip(parts, parts[1:])}
-    schema = ", ".join([*[f"`{n}` {fields[n]}" for n in names], *[f"`prev_{c}` {fields[c]}" for c in columns], *[f"`next_{c}` {fields[c]}" for c in columns]])
+    after = {a: [v for b in parts[k + 1 : k + 1 + ahead] for v in found[b][0]][:ahead] for k, a in enumerate(parts)}
+    schema = ", ".join([*[f"`{n}` {fields[n]}" for n in names], *[f"`{p}_{c}` {fields[c]}" for p in prefixes for c in columns]])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, batches = part_of(batches)
@@ -77,26 +82,33 @@ def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str],
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if held is not None and batch.num_rows < ahead:  # too few rows to look ahead to
+                held = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                continue
             if held is not None:
-                yield extend(held, tail, [batch.column(i)[0].as_py() for i in (who, *at)])
-                tail = [held.column(i)[held.num_rows - 1].as_py() for i in (who, *at)]
+                yield extend(held, tail, [values(batch, i) for i in range(ahead)])
+                tail = values(held, held.num_rows - 1)
             held = batch
         if held is not None:
-            yield extend(held, tail, after.get(part))
+            yield extend(held, tail, after.get(part, []))
 
-    def extend(batch: pa.RecordBatch, tail: list | None, head: list | None) -> pa.RecordBatch:
+    def extend(batch: pa.RecordBatch, tail: list | None, heads: list[list]) -> pa.RecordBatch:
         n = batch.num_rows
-        kinds = [batch.schema.field(i).type for i in (who, *at)]
-        shifted = [[], []]
-        for k, i in enumerate((who, *at)):
-            column = batch.column(i)
-            shifted[0].append(pa.concat_arrays([pa.array([tail[k] if tail else None], kinds[k]), column.slice(0, n - 1)]))
-            shifted[1].append(pa.concat_arrays([column.slice(1), pa.array([head[k] if head else None], kinds[k])]))
+        nothing = [None] * (1 + len(at))
+        heads = [*heads, *[nothing] * (ahead - len(heads))]
         out = list(batch.columns[:-1])
-        for side in shifted:
-            same = pc.fill_null(pc.equal(side[0], batch.column(who)), False)
-            out += [pc.if_else(same, c, pa.scalar(None, c.type)) for c in side[1:]]
-        return pa.RecordBatch.from_arrays(out, names=[*names, *[f"prev_{c}" for c in columns], *[f"next_{c}" for c in columns]])
+        for step in (-1, *range(1, ahead + 1)):
+            shifted = []
+            for k, i in enumerate((who, *at)):
+                column = batch.column(i)
+                if step < 0:
+                    shifted.append(pa.concat_arrays([pa.array([tail[k] if tail else None], column.type), column.slice(0, n - 1)]))
+                else:
+                    beyond = [h[k] for h in heads[max(0, step - n) : step]]
+                    shifted.append(pa.concat_arrays([column.slice(min(step, n)), pa.array(beyond, column.type)]))
+            same = pc.fill_null(pc.equal(shifted[0], batch.column(who)), False)
+            out += [pc.if_else(same, c, pa.scalar(None, c.type)) for c in shifted[1:]]
+        return pa.RecordBatch.from_arrays(out, names=[*names, *[f"{p}_{c}" for p in prefixes for c in columns]])
 
     return laid.mapInArrow(join, schema)
 

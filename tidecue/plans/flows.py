@@ -9,7 +9,7 @@ from tidecue.functions import predicates, rules, text
 from tidecue.operators import tracks, translate
 from tidecue.plans import commands, pipelines, queries
 from tidecue.plans import sql as S
-from tidecue.plans.queries import query
+from tidecue.plans.queries import ORACLES, query
 from tidecue.session import scratch_folder
 from tidecue.sources import discovery, recogniser, sinks
 from tidecue.streaming import cues as streaming
@@ -109,21 +109,51 @@ def spanish_tv_cues(spark, sf_dir):
     return pipelines.tv_safe_cues(queries.ass_lines(spark, sf_dir), "track_id", spanish=True)
 
 
-_SPELT_LINES = f"""with {S.spanish_steps(f"(select track_id, cue_no, text, {_TAGS} as tags, substr(text, length({_TAGS}) + 1) as rest, {S.strip_ass('text')} as shown from {S.CUES} where start_ms >= 0 and end_ms >= 0 and text is not null)", "rest")},
-f as (select *, lower(replace(shown, chr(10), ' ')) as low, lower({S.sub('shown', rules.SPACE + '+')}) as tight from s4),
-k as (select *, shown = '' or regexp_matches(text, '\\\\p[1-9]') or (length(tight) >= 8 and replace(tight, left(tight, 1), '') = '')
-or (regexp_matches(trim(low), '^[mlbns]\\s+-?\\d') and len(regexp_extract_all(low, '\\b[mlbns]\\b')) >= 2 and len(regexp_extract_all(low, '-?\\d+(?:\\.\\d+)?')) >= 8 and not regexp_matches({S.sub('low', chr(92) + 'b[mlbns]' + chr(92) + 'b')}, '[a-zA-Z]')) as skipped from f),
-n as (select *, not skipped and not contains(rest, '{{') and not contains(rest, '}}') and spanish <> {S.strip('rest')} as changed from k)
-select"""
-
-
-@query("normalized_lines", f"{_SPELT_LINES} track_id, cast(cue_no as integer) as line_no, skipped, changed, case when changed then tags || spanish else text end as raw from n")
+def _skipped(raw: str, shown: str) -> str:
+    """PR4 of a dialogue of the default style."""
+    low, tight = f"lower(replace({shown}, chr(10), ' '))", f"lower({S.sub(shown, rules.SPACE + '+')})"
+    vector = f"(regexp_matches(trim({low}), '^[mlbns]\\s+-?\\d') and len(regexp_extract_all({low}, '\\b[mlbns]\\b')) >= 2 and len(regexp_extract_all({low}, '-?\\d+(?:\\.\\d+)?')) >= 8 and not regexp_matches({S.sub(low, chr(92) + 'b[mlbns]' + chr(92) + 'b')}, '[a-zA-Z]'))"
+    return f"({shown} = '' or regexp_matches({raw}, '\\\\p[1-9]') or (length({tight}) >= 8 and replace({tight}, left({tight}, 1), '') = '') or {vector})"
+
+
+def _ms(clock: str) -> str:
+    parts = f"list_transform(string_split({clock}, ':'), lambda x: cast(x as double))"
+    return f"cast(round(({parts}[1] * 3600 + {parts}[2] * 60 + {parts}[3]) * 1000) as bigint)"
+
+
+# PL4: spelling, then shared prefixes, then doubled cues, then repeated tails, then cues for television
+_LINES = f"(select track_id, cue_no, {S.ass_time('start_ms')} as s, {S.ass_time('end_ms')} as e, text, {_TAGS} as tags, substr(text, length({_TAGS}) + 1) as rest, {S.strip_ass('text')} as shown from {S.CUES} where start_ms >= 0 and end_ms >= 0 and text is not null)"
+_FILES = f"""with recursive {S.spanish_steps(_LINES, "rest")},
+spelt as materialized (select track_id, cue_no, s, e, {_skipped('text', 'shown')} as skipped, not contains(rest, '{{') and not contains(rest, '}}') and spanish <> {S.strip('rest')} as change, text, tags, spanish from s4),
+lines as materialized (select track_id, cue_no, s, e, skipped, not skipped and change as changed, case when not skipped and change then tags || spanish else text end as raw from spelt),
+seen as materialized (select track_id, cue_no, s, e, raw, {S.strip_ass('raw')} as text from lines),
+src as materialized (select *, {_ms('s')} as start_ms, {_ms('e')} as end_ms from seen where not {_skipped('raw', 'text')}),
+{queries.REDISTRIBUTED.replace(queries.SHOWN, 'src').replace("select track_id, n, next_no,", "select track_id, n2, next_no,")},
+m0 as (select track_id, max(n) as n from n0 group by 1),
+moved as materialized (select track_id, done_no as cue_no, done as text from w0 where done_no is not null and done_changed union all select track_id, cue_no, body from w0 join m0 using (track_id, n) where changed),
+timed as materialized (select s.track_id, s.cue_no, s.s, s.e, s.start_ms, s.end_ms, coalesce(m.text, s.text) as text, case when m.text is null then s.raw else regexp_extract(s.raw, '^((\\{{[^}}]*\\}})*)', 1) || m.text end as raw from src s left join moved m using (track_id, cue_no)),
+{queries.WHY.replace(queries.SHOWN, 'timed')},
+z as (select *, lead(case when why is not null then end_ms end) over (partition by track_id order by cue_no) as gone from y),
+kept as (select track_id, cue_no, s, e, raw, text, end_ms as had, greatest(end_ms, coalesce(gone, end_ms)) as end_ms from z where why is null),
+tails as (select *, lead(text) over (partition by track_id order by cue_no) as after from kept),
+final as materialized (select track_id, s, case when end_ms > had then {S.ass_time('end_ms')} else e end as e, case when cut is null then raw else regexp_extract(raw, '^((\\{{[^}}]*\\}})*)', 1) || cut end as raw from (select *, {S.trimmed('text', 'after')} as cut from tails)
+  union all select l.track_id, l.s, l.e, l.raw from lines l anti join timed using (track_id, cue_no)),
+{S.spanish_steps(f"(select *, {S.strip_ass('raw')} as text from final)", "text").replace("s1 as", "v1 as").replace("from s1", "from v1").replace("s2 as", "v2 as").replace("from s2", "from v2").replace("s3 as", "v3 as").replace("from s3", "from v3").replace("s4 as", "v4 as")},
+shows as materialized (select distinct track_id, {_ms('s')} as start_ms, {_ms('e')} as end_ms, spanish as text from v4 where not {_skipped('raw', 'spanish')} and {_ms('e')} > {_ms('s')})"""
+
+ORACLES["normalize_files"] = f"{_FILES} select * from shows"
+ORACLES["normalize_report"] = f"""{_FILES},
+marks as (select track_id, count(*) as n from ({S.suspects('final', 'track_id', 'raw')}) group by 1 union all select track_id, count(*) from ({S.suspects('shows', 'track_id', 'text')}) group by 1)
+select l.track_id, count_if(not skipped) as visible, count_if(skipped) as skipped, count_if(changed) as changed, coalesce(any_value(m.n), 0) as suspicious from lines l left join (select track_id, sum(n) as n from marks group by 1) m using (track_id) group by 1"""
+
+
+@query("normalized_lines", f"{_FILES} select track_id, cast(cue_no as integer) as line_no, skipped, changed, raw from lines")
 def normalized_lines(spark, sf_dir):
     """PL3, SC12: dialogues with Spanish spelling behind their tags."""
     return pipelines.normalize_ass(queries.ass_lines(spark, sf_dir)).select("track_id", "line_no", "skipped", "changed", "raw")
 
 
-@query("normalized_counts", f"{_SPELT_LINES} track_id, count_if(not skipped) as visible, count_if(skipped) as skipped, count_if(changed) as changed from n group by 1")
+@query("normalized_counts", f"{_FILES} select track_id, count_if(not skipped) as visible, count_if(skipped) as skipped, count_if(changed) as changed from lines group by 1")
 def normalized_counts(spark, sf_dir):
     """AG5 whole."""
     return pipelines.event_counts(pipelines.normalize_ass(queries.ass_lines(spark, sf_dir)), "track_id")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecue.functions import predicates, rules, text, timecode
 from tidecue.functions.languages import with_container_language, with_profile
 from tidecue.operators import folds, neighbors, tracks
-from tidecue.operators.scan import number_rows
 from tidecue.session import cut
 from tidecue.sources import ass, sinks
 
@@ -54,7 +53,9 @@ def clean_report(segments: DataFrame, cleaned: DataFrame, entity: str = "transcr
 
 def infer_spanish(segments: DataFrame, entity: str = "transcript_id", order: list[str] | None = None, first: int = 20, least: int = 4) -> DataFrame:
     """AG11, LI1: (entity, signs, is_spanish): how many signs of Spanish the first 20 segments hold."""
-    ranked = number_rows(segments, entity, order or ["start_s", "seg_no"], "_n").where(F.col("_n") <= first)
+    # Spark keeps the first rows of each entity within every partition before it shuffles
+    place = Window.partitionBy(entity).orderBy(*(order or ["start_s", "seg_no"]))
+    ranked = segments.where(F.col(entity).isNotNull()).withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= first)
     fixed = text.repair_encoding(F.col("text"), F.lit(True))
     joined = ranked.groupBy(entity).agg(F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", fixed.alias("t")))), lambda x: x["t"]), " ")).alias("_t"))
     signs = sum((F.contains("_t", F.lit(s)).cast("int") for s in rules.SPANISH_SIGNS), F.lit(0))

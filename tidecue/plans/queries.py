@@ -322,8 +322,8 @@ def renumber(spark, sf_dir):
 
 @query("wrap_lines", f"select cue_id, {S.wrapped('text')} as lines, ceil(len(list_filter(string_split({S.wrapped('text')}, chr(10)), lambda l: l <> '')) / 2.0)::bigint as n_groups from {S.CUES} where text is not null")
 def wrap_lines(spark, sf_dir):
-    lines = folds.wrap_lines(text.words(F.col("text")))
-    return cues(spark, sf_dir).where("text is not null").select("cue_id", F.array_join(lines, "\n").alias("lines"), F.size(folds.line_groups(lines)).cast("long").alias("n_groups"))
+    lined = folds.with_line_groups(cues(spark, sf_dir).where("text is not null"), text.words(F.col("text")))
+    return lined.select("cue_id", F.array_join("_lines", "\n").alias("lines"), F.size("_groups").cast("long").alias("n_groups"))
 
 
 @query(
@@ -520,9 +520,8 @@ t5 as (select {key}, cast(k as integer) as part_no, cast(round_even((s + step *
 
 def evenly_timed(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """df with `words`: its text's words, timed evenly between two times in seconds."""
-    w = text.words(F.col("text"))
-    step = (end - start) / F.greatest(F.size(w), F.lit(1))
-    return df.withColumn("words", F.transform(w, lambda x, i: F.struct(x.alias("word"), (start + step * i).alias("start"), (start + step * (i + 1)).alias("end"))))
+    said = df.withColumn("_w", text.words(F.col("text"))).withColumn("_step", (end - start) / F.greatest(F.size("_w"), F.lit(1)))
+    return said.withColumn("words", F.transform("_w", lambda x, i: F.struct(x.alias("word"), (start + F.col("_step") * i).alias("start"), (start + F.col("_step") * (i + 1)).alias("end"))))
 
 
 @query("timed_words", f"with {_timed_sql(f'(select segment_id, start_s as s, end_s as e, text from {S.SEGMENTS} where text is not null and end_s > start_s)', 'segment_id')} select * from t5 where end_ms > start_ms")
