@@ -77,3 +77,12 @@ def test_chains_invert(word, script):
     forms = garbled_forms(word, script)
     back = [restore(f, c) for f, c in forms.items() if not c.endswith("lost")]
     assert len(forms) > 8 and {b.lower() for b in back if b} == {word.lower()}
+
+
+def test_single_letters_follow_the_other_words():
+    garbled = read_as("personne à la gare a trouvé l'écho".encode("cp850"), "cp1252")
+    hits = [(t, o, "cp850>cp1252") for t, o in ((read_as("trouvé".encode("cp850"), "cp1252"), "trouvé"),)]
+    assert mend_text(garbled, hits)[0].startswith("personne à la gare a trouvé")
+    # beside a clean word a single sign stays what it is
+    mixed = garbled.split(" l'")[0] + " après"
+    assert "…" in mend_text(mixed, hits)[0] and mend_text(mixed, hits)[0].endswith("trouvé après")

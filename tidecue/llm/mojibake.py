@@ -490,23 +490,31 @@ def restore_texts(df: DataFrame, least: int = 1) -> DataFrame:
 
 
 def mend_text(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, bool]:
-    """A text with its garbled tokens put right, and whether none is left."""
+    """A text with its garbled tokens put right, and whether none is left.
+
+    Tokens that were not looked up, such as single letters, are decoded back
+    through the text's commonest chain if all other words beyond ASCII were
+    garbled too, so that no clean word is touched.
+    """
     chains = list(dict.fromkeys(chain for _, _, chain in hits))
     by_token = {token: original for token, original, _ in hits}
-    whole = True
+    whole, used, rest = True, Counter(), []
     parts = re.split(r"([ \t\r\n]+)", text)
     for i in range(0, len(parts), 2):
         part = parts[i]
         if part.isascii() and "?" not in part:
             continue
-        core = part.strip("!\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~")
+        core = part.strip(_STRIP)
         touched = [t for t in by_token if t in part]
         if not touched:
+            if not part.isascii():
+                rest.append((i, core))
             continue
         for chain in chains:
             back = restore(part, chain)
             if back is not None and back != part and any(by_token[t].lower() in back.lower() for t in touched):
                 parts[i] = back
+                used[chain] += 1
                 break
         else:
             if core in by_token:
@@ -514,4 +522,10 @@ def mend_text(text: str, hits: list[tuple[str, str, str]]) -> tuple[str, bool]:
                 parts[i] = part.replace(core, original.upper() if core.isupper() and len(core) > 1 else original)
             else:
                 whole = False
+    if used and not any(sum(map(str.isalpha, core)) > 1 and not is_strange(core) for _, core in rest):
+        chain = max(used, key=used.get)
+        for i, _ in rest:
+            back = restore(parts[i], chain)
+            if back is not None and any(map(str.isalpha, back)):
+                parts[i] = back
     return unicodedata.normalize("NFC", "".join(parts)), whole
