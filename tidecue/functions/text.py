@@ -171,7 +171,7 @@ def split_final_sentence(c: Column) -> Column:
 
 
 def apply_terms(c: Column, terms: list[tuple[str, str]]) -> Column:
-    """SC22: literal replacement, longest source first, ties in the order given; later rules see earlier results."""
+    """SC22, SO3: literal replacement, longest source first, ties in the order given; later rules see earlier results."""
     ordered = sorted(enumerate(terms), key=lambda x: (-len(x[1][0]), x[0]))
     return reduce(lambda x, t: F.replace(x, F.lit(t[1][0]), F.lit(t[1][1])), ordered, c)
 

@@ -43,7 +43,7 @@ def part_of(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, Iterator[pa.
 
 
 def neighbours(df: DataFrame, entity: str, order: list[str], columns: list[str], partitions: int | None = None, ahead: int = 1) -> DataFrame:
-    """df with prev_<c> and next_<c> of each column: its value in the entity's row before and after, else null.
+    """J11: df with prev_<c> and next_<c> of each column: its value in the entity's row before and after, else null.
 
     With ahead = 2 there is next2_<c> too, of the row after the next. Rows of a
     null entity are left out. Ties in the order keep the order of arrival. An
