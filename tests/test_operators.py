@@ -111,6 +111,27 @@ def test_alignment(spark):
     assert rows == [(1, 0.0, 2.0, False), (2, 5.0, 6.0, False)]
 
 
+def test_alignment_tries_few_places(monkeypatch):
+    tried = []
+    plain = folds.likeness
+    monkeypatch.setattr(folds, "likeness", lambda a, b: tried.append(1) or plain(a, b))
+    keys = [f"{'abcdefghijklmnop'[i % 16 :]}{i * 7919}" for i in range(200)]
+    assert folds.align_keys(["".join(keys[5 * i : 5 * i + 5]) for i in range(40)], keys) == [(i, 5 * i, 5 * i + 4, 1.25) for i in range(40)]
+    assert not tried
+    dice = random.Random(7)
+    for letters in ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz") * 60:
+        keys = ["".join(dice.choices(letters, k=dice.choice([0, 1, 3, 10, 60]))) for _ in range(dice.randint(1, 30))]
+        target = "".join(dice.choices(letters, k=dice.randint(1, 60))) if dice.random() < 0.4 else "".join(keys[2:9])[1:] or "a"
+        # every place tried, as the original does
+        ahead = ["".join(keys[k : k + folds.AHEAD]) for k in range(len(keys))]
+        starts = [plain(target[:24], s[: len(target[:24])]) + 0.5 * (target[:24] in s) if s else -1.0 for s in ahead]
+        assert folds.best_start(target[:24], keys) == starts.index(max(starts))
+        said = ["".join(keys[: k + 1]) for k in range(len(keys))]
+        said = said[: next((k for k, s in enumerate(said) if k and len(s) >= 1.25 * len(target)), len(said)) + 1]
+        ends = [max(-1.0, plain(target, s) + 0.25 * (target in s or s in target) - 0.15 * (abs(len(s) - len(target)) / len(target))) if s else -1.0 for s in said]
+        assert folds.best_end(target, keys) == (ends.index(max(ends)), max(ends))
+
+
 def test_tracks(spark):
     df = spark.createDataFrame([("w", 1, 1, 500, False), ("w", 2, 2, 300, True), ("v", 1, 3, 5, False), ("v", 2, 4, 9, False)], "workspace string, stream_index int, track_id long, event_count int, is_default boolean")
     df = df.withColumns({"supported": F.lit(True), "textual": F.lit(True), "forced_like": F.lit(False), "cc_like": F.lit(False), "score": tracks.score_struct(F.lit(True), F.lit(True), F.lit(False), F.lit(False), F.col("event_count"), F.lit(99), F.lit(False))})
