@@ -29,6 +29,16 @@ def test_language_is_settled_before_cleaning(spark):
     assert pipelines.transcribe(spark.createDataFrame(rows, SEGMENTS), heads, "x")[2].first().language == "es"
 
 
+def test_transcripts_are_aligned_once(spark, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), pipelines.folds.align_paragraphs
+    note = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
+    monkeypatch.setattr(pipelines.folds, "align_paragraphs", lambda *a: plain(*a).withColumn("text", note("text")))
+    rows = [(t, i, 10.0 * i, 10.0 * i + 1, f"Recording {t} says word{i}.") for t in range(4) for i in range(5)]
+    heads = spark.createDataFrame([(t, "t", "v", "b", "en", 0) for t in range(4)], HEADS)
+    documents = pipelines.transcribe(spark.createDataFrame(rows, SEGMENTS), heads, "x")[1]
+    assert len(documents.collect()) == 4 and seen.value == 20
+
+
 def test_translated_file(spark):
     lines = spark.createDataFrame([(1, 1, True, "0", "0:00:01.00", "0:00:02.00", "Default", "", "0", "0", "0", "", r"{\i1}Hello"), (1, 2, True, "0", "0:00:03.00", "0:00:04.00", "SongEnglish", "", "0", "0", "0", "fx", r"{\pos(1,2)}L"), (1, 3, True, "0", "0:00:05.00", "0:00:06.00", "Default", "", "0", "0", "0", "", "stays")], "track_id long, line_no int, in_events boolean, layer string, start string, end string, style string, name string, ml string, mr string, mv string, effect string, raw string")
     maps = spark.createDataFrame([(1, 1, {"1": "Hola Yamato", "Op|9:00:00.00|9:00:01.00": "b", "Op|10:00:00.00|10:00:01.00": "a Yamato"})], "track_id long, file_no int, entries map<string,string>")

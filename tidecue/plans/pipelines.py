@@ -100,7 +100,8 @@ def transcribe(segments: DataFrame, headers: DataFrame, generated_at: str, entit
     timed = cleaned.where("start_s is not null").withColumn("end_s", F.coalesce("end_s", "start_s"))
     built = folds.build_paragraphs(timed, entity, most=most).select(entity, "para_no", "text")
     keyed = lambda df: with_clean_text(df.withColumn("key", F.col("text")), "key", "language", verbatim).withColumn("key", text.alignment_key(F.col("key")))
-    aligned = folds.align_paragraphs(keyed(built.join(languages, entity, "left")), keyed(timed), entity)
+    # the range sort of the warnings reads its input twice, to sample and to shuffle
+    aligned = cut(folds.align_paragraphs(keyed(built.join(languages, entity, "left")), keyed(timed), entity))
     checked = cut(neighbors.paragraph_warnings(aligned, entity, "para_no", "start_s", "end_s"))
     documents = sinks.markdown_files(checked, settled.withColumn("postprocess_mode", F.lit("verbatim" if verbatim else "clean")), entity, generated_at)
     counts = checked.groupBy(entity).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if("low").alias("n_low"), F.sum(F.size("warnings")).alias("n_warnings"))
