@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidecue.llm.langid import LanguageModel, document_languages, fit_dictionaries, judge_document, label_code, plain, transcript_languages
+from tidecue.llm.langid import LanguageModel, document_languages, fit_dictionaries, judge_document, judge_documents, label_code, plain, transcript_languages
 
 ALIASES = {"es": "es", "english": "en", "en": "en", "zh": "zh-cmn", "zh-wuu": "wuu", "ru": "ru", "fr": "fr", "ja": "ja"}
 SAID = {
@@ -90,3 +90,34 @@ def test_dictionaries_that_share_nothing_give_one_size(model):
         if sizes is not None:
             assert sizes == [len(compress(text.encode())) for compress in model._compress]
     assert len(model.sharing("plain letters".encode())) < len(model.codes)
+
+
+def test_texts_measured_together(model):
+    """Batches give what single texts give; equal texts are compressed once."""
+    texts = [s for said in SAID.values() for s in said] + ["12 34", "", SAID["en"][0], "“Oui”, dit-il — …"]
+    together, once = LanguageModel(model.dictionaries), []
+    together.sizes("x")
+    together._compress = [lambda raw, c=c: once.append(raw) or c(raw) for c in together._compress]
+    assert together.all_sizes(texts) == [model.sizes(t) for t in texts]
+    assert once.count(SAID["en"][0].encode()) <= len(model.codes)
+    whole = ["\n\n".join(texts[i:]) for i in range(0, len(texts), 3)] + [" \n", "null"]
+    assert judge_documents(model, whole, [None] * len(whole)) == [judge_document(model, t, None) for t in whole]
+    assert together.all_sizes([]) == [] and together.all_sizes(["1", "2"]) == [None, None]
+    assert judge_documents(LanguageModel({}), ["text", ""], [None, "en"]) == [[], []]
+
+
+def test_dictionaries_in_other_letters_are_asked_for_shared_bytes():
+    """A first byte in common isn't enough where a dictionary holds no ASCII, as with garbled text in it."""
+    rng = random.Random(6)
+    garbled = "編集者は".encode().decode("latin-1")
+    dictionaries = {"en": " ".join(SAID["en"] + SAID["fr"]).encode(), "ja": (" ".join(SAID["ja"]) + f" {garbled} à  é — ").encode()}
+    model = LanguageModel(dictionaries)
+    assert model.sharing("le café fermé".encode()) == (0,)
+    for text in ("il va à pied", "deux  é", garbled + " is what it said", "and " + SAID["ja"][0]):
+        assert 1 in model.sharing(text.encode())
+    signs = ["a", "b", "the", " ", "  ", "é", "à", "—", "…", "ã", "\u0081", "編", "集", "者は", "б", "x" * 9]
+    for _ in range(3000):
+        raw = "".join(rng.choices(signs, k=rng.randint(1, 12))).encode()
+        fours = {raw[i : i + 4] for i in range(len(raw) - 3)}
+        for i, content in enumerate(dictionaries.values()):
+            assert i in model.sharing(raw) or not any(four in content for four in fours)
